@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.closure import reachability, transitive_dependents
-from ledgerloom.operators.graph import induced_subgraph
+from ledgerloom.operators.graph import induced_subgraph, reversed_edges
+from ledgerloom.operators.levels import peel
 from ledgerloom.scratch import Scratch
 
 # Below this many edges a core has at most its square of pairs, four million, and the
@@ -15,30 +16,30 @@ from ledgerloom.scratch import Scratch
 SMALL_CORE = 2_000
 
 
+def _ends(edges: DataFrame) -> DataFrame:
+    """Distinct ids at either end of the edges."""
+    ends = F.explode(F.array("node_id", "depends_on")).alias("node_id")
+    return edges.select(ends).distinct()
+
+
 def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """Drop, until nothing changes, edges out of nodes nothing needs and into leaves."""
-    core, n = scratch.keep(edges, f"{label}-0")
-    turn = 0
-    while n:
-        turn += 1
-        needed = core.select(F.col("depends_on").alias("node_id")).distinct()
-        needing = core.select(F.col("node_id").alias("depends_on")).distinct()
-        kept = (
-            core.join(needed, "node_id", "left_semi")
-            .join(needing, "depends_on", "left_semi")
-            .select("node_id", "depends_on")
-        )
-        before = n
-        core, n = scratch.keep(kept, f"{label}-{turn}")
-        if n == before:
+    """The edges that remain when peeled from the bottom and then from the top.
+
+    What is left lies on cycles or on paths between them.
+    """
+    core, n = scratch.keep(edges, f"{label}-all")
+    for turn in ("bottom", "top"):
+        if not n:
             break
+        stuck = peel(_ends(core), core).stuck
+        rest = core.limit(0) if stuck is None else reversed_edges(stuck)
+        core, n = scratch.keep(rest, f"{label}-{turn}")
     return core, n
 
 
 def _colours(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
     """``node_id, colour``: the smallest id among a node and all nodes that reach it."""
-    ids = core.select("node_id").unionByName(core.select(F.col("depends_on").alias("node_id")))
-    state = ids.distinct().select(
+    state = _ends(core).select(
         "node_id", F.col("node_id").alias("colour"), F.lit(True).alias("fresh")
     )
     schema, turn, fresh = state.schema, 0, 1

@@ -1,9 +1,11 @@
 """Levels: the longest chain of dependencies below a node, and plans made of them.
 
-Peeling works on the edges that are still open. A round marks the edges whose needed node
-is settled and writes them apart from the rest, so the next round reads only what is left
-and every edge is read once more at the end. A node is settled in the round after its last
-edge was met, hence its level is one more than the last round that met one of its edges.
+Peeling logs hits. A round takes the nodes settled last, finds the edges that need them and
+counts those per needing node; a node is settled once its hits equal its number of edges.
+So a round is one pass over the edges, filtered by a set that the planner broadcasts when
+its files are small, and writes only the counts. A node's level is one more than the last
+round that hit it. Whenever half of the edges have been hit the rest is written anew, which
+keeps a long thin tail cheap.
 """
 
 from __future__ import annotations
@@ -21,52 +23,98 @@ CYCLE_TEXT = "Cannot create execution plan: graph contains a cycle"
 INVALID_TEXT = "Graph contains a cycle or invalid dependencies"
 
 
-def _peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``(node_id, level)`` and the edges that can never be met, if there are any."""
+# Edge tables below this many rows are scanned again rather than written anew.
+COMPACT_ROWS = 1_000_000
+
+
+class Peeled:
+    """``levels`` of all nodes, and ``stuck``: the edges that are never met, or ``None``.
+
+    Stuck edges have both ends among the nodes. With edges to unknown nodes only, ``stuck``
+    may be an empty table.
+    """
+
+    def __init__(self, levels: DataFrame, stuck: DataFrame | None):
+        self.levels = levels
+        self.stuck = stuck
+
+
+def peel(nodes: DataFrame, edges: DataFrame, compact_rows: int = COMPACT_ROWS) -> Peeled:
+    """Settle nodes from the bottom up; ``edges`` must be distinct."""
     spark = nodes.sparkSession
     scratch = Scratch(spark, "levels")
     id_type = nodes.schema["node_id"].dataType
-    pair = T.StructType([T.StructField("node_id", id_type), T.StructField("depends_on", id_type)])
+    id_field = T.StructField("node_id", id_type)
+    tally = T.StructType([id_field, T.StructField("hits", T.LongType())])
     ids = nodes.select("node_id").distinct()
-    left, rounds, stuck = edges.select("node_id", "depends_on"), 0, None
-    settled = ids.join(left.select("node_id").distinct(), "node_id", "left_anti")
-    while True:
-        mark = settled.select(F.col("node_id").alias("depends_on"), F.lit(True).alias("_settled"))
-        step = left.join(mark, "depends_on", "left").select(
-            "node_id", "depends_on", F.col("_settled").isNotNull().alias("met")
+    left, n_left = scratch.keep(edges.select("node_id", "depends_on"), "edges-0")
+    # What a node still waits for, as a negative count.
+    scratch.write(
+        left.groupBy("node_id").agg((-F.count(F.lit(1))).alias("hits")), "open-0"
+    )
+    counted, rounds, met = ["open-0"], 0, 0
+
+    def balance() -> DataFrame:
+        return scratch.read(tally, *counted)
+
+    def waiting() -> DataFrame:
+        """Nodes with edges that were not hit yet."""
+        return balance().groupBy("node_id").agg(F.sum("hits").alias("hits")).filter("hits < 0")
+
+    settled = ids.join(balance().select("node_id"), "node_id", "left_anti")
+    open_edges = n_left
+    while open_edges:
+        just = settled.select(F.col("node_id").alias("depends_on"))
+        hit = (
+            left.join(just, "depends_on", "left_semi")
+            .groupBy("node_id")
+            .agg(F.count(F.lit(1)).alias("hits"))
         )
         name = f"round={rounds}"
-        counts = scratch.write(step, name, split_by="met", met=F.count_if("met"))
-        still_open = counts["n"] - counts["met"]
-        if still_open:
-            left = scratch.read(pair, f"{name}/met=false")
-        if not counts["met"]:
-            stuck = left if still_open else None
+        hits = scratch.write(hit, name, hits=F.sum("hits"))["hits"]
+        if not hits:
             break
-        rounds += 1
-        if not still_open:
+        rounds, open_edges, met = rounds + 1, open_edges - hits, met + hits
+        if not open_edges:
             break
-        # Nodes that just lost an edge and have none left.
-        settled = (
-            scratch.read(pair, f"{name}/met=true")
-            .select("node_id")
-            .distinct()
-            .join(left.select("node_id").distinct(), "node_id", "left_anti")
+        counted.append(name)
+        touched = scratch.read(tally, name).select("node_id")
+        full = (
+            balance()
+            .join(touched, "node_id", "left_semi")
+            .groupBy("node_id")
+            .agg(F.sum("hits").alias("hits"))
+            .filter("hits = 0")
         )
-    if not rounds:
-        return ids.withColumn("level", F.lit(0)), stuck
-    met = (
-        spark.read.schema(
-            T.StructType([pair["node_id"], T.StructField("round", T.IntegerType())])
+        settled = touched.join(full, "node_id", "left_semi")
+        if n_left >= compact_rows and 2 * met >= n_left:
+            # The frontier comes from the old counts, so it is written before they go.
+            settled, _ = scratch.keep(settled, f"settled-{rounds}")
+            scratch.write(waiting(), f"open-{rounds}")
+            counted = [f"open-{rounds}"]
+            live = balance().select(F.col("node_id").alias("depends_on")).unionByName(
+                settled.select(F.col("node_id").alias("depends_on"))
+            )
+            rest = left.join(live, "depends_on", "left_semi").select("node_id", "depends_on")
+            left, n_left = scratch.keep(rest, f"edges-{rounds}")
+            met = 0
+    levels = ids.withColumn("level", F.lit(0))
+    if rounds:
+        last = (
+            spark.read.schema(T.StructType([id_field, T.StructField("round", T.IntegerType())]))
+            .option("basePath", scratch.path)
+            .parquet(f"{scratch.path}/round=*")
+            .groupBy("node_id")
+            .agg((F.max("round") + 1).alias("_level"))
         )
-        .option("basePath", scratch.path)
-        .parquet(f"{scratch.path}/round=*/met=true")
-    )
-    last = met.groupBy("node_id").agg((F.max("round") + 1).alias("_level"))
-    levels = ids.join(last, "node_id", "left").select(
-        "node_id", F.coalesce("_level", F.lit(0)).alias("level")
-    )
-    return levels, stuck
+        levels = ids.join(last, "node_id", "left").select(
+            "node_id", F.coalesce("_level", F.lit(0)).alias("level")
+        )
+    stuck = None
+    if open_edges:
+        blocked = waiting().select(F.col("node_id").alias("depends_on"))
+        stuck = left.join(blocked, "depends_on", "left_semi").select("node_id", "depends_on")
+    return Peeled(levels, stuck)
 
 
 def _existing_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,17 +123,17 @@ def _existing_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row ``has_cycle``; edges to unknown nodes are ignored, self-loops count."""
-    _, stuck = _peel(nodes, _existing_edges(nodes, edges).distinct())
+    stuck = peel(nodes, _existing_edges(nodes, edges).distinct()).stuck
     return nodes.sparkSession.range(1).select(F.lit(stuck is not None).alias("has_cycle"))
 
 
 def plan_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``level, node_id`` of the whole graph; raises on a cycle or a dangling edge."""
-    levels, stuck = _peel(nodes, edges.select("node_id", "depends_on").distinct())
-    if stuck is not None:
-        _, cyclic = _peel(nodes, _existing_edges(nodes, stuck))
+    peeled = peel(nodes, edges.select("node_id", "depends_on").distinct())
+    if peeled.stuck is not None:
+        cyclic = peel(nodes, _existing_edges(nodes, peeled.stuck)).stuck
         raise CycleError(INVALID_TEXT if cyclic is None else CYCLE_TEXT)
-    return levels.select("level", "node_id")
+    return peeled.levels.select("level", "node_id")
 
 
 def plan_levels_for(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:

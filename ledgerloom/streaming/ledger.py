@@ -6,7 +6,6 @@ is replayed, so results survive a restart and never pass through the driver.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -104,14 +103,10 @@ def history_append_stream(records: DataFrame, path: str) -> DataStreamWriter:
     ledger itself, of which the comparison reads the id column alone.
     """
     schema = records.schema
-
-    def ledger_ids(batch: DataFrame) -> DataFrame | None:
-        try:
-            return batch.sparkSession.read.schema(schema).parquet(path).select("id")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+    # Makes the folder, so that the ledger can be read from the first batch on.
+    records.sparkSession.createDataFrame([], schema).write.mode("append").partitionBy(
+        "environment_id"
+    ).parquet(path)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         invalid = checks.check_record_invariants(batch).unionByName(
@@ -124,9 +119,7 @@ def history_append_stream(records: DataFrame, path: str) -> DataStreamWriter:
         fresh = (
             batch.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
         )
-        written = ledger_ids(batch)
-        if written is not None:
-            fresh = fresh.join(written, "id", "left_anti")
-        fresh.write.mode("append").partitionBy("environment_id").parquet(path)
+        written = batch.sparkSession.read.schema(schema).parquet(path).select("id")
+        fresh.join(written, "id", "left_anti").write.mode("append").partitionBy("environment_id").parquet(path)
 
     return records.writeStream.foreachBatch(append)
