@@ -10,11 +10,11 @@ EDGE_FIELDS = "node_id string, depends_on string"
 
 def nodes_df(spark, ids, env="test"):
     rows = [(i, f"task {i}", None, env, f"up {i}", f"down {i}") for i in ids]
-    return spark.createDataFrame(rows, NODE_FIELDS)
+    return spark.createDataFrame(rows, NODE_FIELDS).coalesce(1)
 
 
 def edges_df(spark, pairs):
-    return spark.createDataFrame(list(pairs), EDGE_FIELDS)
+    return spark.createDataFrame(list(pairs), EDGE_FIELDS).coalesce(1)
 
 
 def graph_of(spark, text):
