@@ -11,6 +11,7 @@ from ledgerloom.operators import graph
 from ledgerloom.operators.cycles import cycle_path
 from ledgerloom.operators.levels import has_cycle
 from ledgerloom.schemas import DIRECTIONS, DOWN, FAILURE, STATUSES
+from ledgerloom.scratch import Scratch
 
 # Categories of the report, in its order, and message texts.
 CATEGORIES = ("project", "target", "task", "dependency", "cycle")
@@ -237,7 +238,10 @@ def validate_specs(
     if project.isEmpty():
         return no_project
     targets_ok = valid_targets(targets, known_types)
-    tasks_ok = valid_tasks(tasks, targets_ok)
+    # Three checks read the valid tasks, so they are judged once.
+    tasks_ok, _ = Scratch(tasks.sparkSession, "specs").keep(
+        valid_tasks(tasks, targets_ok).select("task_id", "dependencies"), "valid"
+    )
     return accumulate_errors(
         no_project,
         check_targets(targets, known_types),

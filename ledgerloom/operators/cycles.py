@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.closure import reachability, transitive_dependents
-from ledgerloom.operators.graph import induced_subgraph, reversed_edges
+from ledgerloom.operators.graph import ends, induced_subgraph, reversed_edges
 from ledgerloom.operators.levels import peel
 from ledgerloom.scratch import Scratch
 
@@ -16,30 +16,23 @@ from ledgerloom.scratch import Scratch
 SMALL_CORE = 2_000
 
 
-def _ends(edges: DataFrame) -> DataFrame:
-    """Distinct ids at either end of the edges."""
-    ends = F.explode(F.array("node_id", "depends_on")).alias("node_id")
-    return edges.select(ends).distinct()
-
-
 def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, int]:
     """The edges that remain when peeled from the bottom and then from the top.
 
     What is left lies on cycles or on paths between them.
     """
-    core, n = scratch.keep(edges, f"{label}-all")
+    core, n = edges, 0
     for turn in ("bottom", "top"):
-        if not n:
-            break
-        stuck = peel(_ends(core), core).stuck
-        rest = core.limit(0) if stuck is None else reversed_edges(stuck)
-        core, n = scratch.keep(rest, f"{label}-{turn}")
+        stuck = peel(None, core).stuck
+        if stuck is None:
+            return core.limit(0), 0
+        core, n = scratch.keep(reversed_edges(stuck), f"{label}-{turn}")
     return core, n
 
 
 def _colours(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
     """``node_id, colour``: the smallest id among a node and all nodes that reach it."""
-    state = _ends(core).select(
+    state = ends(core).select(
         "node_id", F.col("node_id").alias("colour"), F.lit(True).alias("fresh")
     )
     schema, turn, fresh = state.schema, 0, 1

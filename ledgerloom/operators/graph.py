@@ -24,6 +24,11 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("depends_on").alias("node_id"), F.col("node_id").alias("depends_on"))
 
 
+def ends(edges: DataFrame) -> DataFrame:
+    """Distinct ids at either end of the edges."""
+    return edges.select(F.explode(F.array("node_id", "depends_on")).alias("node_id")).distinct()
+
+
 def explode_dependencies(nodes: DataFrame) -> DataFrame:
     """Dependency lists as an edge set; a null list means none."""
     return nodes.select("node_id", F.explode("dependencies").alias("depends_on")).dropna().distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.graph import induced_subgraph, reversed_edges
+from ledgerloom.operators.graph import ends, induced_subgraph, reversed_edges
 from ledgerloom.schemas import CycleError
 from ledgerloom.scratch import Scratch
 
@@ -39,15 +39,20 @@ class Peeled:
         self.stuck = stuck
 
 
-def peel(nodes: DataFrame, edges: DataFrame, compact_rows: int = COMPACT_ROWS) -> Peeled:
-    """Settle nodes from the bottom up; ``edges`` must be distinct."""
-    spark = nodes.sparkSession
+def peel(
+    nodes: DataFrame | None, edges: DataFrame, compact_rows: int = COMPACT_ROWS
+) -> Peeled:
+    """Settle nodes from the bottom up; ``edges`` must be distinct.
+
+    Without ``nodes`` the ends of the edges are the nodes.
+    """
+    spark = edges.sparkSession
     scratch = Scratch(spark, "levels")
-    id_type = nodes.schema["node_id"].dataType
+    id_type = edges.schema["node_id"].dataType
     id_field = T.StructField("node_id", id_type)
     tally = T.StructType([id_field, T.StructField("hits", T.LongType())])
-    ids = nodes.select("node_id").distinct()
     left, n_left = scratch.keep(edges.select("node_id", "depends_on"), "edges-0")
+    ids = ends(left) if nodes is None else nodes.select("node_id").distinct()
     # What a node still waits for, as a negative count.
     scratch.write(
         left.groupBy("node_id").agg((-F.count(F.lit(1))).alias("hits")), "open-0"

@@ -75,14 +75,13 @@ def pivot_props(props: DataFrame, fields: dict[str, str], owner: str = "owner")
     """Key/value rows to one typed record per owner.
 
     ``fields`` maps keys to types. The list is fixed, so one aggregation with a combine
-    step does it; a value that does not fit its type becomes null.
+    step and one shuffle does it; a value that does not fit its type becomes null.
     """
-    wide = (
-        props.groupBy(owner)
-        .pivot("key", list(fields))
-        .agg(F.max("value"))
+    key, value = F.col("key"), F.col("value")
+    wide = props.filter(key.isin(*fields)).groupBy(owner)
+    return wide.agg(
+        *[F.max(F.when(key == k, value)).try_cast(t).alias(k) for k, t in fields.items()]
     )
-    return wide.select(owner, *[F.col(k).try_cast(t).alias(k) for k, t in fields.items()])
 
 
 def collect_list_props(props: DataFrame, name: str = "dependencies") -> DataFrame:

@@ -1,8 +1,8 @@
 """How a run went, from what its workers reported.
 
 Nodes are visited in (level, id) order and the first failure ends the run. No window over
-the plan is needed for that: the place of the first failure is one value, compared with
-each row.
+the plan is needed for that: the judged plan is written once, the place of the first
+failure is one value observed during that write, and each row is compared with it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import FAILURE, SKIPPED, SUCCESS, UP
+from ledgerloom.scratch import Scratch
 
 # Fixed texts.
 ALREADY_EXECUTED = "already executed"
@@ -26,9 +27,6 @@ def _visit(
         "node_id", "ok", "duration_ms", F.col("error").alias("_error"), "serialized_down_task"
     )
     joined = plan.join(nodes, "node_id").join(reported, "node_id", "left")
-    unreported = F.raise_error(
-        F.concat(F.lit("No outcome for node "), F.col("node_id").cast("string"))
-    ).cast("string")
     judged = joined.select(
         "level",
         "node_id",
@@ -41,12 +39,23 @@ def _visit(
         F.when(skip_reason.isNotNull(), "SKIP")
         .when(F.col("ok"), "OK")
         .when(~F.col("ok"), "FAIL")
-        .otherwise(unreported)
         .alias("_would"),
     )
     place = F.struct("level", "node_id")
-    first_failure = judged.filter(F.col("_would") == "FAIL").agg(F.min(place)).scalar()
-    reached = ~F.coalesce(place > first_failure, F.lit(False))
+    scratch = Scratch(plan.sparkSession, "run")
+    seen = scratch.write(
+        judged,
+        "judged",
+        failure=F.min(F.when(F.col("_would") == "FAIL", place)),
+        unreported=F.min(F.when(F.col("_would").isNull(), F.col("node_id"))),
+    )
+    if seen["unreported"] is not None:
+        raise ValueError(f"No outcome for node {seen['unreported']}")
+    judged, reached = scratch.read(judged.schema, "judged"), F.lit(True)
+    if seen["failure"] is not None:
+        level, node_id = seen["failure"]
+        id_type = judged.schema["node_id"].dataType
+        reached = place <= F.struct(F.lit(level), F.lit(node_id).cast(id_type))
     outcome = F.when(reached, F.col("_would")).otherwise("NOT_REACHED")
     return judged.withColumn("outcome", outcome).select(
         "level",
@@ -68,8 +77,8 @@ def _visit(
 def up_outcomes(plan: DataFrame, nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Per node of an up plan: OK, SKIP, FAIL or NOT_REACHED.
 
-    ``plan`` is the table of ``up_plan``; ``outcomes`` has a row for each plan node that
-    would run, else the query fails.
+    ``plan`` is the table of ``up_plan``; ``outcomes`` must have a row for each plan node
+    that would run, else ``ValueError``.
     """
     named = nodes.select("node_id", "name", "environment_id")
     reason = F.when(F.col("executed"), F.lit(ALREADY_EXECUTED))

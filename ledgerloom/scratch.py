@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,7 @@ class Scratch:
         application = spark.sparkContext.applicationId
         self.path = f"{checkpoint_root(spark)}/ledgerloom-{application}/{label}-{uuid.uuid4().hex}"
 
-    def write(
-        self, df: DataFrame, name: str, split_by: str | None = None, **measures: Column
-    ) -> dict[str, int]:
+    def write(self, df: DataFrame, name: str, **measures: Column) -> dict[str, Any]:
         """Write ``df`` and return its row count ``n`` and the given aggregates."""
         seen = Observation()
         observed = df.observe(
@@ -54,10 +53,7 @@ class Scratch:
             F.count(F.lit(1)).alias("n"),
             *[measure.alias(key) for key, measure in measures.items()],
         )
-        writer = observed.write.mode("overwrite")
-        if split_by:
-            writer = writer.partitionBy(split_by)
-        writer.parquet(f"{self.path}/{name}")
+        observed.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return seen.get
 
     def read(self, schema: T.StructType, *names: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ledgerloom import schemas
 from ledgerloom.operators import checks
+from ledgerloom.scratch import Scratch
 
 
 def history_scan(
@@ -47,12 +48,14 @@ def history_append(
 ) -> None:
     """Append records after checking them; any violation refuses the whole batch.
 
-    ``existing`` is the ledger the ids must not yet be in. Only its id column is read,
-    and against a small batch that is one map-side pass.
+    The batch is staged first, so what was checked is what is written, also when ids or
+    times are made on the fly. ``existing`` is the ledger the ids must not yet be in. Only
+    its id column is read, and against a small batch that is one map-side pass.
     """
-    found = checks.validate_records(records)
+    staged, _ = Scratch(records.sparkSession, "append").keep(records, "batch")
+    found = checks.validate_records(staged)
     if existing is not None:
-        taken = existing.select("id").join(records.select("id"), "id", "left_semi").distinct()
+        taken = existing.select("id").join(staged.select("id"), "id", "left_semi").distinct()
         found = found.unionByName(
             checks.error_rows(
                 taken, "record_pk", F.col("id"), F.lit("Record id already in the ledger")
@@ -61,7 +64,7 @@ def history_append(
     worst = found.limit(1).collect()
     if worst:
         raise ValueError(f"{worst[0]['message']}: {worst[0]['subject']}")
-    records.write.mode("append").partitionBy("environment_id").parquet(path)
+    staged.write.mode("append").partitionBy("environment_id").parquet(path)
 
 
 def history_delete(history: DataFrame, condition: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 
 from ledgerloom.operators import checks
 from ledgerloom.operators.ledger import KEYS, applied
+from ledgerloom.scratch import Scratch
 
 
 def drain(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
@@ -109,17 +110,19 @@ def history_append_stream(records: DataFrame, path: str) -> DataStreamWriter:
     ).parquet(path)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        invalid = checks.check_record_invariants(batch).unionByName(
-            checks.check_record_domains(batch)
+        staged, _ = Scratch(batch.sparkSession, "append").keep(batch, "batch")
+        invalid = checks.check_record_invariants(staged).unionByName(
+            checks.check_record_domains(staged)
         )
         worst = invalid.limit(1).collect()
         if worst:
             raise ValueError(f"{worst[0]['message']}: {worst[0]['subject']}")
         first = Window.partitionBy("id").orderBy("executed_at", "node_id")
-        fresh = (
-            batch.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
+        once = (
+            staged.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
         )
         written = batch.sparkSession.read.schema(schema).parquet(path).select("id")
-        fresh.join(written, "id", "left_anti").write.mode("append").partitionBy("environment_id").parquet(path)
+        fresh = once.join(written, "id", "left_anti")
+        fresh.write.mode("append").partitionBy("environment_id").parquet(path)
 
     return records.writeStream.foreachBatch(append)

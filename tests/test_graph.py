@@ -15,10 +15,8 @@ DOUBLE_DIAMOND = "a b>a c>a d>b,c e>d f>d g>e,f"
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("1", [{"1"}]),
-        ("2>1 3>2", [{"1"}, {"2"}, {"3"}]),
-        ("2>1 3>1 4>2,3", [{"1"}, {"2", "3"}, {"4"}]),
-        (EIGHT, [{"A"}, {"B", "C", "D"}, {"E", "F", "G"}, {"H"}]),
+        ("1 3>2", [{"1", "2"}, {"3"}]),
+        ("2>1 3>1 4>2,3 q>p r>q s>r", [{"1", "p"}, {"2", "3", "q"}, {"4", "r"}, {"s"}]),
         ("b>a c>a,b", [{"a"}, {"b"}, {"c"}]),
     ],
 )
@@ -140,23 +138,31 @@ def test_closures(spark):
     assert closure.transitive_dependencies(seeds, edges_df(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small_core", [2_000, 0])
+def test_cycle_nodes(spark, small_core):
+    """A tail, a self-loop, a chain, a ring in a ring and two linked rings, all in one."""
+    text = (
+        "1>2 2>1 3>1 1>4  s>s t>s  y>x z>y  B>C C>D D>B B>D A>B D>E  a>b b>a c>d d>c b>c"
+    )
+    _, edges = graph_of(spark, text)
+    found = values(cycles.cycle_nodes(edges, small_core), "node_id")
+    assert found == ["1", "2", "B", "C", "D", "a", "b", "c", "d", "s"]
+
+
 @pytest.mark.parametrize(
-    "text, on_cycle, path",
+    "text, path",
     [
-        ("1>2 2>1 3>1 1>4", ["1", "2"], ["1 -> 2 -> 1"]),
-        ("1>1 2>1", ["1"], ["1 -> 1"]),
-        ("b>a c>b", [], []),
-        ("b>c c>d d>b b>d a>b d>e", ["b", "c", "d"], ["b -> d -> b"]),
-        ("a>b b>a c>d d>c b>c", ["a", "b", "c", "d"], ["a -> b -> a"]),
+        ("1>2 2>1 3>1 1>4", ["1 -> 2 -> 1"]),
+        ("s>s t>s", ["s -> s"]),
+        ("b>a c>b", []),
+        ("b>c c>d d>b b>d a>b d>e", ["b -> d -> b"]),
+        ("b>c c>d d>b e>b", ["b -> c -> d -> b"]),
     ],
 )
-@pytest.mark.parametrize("small_core", [2_000, 0])
-def test_cycles(spark, text, on_cycle, path, small_core):
+def test_cycle_path(spark, text, path):
     nodes, edges = graph_of(spark, text)
-    assert values(cycles.cycle_nodes(edges, small_core), "node_id") == on_cycle
-    if small_core:
-        assert values(cycles.cycle_path(edges), "cycle") == path
-        assert levels.has_cycle(nodes, edges).first()[0] is bool(on_cycle)
+    assert values(cycles.cycle_path(edges), "cycle") == path
+    assert levels.has_cycle(nodes, edges).first()[0] is bool(path)
 
 
 def test_has_cycle_ignores_unknown_ends(spark):
@@ -164,17 +170,16 @@ def test_has_cycle_ignores_unknown_ends(spark):
     assert levels.has_cycle(nodes, edges_df(spark, [("a", "x"), ("x", "a")])).first()[0] is False
 
 
-@pytest.mark.parametrize(
-    "text, dropped",
-    [
-        ("b>a c>a,b", {("c", "a")}),
-        (DOUBLE_DIAMOND, set()),
-        ("c>a,b d>a,b", set()),
-        ("d>a,c c>b b>a", {("d", "a")}),
-        ("n>a,b b>a", {("n", "a")}),
-    ],
-)
-def test_reduction(spark, text, dropped):
+def test_reduction(spark):
+    """Five graphs side by side; an edge is named by its ends."""
+    parts = ["b>a c>a,b", DOUBLE_DIAMOND, "c>a,b d>a,b", "d>a,c c>b b>a", "n>a,b b>a"]
+    dropped = {("0c", "0a"), ("3d", "3a"), ("4n", "4a")}
+    text = " ".join(
+        f"{i}{node}>" + ",".join(f"{i}{need}" for need in needs.split(","))
+        for i, part in enumerate(parts)
+        for node, _, needs in (item.partition(">") for item in part.split())
+        if needs
+    )
     nodes, edges = graph_of(spark, text)
     assert rows(reduction.redundant_edges(nodes, edges), "node_id", "depends_on") == dropped
     kept = rows(reduction.transitive_reduction(nodes, edges), "node_id", "depends_on")
@@ -202,7 +207,7 @@ def _random_pairs(seed, acyclic):
     return [f"n{i:02}" for i in range(n)], sorted(pairs)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_dags_against_plain_python(spark, seed):
     ids, pairs = _random_pairs(seed, acyclic=True)
     nodes, edges = nodes_df(spark, ids), edges_df(spark, pairs)
@@ -220,7 +225,7 @@ def test_random_dags_against_plain_python(spark, seed):
     assert rows(dropped, "node_id", "depends_on") == py_redundant(pairs)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_random_digraphs_against_plain_python(spark, seed):
     ids, pairs = _random_pairs(seed, acyclic=False)
     edges = edges_df(spark, pairs)
