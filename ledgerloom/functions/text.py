@@ -1,7 +1,7 @@
-r"""Text columns: scripts, ids from paths, formatted lines. Built-in expressions only.
+"""Text columns: scripts, ids from paths, formatted lines. Built-in expressions only.
 
 Java's ``trim`` cuts every character up to U+0020 while Spark's ``trim`` cuts blanks, so
-the cut is spelled as a pattern here.
+the characters to cut are given.
 """
 
 from __future__ import annotations
@@ -9,19 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.schemas import UP
+
 # Patterns and texts that make results comparable.
 STATEMENT_END = r";\s*?(--[^\n]*)?\r?\n"
-CONTROL_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+\z"
 ANSI_ESCAPE = r"\x1b\[[0-9;]*m"
 DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 MARKER_DONE, MARKER_OPEN = "[✓]", "[ ]"
 TAG_OK, TAG_SKIP, TAG_FAIL = "[OK]   ", "[SKIP] ", "[FAIL] "
 NOTHING_DONE = "No migrations executed. All migrations are up to date."
-NOTHING_TO_DO = "No migrations to execute. All migrations are up to date."
+ONE, MANY = " migration", " migrations"
+WILL_BE, WOULD_BE = " will be ", " would be "
+FORWARD, BACK = "executed.", "rolled back."
+FORWARD_DONE = "Migration completed successfully. "
+BACK_DONE = "Rollback completed successfully. "
+OUTSIDE_TASKS = "Task file must be under tasks/ directory: "
+# Every character that trimming cuts: U+0000 to U+0020.
+BLANKS = "".join(map(chr, range(0x21)))
 
 
 def _trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, CONTROL_EDGES, "")
+    return F.trim(value, F.lit(BLANKS))
 
 
 def statements(script: Column) -> Column:
@@ -129,26 +137,23 @@ def result_line(
 
 
 def _counted(total: Column) -> Column:
-    return F.concat(
-        total.cast("string"), F.when(total == 1, " migration").otherwise(" migrations")
-    )
+    return F.concat(total.cast("string"), F.when(total == 1, ONE).otherwise(MANY))
 
 
 def count_message(total: Column, direction: str = "UP", dry_run: bool = False) -> Column:
     """How many nodes a run is about to touch (or would touch)."""
-    verb = "would be" if dry_run else "will be"
-    action = "executed" if direction == "UP" else "rolled back"
-    return F.concat(_counted(total), F.lit(f" {verb} {action}."))
+    verb = WOULD_BE if dry_run else WILL_BE
+    return F.concat(_counted(total), F.lit(verb + (FORWARD if direction == UP else BACK)))
 
 
 def completion_message(direction: Column, executed: Column, success: Column) -> Column:
     """Closing sentence of a successful run; null for a failed one."""
-    up = direction == "UP"
+    up = direction == UP
     done = F.concat(
-        F.when(up, "Migration").otherwise("Rollback"),
-        F.lit(" completed successfully. "),
+        F.when(up, FORWARD_DONE).otherwise(BACK_DONE),
         _counted(executed),
-        F.when(up, " executed.").otherwise(" rolled back."),
+        F.lit(" "),
+        F.when(up, FORWARD).otherwise(BACK),
     )
     return F.when(success, F.when(executed == 0, NOTHING_DONE).otherwise(done))
 
@@ -159,7 +164,7 @@ def task_id_from_path(path: Column, root: str = "") -> Column:
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     below = F.substring(slashed, F.lit(len(base) + 1), F.length(slashed))
     return F.when(slashed.startswith(base), F.regexp_replace(below, r"\.yaml$", "")).otherwise(
-        F.raise_error(F.concat(F.lit("Task file must be under tasks/ directory: "), path))
+        F.raise_error(F.concat(F.lit(OUTSIDE_TASKS), path))
     )
 
 

@@ -18,6 +18,15 @@ CATEGORIES = ("project", "target", "task", "dependency", "cycle")
 NO_PROJECT = "Project configuration file not found"
 GRAPH_CYCLE = "Graph contains a cycle (circular dependency)"
 CYCLE_PREFIX = "Circular dependency detected: "
+NODE_EXISTS = "Node already exists: "
+NODE, NEEDS_UNKNOWN = "Node ", " depends on non-existent node: "
+MISSING_TYPE = "Missing required property 'type'"
+MISSING_NAME = "Missing required property 'name'"
+MISSING_TARGET = "Missing required property 'target'"
+MISSING_UP = "Missing required property 'up'"
+UNKNOWN_TYPE = "Unknown plugin type '%s'"
+UNKNOWN_TARGET = "Target '%s' not found"
+UNKNOWN_DEPENDENCY = "Dependency '%s' not found"
 FAILURE_NEEDS_MESSAGE = "Failure status requires error message"
 DOWN_HAS_SCRIPT = "DOWN execution should not have serialized_down_task"
 REQUIRED = (
@@ -63,7 +72,7 @@ def blank_ids(nodes: DataFrame) -> DataFrame:
 
 def duplicate_errors(nodes: DataFrame) -> DataFrame:
     twice = graph.duplicate_nodes(nodes)
-    text = F.concat(F.lit("Node already exists: "), F.col("node_id").cast("string"))
+    text = F.concat(F.lit(NODE_EXISTS), F.col("node_id").cast("string"))
     return error_rows(twice, "duplicate", F.col("node_id"), text)
 
 
@@ -73,9 +82,9 @@ def validate_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         has_cycle(nodes, edges).filter("has_cycle"), "cycle", F.lit(None), F.lit(GRAPH_CYCLE)
     )
     text = F.concat(
-        F.lit("Node "),
+        F.lit(NODE),
         F.col("node_id").cast("string"),
-        F.lit(" depends on non-existent node: "),
+        F.lit(NEEDS_UNKNOWN),
         F.col("depends_on").cast("string"),
     )
     dangling = graph.dangling_dependencies(nodes, edges)
@@ -154,8 +163,8 @@ def _known(types: DataFrame) -> DataFrame:
 def check_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
     """Type missing, or not among the known types."""
     joined = targets.join(_known(known_types), "type", "left")
-    problem = F.when(F.col("type").isNull(), F.lit("Missing required property 'type'")).when(
-        F.col("_known").isNull(), F.concat(F.lit("Unknown plugin type '"), "type", F.lit("'"))
+    problem = F.when(F.col("type").isNull(), F.lit(MISSING_TYPE)).when(
+        F.col("_known").isNull(), F.format_string(UNKNOWN_TYPE, "type")
     )
     return _rows_of(joined, "target", F.col("target_id"), _path("targets", "target_id", problem))
 
@@ -174,14 +183,12 @@ def _judged_tasks(tasks: DataFrame, targets_ok: DataFrame) -> DataFrame:
 
 
 def _task_problems() -> list[Column]:
-    name = F.when(F.col("name").isNull(), F.lit("Missing required property 'name'"))
-    target = F.when(
-        F.col("target").isNull(), F.lit("Missing required property 'target'")
-    ).when(F.col("_known").isNull(), F.concat(F.lit("Target '"), "target", F.lit("' not found")))
-    script = F.when(
-        F.col("_known").isNotNull() & F.col("up").isNull(),
-        F.lit("Missing required property 'up'"),
+    known = F.col("_known").isNotNull()
+    name = F.when(F.col("name").isNull(), F.lit(MISSING_NAME))
+    target = F.when(F.col("target").isNull(), F.lit(MISSING_TARGET)).when(
+        ~known, F.format_string(UNKNOWN_TARGET, F.col("target").cast("string"))
     )
+    script = F.when(known & F.col("up").isNull(), F.lit(MISSING_UP))
     return [name, target, script]
 
 
@@ -210,9 +217,7 @@ def check_dependencies(tasks_ok: DataFrame) -> DataFrame:
     dangling = graph.dangling_dependencies(
         tasks_ok.select(F.col("task_id").alias("node_id")), _task_edges(tasks_ok)
     )
-    problem = F.concat(
-        F.lit("Dependency '"), F.col("depends_on").cast("string"), F.lit("' not found")
-    )
+    problem = F.format_string(UNKNOWN_DEPENDENCY, F.col("depends_on").cast("string"))
     return error_rows(
         dangling, "dependency", F.col("node_id"), _path("tasks", "node_id", problem)
     )

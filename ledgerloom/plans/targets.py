@@ -10,7 +10,10 @@ from ledgerloom.operators.graph import direct_dependents
 from ledgerloom.operators.ledger import executed_in_graph, pending_nodes
 from ledgerloom.operators.levels import plan_levels_for, reverse_plan_levels_for
 from ledgerloom.schemas import UnknownNodeError
-from ledgerloom.scratch import Scratch
+
+# Fixed texts.
+UNKNOWN_TARGET = "Target not found"
+UNKNOWN_VERSION = "Target version not found"
 
 
 def _require_known(nodes: DataFrame, targets: DataFrame, text: str) -> None:
@@ -28,7 +31,7 @@ def up_targets_for(
     nodes: DataFrame, edges: DataFrame, history: DataFrame, targets: DataFrame
 ) -> DataFrame:
     """The targets and all they need, as far as not executed."""
-    _require_known(nodes, targets, "Target not found")
+    _require_known(nodes, targets, UNKNOWN_TARGET)
     wanted = nodes.join(target_closure(targets, edges), "node_id", "left_semi")
     return up_targets(wanted, history)
 
@@ -83,7 +86,7 @@ def rollback_targets_for(
     transitive: bool = False,
 ) -> DataFrame:
     """The candidates that are executed."""
-    _require_known(nodes, targets, "Target version not found")
+    _require_known(nodes, targets, UNKNOWN_VERSION)
     wanted = nodes.join(rollback_candidates(targets, edges, transitive), "node_id", "left_semi")
     return rollback_targets_all(wanted, history)
 
@@ -94,8 +97,3 @@ def rollback_plan(
     """``level, node_id, executed``, dependents first."""
     plan = reverse_plan_levels_for(nodes, edges, targets)
     return _with_executed(plan, nodes, history)
-
-
-def stored_plan(plan: DataFrame) -> DataFrame:
-    """A plan written once, for callers that both show it and run it."""
-    return Scratch(plan.sparkSession, "plan").keep(plan, "plan")[0]
