@@ -21,13 +21,13 @@ def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, in
 
     What is left lies on cycles or on paths between them.
     """
-    core, n = edges, 0
-    for turn in ("bottom", "top"):
+    core = edges
+    for _ in ("bottom", "top"):
         stuck = peel(None, core).stuck
         if stuck is None:
             return core.limit(0), 0
-        core, n = scratch.keep(reversed_edges(stuck), f"{label}-{turn}")
-    return core, n
+        core = reversed_edges(stuck)
+    return scratch.keep(core, label)
 
 
 def _colours(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:

@@ -25,6 +25,9 @@ INVALID_TEXT = "Graph contains a cycle or invalid dependencies"
 
 # Edge tables below this many rows are scanned again rather than written anew.
 COMPACT_ROWS = 1_000_000
+# Logs up to this many rows are summed whole; longer ones are first cut down to the nodes
+# that the last round hit.
+SHORT_LOG = 500_000
 
 
 class Peeled:
@@ -40,7 +43,10 @@ class Peeled:
 
 
 def peel(
-    nodes: DataFrame | None, edges: DataFrame, compact_rows: int = COMPACT_ROWS
+    nodes: DataFrame | None,
+    edges: DataFrame,
+    compact_rows: int = COMPACT_ROWS,
+    short_log: int = SHORT_LOG,
 ) -> Peeled:
     """Settle nodes from the bottom up; ``edges`` must be distinct.
 
@@ -49,24 +55,28 @@ def peel(
     spark = edges.sparkSession
     scratch = Scratch(spark, "levels")
     id_type = edges.schema["node_id"].dataType
-    id_field = T.StructField("node_id", id_type)
-    tally = T.StructType([id_field, T.StructField("hits", T.LongType())])
+    tally = T.StructType(
+        [
+            T.StructField("node_id", id_type),
+            T.StructField("hits", T.LongType()),
+            T.StructField("round", T.IntegerType()),
+        ]
+    )
     left, n_left = scratch.keep(edges.select("node_id", "depends_on"), "edges-0")
     ids = ends(left) if nodes is None else nodes.select("node_id").distinct()
     # What a node still waits for, as a negative count.
-    scratch.write(
-        left.groupBy("node_id").agg((-F.count(F.lit(1))).alias("hits")), "open-0"
-    )
-    counted, rounds, met = ["open-0"], 0, 0
+    waits = left.groupBy("node_id").agg((-F.count(F.lit(1))).alias("hits"))
+    logged = scratch.write(waits.withColumn("round", F.lit(-1)), "open-0")["n"]
+    log, rounds, met = ["open-0"], 0, 0
 
-    def balance() -> DataFrame:
-        return scratch.read(tally, *counted)
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node_id").agg(F.sum("hits").alias("hits"), F.max("round").alias("round"))
 
     def waiting() -> DataFrame:
         """Nodes with edges that were not hit yet."""
-        return balance().groupBy("node_id").agg(F.sum("hits").alias("hits")).filter("hits < 0")
+        return summed(scratch.read(tally, *log)).filter("hits < 0")
 
-    settled = ids.join(balance().select("node_id"), "node_id", "left_anti")
+    settled = ids.join(scratch.read(tally, *log).select("node_id"), "node_id", "left_anti")
     open_edges = n_left
     while open_edges:
         just = settled.select(F.col("node_id").alias("depends_on"))
@@ -74,43 +84,42 @@ def peel(
             left.join(just, "depends_on", "left_semi")
             .groupBy("node_id")
             .agg(F.count(F.lit(1)).alias("hits"))
+            .withColumn("round", F.lit(rounds))
         )
-        name = f"round={rounds}"
-        hits = scratch.write(hit, name, hits=F.sum("hits"))["hits"]
-        if not hits:
+        name = f"hits-{rounds}"
+        counts = scratch.write(hit, name, hits=F.sum("hits"))
+        if not counts["n"]:
             break
-        rounds, open_edges, met = rounds + 1, open_edges - hits, met + hits
+        rounds, logged = rounds + 1, logged + counts["n"]
+        open_edges, met = open_edges - counts["hits"], met + counts["hits"]
         if not open_edges:
             break
-        counted.append(name)
-        touched = scratch.read(tally, name).select("node_id")
-        full = (
-            balance()
-            .join(touched, "node_id", "left_semi")
-            .groupBy("node_id")
-            .agg(F.sum("hits").alias("hits"))
-            .filter("hits = 0")
-        )
-        settled = touched.join(full, "node_id", "left_semi")
+        log.append(name)
+        rows, touched = scratch.read(tally, *log), scratch.read(tally, name).select("node_id")
+        if logged > short_log:
+            rows = rows.join(touched, "node_id", "left_semi")
+        settled = summed(rows).filter((F.col("hits") == 0) & (F.col("round") == rounds - 1))
+        if logged > short_log:
+            # The same set, but the planner knows that it is no larger than the last hits.
+            settled = touched.join(settled, "node_id", "left_semi")
         if n_left >= compact_rows and 2 * met >= n_left:
             # The frontier comes from the old counts, so it is written before they go.
-            settled, _ = scratch.keep(settled, f"settled-{rounds}")
-            scratch.write(waiting(), f"open-{rounds}")
-            counted = [f"open-{rounds}"]
-            live = balance().select(F.col("node_id").alias("depends_on")).unionByName(
-                settled.select(F.col("node_id").alias("depends_on"))
+            settled, _ = scratch.keep(settled.select("node_id"), f"settled-{rounds}")
+            logged = scratch.write(
+                waiting().withColumn("round", F.lit(-1)), f"open-{rounds}"
+            )["n"]
+            log = [f"open-{rounds}"]
+            live = scratch.read(tally, *log).select("node_id").unionByName(settled)
+            rest = left.join(
+                live.select(F.col("node_id").alias("depends_on")), "depends_on", "left_semi"
             )
-            rest = left.join(live, "depends_on", "left_semi").select("node_id", "depends_on")
-            left, n_left = scratch.keep(rest, f"edges-{rounds}")
+            left, n_left = scratch.keep(rest.select("node_id", "depends_on"), f"edges-{rounds}")
             met = 0
     levels = ids.withColumn("level", F.lit(0))
     if rounds:
+        every = [f"hits-{i}" for i in range(rounds)]
         last = (
-            spark.read.schema(T.StructType([id_field, T.StructField("round", T.IntegerType())]))
-            .option("basePath", scratch.path)
-            .parquet(f"{scratch.path}/round=*")
-            .groupBy("node_id")
-            .agg((F.max("round") + 1).alias("_level"))
+            scratch.read(tally, *every).groupBy("node_id").agg((F.max("round") + 1).alias("_level"))
         )
         levels = ids.join(last, "node_id", "left").select(
             "node_id", F.coalesce("_level", F.lit(0)).alias("level")

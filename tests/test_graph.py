@@ -214,8 +214,8 @@ def test_random_dags_against_plain_python(spark, seed):
     expected = py_levels(ids, pairs)
     plan = levels.plan_levels(nodes, edges)
     assert {r["node_id"]: r["level"] for r in plan.collect()} == expected
-    # The same when every round that may writes the remaining edges anew.
-    compacted = levels.peel(nodes, edges, compact_rows=0)
+    # The same when every round that may writes the remaining edges anew, and with long logs.
+    compacted = levels.peel(nodes, edges, compact_rows=0, short_log=0)
     assert {r["node_id"]: r["level"] for r in compacted.levels.collect()} == expected
     assert compacted.stuck is None
     reach = py_closure(pairs)
@@ -240,6 +240,6 @@ def test_random_digraphs_against_plain_python(spark, seed):
     assert {(r[1], r[0]): r[2] for r in walked} == {
         (a, b): n for (a, b), n in reach.items() if b in ids[:5]
     }
-    peeled = levels.peel(nodes_df(spark, ids), edges, compact_rows=0)
+    peeled = levels.peel(nodes_df(spark, ids), edges, short_log=0)
     stuck_sources = {a for a, b in rows(peeled.stuck, "node_id", "depends_on")}
     assert set(on_cycle) <= stuck_sources
