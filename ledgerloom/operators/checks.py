@@ -157,7 +157,9 @@ def check_project(project: DataFrame, project_file: str = "project.yaml") -> Dat
 
 
 def _known(types: DataFrame) -> DataFrame:
-    return types.select("type", F.lit(True).alias("_known")).distinct()
+    """Known types, written: a type that most targets share meets a table of true size."""
+    names, _ = Scratch(types.sparkSession, "types").keep(types.select("type").distinct(), "known")
+    return names.withColumn("_known", F.lit(True))
 
 
 def check_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
@@ -170,7 +172,9 @@ def check_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
 
 
 def valid_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
-    return targets.join(_known(known_types), "type", "left_semi").select("target_id").distinct()
+    """Ids of sound targets, written for the same reason: tasks may share one target."""
+    sound = targets.join(_known(known_types), "type", "left_semi").select("target_id")
+    return Scratch(targets.sparkSession, "targets").keep(sound.distinct(), "valid")[0]
 
 
 def _judged_tasks(tasks: DataFrame, targets_ok: DataFrame) -> DataFrame:

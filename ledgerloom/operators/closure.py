@@ -37,7 +37,7 @@ def transitive_dependencies(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     scratch = Scratch(spark, "closure")
     schema = _pairs(edges.schema["node_id"].dataType)
-    hops, n_edges = scratch.keep(edges.select("node_id", "depends_on").distinct(), "edges")
+    hops, n_edges = scratch.keep(edges.select("node_id", "depends_on"), "edges")
     frontier = seeds.select(F.col("node_id").alias("seed"), "node_id").distinct()
     rounds: list[str] = []
     while n_edges:

@@ -65,7 +65,7 @@ def cycle_nodes(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     leave and the rest is trimmed and coloured again: space stays linear in the core.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
-    core, n = _trim(scratch, edges.select("node_id", "depends_on").distinct(), "trim0")
+    core, n = _trim(scratch, edges, "trim0")
     id_type = edges.schema["node_id"].dataType
     schema = T.StructType([T.StructField("node_id", id_type)])
     found: list[str] = []
@@ -90,7 +90,7 @@ def cycle_nodes(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
         members = transitive_dependents(heads, inside).select("node_id").distinct()
         on_cycle, _ = scratch.keep(members, f"found-{turn}")
         found.append(f"found-{turn}")
-        gone = on_cycle.unionByName(heads).distinct()
+        gone = on_cycle.unionByName(heads)
         rest = core.join(gone, "node_id", "left_anti").join(
             gone.select(F.col("node_id").alias("depends_on")), "depends_on", "left_anti"
         )
@@ -114,7 +114,7 @@ def cycle_path(edges: DataFrame) -> DataFrame:
     )
     rounds: list[str] = []
     if n:
-        hops, _ = scratch.keep(induced_subgraph(edges, on_cycle).distinct(), "edges")
+        hops, _ = scratch.keep(induced_subgraph(edges, on_cycle), "edges")
         frontier = on_cycle.agg(F.min("node_id").alias("node_id")).select(
             "node_id", F.array("node_id").alias("path")
         )

@@ -30,8 +30,12 @@ def ends(edges: DataFrame) -> DataFrame:
 
 
 def explode_dependencies(nodes: DataFrame) -> DataFrame:
-    """Dependency lists as an edge set; a null list means none."""
-    return nodes.select("node_id", F.explode("dependencies").alias("depends_on")).dropna().distinct()
+    """Dependency lists as an edge set; a null list means none.
+
+    Nodes are unique, so a list is made distinct within its row and nothing is shuffled.
+    """
+    needs = F.explode(F.array_distinct("dependencies"))
+    return nodes.select("node_id", needs.alias("depends_on")).dropna()
 
 
 def has_no_dependencies(dependencies: Column) -> Column:
@@ -81,11 +85,13 @@ def nodes_per_environment(nodes: DataFrame) -> DataFrame:
 
 
 def direct_dependencies(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """``seed, node_id``: what each seed (column ``node_id``) needs directly."""
-    return (
-        edges.join(seeds.select("node_id"), "node_id", "left_semi")
-        .select(F.col("node_id").alias("seed"), F.col("depends_on").alias("node_id"))
-        .distinct()
+    """``seed, node_id``: what each seed (column ``node_id``) needs directly.
+
+    Edges are a set and a semi-join repeats none, so no distinct binds the join to the
+    layout of its key: a hot seed may be split.
+    """
+    return edges.join(seeds.select("node_id"), "node_id", "left_semi").select(
+        F.col("node_id").alias("seed"), F.col("depends_on").alias("node_id")
     )
 
 
@@ -115,20 +121,10 @@ def add_edges(
     """``(edges, errors)``: new edges are taken when both ends exist, else reported."""
     from ledgerloom.operators.checks import error_rows
 
-    flagged = (
-        new_edges.select("node_id", "depends_on")
-        .distinct()
-        .join(nodes.select("node_id", F.lit(True).alias("_from")).distinct(), "node_id", "left")
-        .join(
-            nodes.select(F.col("node_id").alias("depends_on"), F.lit(True).alias("_to")).distinct(),
-            "depends_on",
-            "left",
-        )
-    )
-    whole = F.col("_from").isNotNull() & F.col("_to").isNotNull()
-    taken = flagged.filter(whole).select("node_id", "depends_on")
+    offered = new_edges.select("node_id", "depends_on").distinct()
+    taken = induced_subgraph(offered, nodes)
     refused = error_rows(
-        flagged.filter(~whole),
+        offered.join(taken, ["node_id", "depends_on"], "left_anti"),
         "dangling",
         F.concat(F.col("node_id").cast("string"), F.lit(" -> "), F.col("depends_on").cast("string")),
         F.lit("Both nodes must exist in the graph"),

@@ -45,18 +45,18 @@ def latest_record(history: DataFrame, keys: DataFrame | None = None) -> DataFram
     ``row_number() = 1`` is planned with a group limit before the shuffle: each task sends
     at most one row per key, so a key that holds much of the ledger does not pile up.
     """
-    if keys is not None:
-        history = history.join(keys.select(*KEYS), KEYS, "left_semi")
     order = [F.col("executed_at").desc()]
     if "seq" in history.columns:
         order.append(F.col("seq").asc())
     order.append(F.col("id").asc())
     newest = Window.partitionBy(*KEYS).orderBy(*order)
-    return (
+    latest = (
         history.withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") == 1)
         .drop("_rank")
     )
+    # Keys are matched after the cut, when each has one row left.
+    return latest if keys is None else latest.join(keys.select(*KEYS), KEYS, "left_semi")
 
 
 def applied(direction: Column, status: Column) -> Column:

@@ -26,8 +26,10 @@ INVALID_TEXT = "Graph contains a cycle or invalid dependencies"
 # Edge tables below this many rows are scanned again rather than written anew.
 COMPACT_ROWS = 1_000_000
 # Logs up to this many rows are summed whole; longer ones are first cut down to the nodes
-# that the last round hit.
-SHORT_LOG = 500_000
+# that the last round hit, and a frontier from them is written before the edges meet it. A
+# written side can be broadcast by its true size or, beyond that, be shuffled in a join
+# whose hot keys adaptive execution may split; an aggregate that feeds a join cannot.
+SHORT_LOG = 100_000
 
 
 class Peeled:
@@ -48,9 +50,10 @@ def peel(
     compact_rows: int = COMPACT_ROWS,
     short_log: int = SHORT_LOG,
 ) -> Peeled:
-    """Settle nodes from the bottom up; ``edges`` must be distinct.
+    """Settle nodes from the bottom up.
 
-    Without ``nodes`` the ends of the edges are the nodes.
+    Without ``nodes`` the ends of the edges are the nodes. Repeated edges do no harm: they
+    are counted the same when waited for and when hit.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "levels")
@@ -77,6 +80,8 @@ def peel(
         return summed(scratch.read(tally, *log)).filter("hits < 0")
 
     settled = ids.join(scratch.read(tally, *log).select("node_id"), "node_id", "left_anti")
+    if logged > short_log:
+        settled, _ = scratch.keep(settled, "settled-0")
     open_edges = n_left
     while open_edges:
         just = settled.select(F.col("node_id").alias("depends_on"))
@@ -100,11 +105,10 @@ def peel(
             rows = rows.join(touched, "node_id", "left_semi")
         settled = summed(rows).filter((F.col("hits") == 0) & (F.col("round") == rounds - 1))
         if logged > short_log:
-            # The same set, but the planner knows that it is no larger than the last hits.
-            settled = touched.join(settled, "node_id", "left_semi")
+            settled, _ = scratch.keep(settled.select("node_id"), f"settled-{rounds}")
         if n_left >= compact_rows and 2 * met >= n_left:
             # The frontier comes from the old counts, so it is written before they go.
-            settled, _ = scratch.keep(settled.select("node_id"), f"settled-{rounds}")
+            settled, _ = scratch.keep(settled.select("node_id"), f"frontier-{rounds}")
             logged = scratch.write(
                 waiting().withColumn("round", F.lit(-1)), f"open-{rounds}"
             )["n"]
@@ -137,13 +141,13 @@ def _existing_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row ``has_cycle``; edges to unknown nodes are ignored, self-loops count."""
-    stuck = peel(nodes, _existing_edges(nodes, edges).distinct()).stuck
+    stuck = peel(nodes, _existing_edges(nodes, edges)).stuck
     return nodes.sparkSession.range(1).select(F.lit(stuck is not None).alias("has_cycle"))
 
 
 def plan_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``level, node_id`` of the whole graph; raises on a cycle or a dangling edge."""
-    peeled = peel(nodes, edges.select("node_id", "depends_on").distinct())
+    peeled = peel(nodes, edges)
     if peeled.stuck is not None:
         cyclic = peel(nodes, _existing_edges(nodes, peeled.stuck)).stuck
         raise CycleError(INVALID_TEXT if cyclic is None else CYCLE_TEXT)

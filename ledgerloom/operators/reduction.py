@@ -24,10 +24,12 @@ def redundant_edges(
     scratch = Scratch(edges.sparkSession, "reduction")
     if levels is None:
         levels = plan_levels(nodes, edges)
+    # Sides that many edges may meet in one key are written first, so that the joins shuffle
+    # plain tables, whose hot keys adaptive execution may split.
+    levels, _ = scratch.keep(levels.select("node_id", "level"), "levels")
     low = levels.select(F.col("node_id").alias("depends_on"), F.col("level").alias("low"))
     high = levels.select("node_id", F.col("level").alias("high"))
-    # Marks on nodes that have a candidate edge are added per edge, without gathering them.
-    graded, n_edges = scratch.keep(
+    graded, _ = scratch.keep(
         edges.select("node_id", "depends_on").distinct().join(low, "depends_on").join(high, "node_id"),
         "graded",
     )
@@ -45,8 +47,13 @@ def redundant_edges(
     visited: list[str] = []
     if n_candidates:
         hops = graded.select("node_id", "depends_on", "low")
-        unhit = candidates.select(F.col("node_id").alias("seed"), F.col("low").alias("_low"))
-        floors = unhit.groupBy("seed").agg(F.min("_low").alias("_floor"))
+
+        def floors_of(unhit: DataFrame) -> DataFrame:
+            """Per seed the lowest level that it still looks for."""
+            floors = unhit.groupBy(F.col("node_id").alias("seed")).agg(F.min("low").alias("_floor"))
+            return scratch.keep(floors, f"floors-{len(visited)}")[0]
+
+        floors = floors_of(candidates)
         frontier = (
             graded.select(
                 F.col("node_id").alias("seed"),
@@ -78,11 +85,7 @@ def redundant_edges(
             hit = scratch.read(schema, *visited).select(
                 F.col("seed").alias("node_id"), F.col("node_id").alias("depends_on")
             )
-            floors = (
-                candidates.join(hit, ["node_id", "depends_on"], "left_anti")
-                .groupBy(F.col("node_id").alias("seed"))
-                .agg(F.min("low").alias("_floor"))
-            )
+            floors = floors_of(candidates.join(hit, ["node_id", "depends_on"], "left_anti"))
             frontier = scratch.read(schema, name).join(floors, "seed").filter("level > _floor")
     hit = scratch.read(schema, *visited).select(
         F.col("seed").alias("node_id"), F.col("node_id").alias("depends_on")
