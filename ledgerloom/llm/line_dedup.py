@@ -9,8 +9,8 @@ units are equal apart from spaces at their ends.
    occurs twice has a fingerprint in common. A unit of ``long_unit`` words is one of its own.
 2. Positions are joined on fingerprints; those that occur once are done with.
 3. Around each fingerprint that repeats, the match is extended both ways: all runs of ``t``
-   units that hold it are compared, step by step to the left and right, and a run that
-   occurred earlier, by (doc_id, position), is a later copy.
+   units that chose it, reaching to its left and right, are compared, and a run that occurred
+   earlier, by (doc_id, position), is a later copy. Runs that overlap add up to the whole match.
 4. The units of later copies are deleted. A copy that overlaps its own first occurrence, as in
    one unit said over and over, stays.
 
@@ -46,14 +46,16 @@ def _bare(unit: Column) -> Column:
 
 
 def _key(text: Column) -> Column:
-    return F.xxhash64(text)
+    """Tells texts of one doc_id apart; four bytes, as it travels with every fingerprint."""
+    return F.hash(text)
 
 
 def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> DataFrame:
     """Winnowed fingerprints with the hashes of the runs around them.
 
-    ``(doc_id, text_key, print, spans)``: spans are ``(lo, hi, hash)`` of every run of t units,
-    or of the long unit, that the fingerprint lies in; lo and hi are places in the text.
+    ``(doc_id, text_key, print, lo, hi, hash)``: lo, hi and hash are arrays, with an entry for
+    every run of t units that chose the fingerprint, or for the long unit; lo and hi are the
+    places of its ends in the text.
     A column that a lambda reads is named outside of it too: Spark computes it once then,
     and not again for each element.
     """
@@ -120,8 +122,12 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
         )
 
     def spans(at: Column) -> Column:
+        """Each run of t units belongs to the one fingerprint that its window chose."""
         first, last = F.greatest(at - (window - 1), F.lit(0)), F.least(at, n - t)
-        return F.transform(F.sequence(first, last), lambda s: span(s, t))
+        chosen_here = F.filter(
+            F.sequence(first, last), lambda s: F.element_at("chosen", s + 1)["at"] == at
+        )
+        return F.transform(chosen_here, lambda s: span(s, t))
 
     short = F.transform(
         kept, lambda x: F.struct(x["print"].alias("print"), spans(x["at"]).alias("spans"))
@@ -134,9 +140,9 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
     )
     none = F.array().cast("array<struct<print:bigint,spans:array<struct<lo:int,hi:int,hash:bigint>>>>")
     marks = F.concat(F.coalesce(short, none), F.coalesce(long, none))
-    return chosen.select(
-        "doc_id", "text_key", F.explode(marks).alias("mark"), F.size("places").alias("n_units")
-    ).select("doc_id", "text_key", "mark.*")
+    return chosen.select("doc_id", "text_key", F.explode(marks).alias("mark")).select(
+        "doc_id", "text_key", "mark.print", *[f"mark.spans.{c}" for c in ("lo", "hi", "hash")]
+    )
 
 
 def later_copies(
@@ -148,9 +154,7 @@ def later_copies(
     repeated = marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     runs = (
         marks.join(repeated.select("print"), "print")
-        .select("doc_id", "text_key", F.explode("spans").alias("span"))
-        .select("doc_id", "text_key", "span.*")
-        .distinct()
+        .select("doc_id", "text_key", F.inline(F.arrays_zip("lo", "hi", "hash")))
     )
     runs, _ = scratch.keep(runs, "runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "lo", "hi")
