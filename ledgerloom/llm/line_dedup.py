@@ -151,9 +151,11 @@ def later_copies(
     """``(doc_id, text_key, spans)``: where each document's later copies lie."""
     scratch = Scratch(docs.sparkSession, "lines")
     marks, _ = scratch.keep(fingerprints(docs, run, window, long_unit), "marks")
+    # Written, so that a print that many documents share can be split in the join.
     repeated = marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated, _ = scratch.keep(repeated.select("print"), "repeated")
     runs = (
-        marks.join(repeated.select("print"), "print")
+        marks.join(repeated, "print")
         .select("doc_id", "text_key", F.inline(F.arrays_zip("lo", "hi", "hash")))
     )
     runs, _ = scratch.keep(runs, "runs")
@@ -164,6 +166,7 @@ def later_copies(
         .filter("n > 1")
         .select("hash", "first")
     )
+    firsts, _ = scratch.keep(firsts, "firsts")
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (
         F.col("first.text_key") == F.col("text_key")
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, mixing, near_dedup
+from ledgerloom.llm import bpe, line_dedup, mixing, near_dedup, token_counts
 from ledgerloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,21 @@ def op3_source_mixing(spark, sf_dir):
     )
 
 
+@query
+def op5_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(
+        documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, with_ids=False
+    )
+
+
 @query
 def op8_minhash_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
+    )
