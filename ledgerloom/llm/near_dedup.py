@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import components
@@ -33,8 +33,12 @@ from ledgerloom.scratch import Scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 36 bands of 7 components: a pair of similarity 0.8 misses all bands once in 4,800.
-BANDS, ROWS = 36, 7
+#: 56 bands of 9 components: a pair of similarity 0.8 misses all bands once in 3,100.
+BANDS, ROWS = 56, 9
+#: Standard deviations below the threshold at which a pair's estimate rules it out.
+SIGMAS = 3.0
+#: Bits of each component in the sketch that the estimate is made from.
+BITS = 4
 
 
 def weighted(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +117,39 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return mix64(mixed ^ salted(BANDS, 9))
 
 
-SIGNED = "doc_id long, bag_a long, bag_b long, n_shingles long, bands array<long>"
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """BITS bits of each component, 16 components in a 64-bit word."""
+    n, size = signature.shape
+    words = -(-size // 16)
+    low = np.zeros((n, words * 16), dtype=np.uint64)
+    low[:, :size] = mix64(signature.view(np.uint64)) & np.uint64(15)
+    shifts = (np.arange(16, dtype=np.uint64) * np.uint64(BITS))[None, None, :]
+    return (low.reshape(n, words, 16) << shifts).sum(axis=2, dtype=np.uint64)
+
+
+def may_reach(similarity: float, left: str, right: str) -> Column:
+    """Whether two sketches differ in few enough components for the similarity.
+
+    Components of a pair of that similarity are equal with probability ``p``, by chance of
+    BITS bits included; fewer equal ones than SIGMAS deviations below the mean rule it out.
+    """
+    size = BANDS * ROWS
+    p = similarity + (1 - similarity) / 2**BITS
+    most = int(size * (1 - p) + SIGMAS * (size * p * (1 - p)) ** 0.5)
+
+    def differing(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+
+    total = F.aggregate(F.zip_with(left, right, differing), F.lit(0), lambda n, x: n + x)
+    return total <= most
+
+
+SIGNED = (
+    "doc_id long, bag_a long, bag_b long, n_shingles long, bands array<long>, sketch array<long>"
+)
 
 
 def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,18 +167,21 @@ def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 scrambled = mix64(value ^ salted(2, 11)[k]) * mix64(count.astype(np.uint64))
                 np.add.at(bag[k], doc, scrambled)
             signature = bag_minhash(doc, value, count, n, BANDS * ROWS)
-            bands = band_hashes(signature).view(np.int64)
-            flat = pa.array(bands.ravel())
-            offsets = pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32))
+            lists = []
+            for table in (band_hashes(signature), sketches(signature)):
+                width = table.shape[1]
+                offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
+                flat = pa.array(table.view(np.int64).ravel())
+                lists.append(pa.ListArray.from_arrays(offsets, flat))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, n),
                     pa.array(bag[0].view(np.int64)),
                     pa.array(bag[1].view(np.int64)),
                     pa.array(total),
-                    pa.ListArray.from_arrays(offsets, flat),
+                    *lists,
                 ],
-                names=["doc_id", "bag_a", "bag_b", "n_shingles", "bands"],
+                names=["doc_id", "bag_a", "bag_b", "n_shingles", "bands", "sketch"],
             )
 
 
@@ -190,9 +229,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Equal multisets fall into one class first, and one of each goes on. In a band's bucket all
     members are compared with one pivot, the member that meets most others over all bands.
     Links found make components. What is left are pairs of different components in one
-    bucket: members outside the bucket's largest component are compared with those of the
-    other components. So a group of n copies costs about n comparisons, and yet no
-    pair of a bucket stays undecided.
+    bucket: members outside the bucket's largest component meet those of the other
+    components, and pairs whose sketches leave a similarity that high possible are compared.
+    So a group of n copies costs about n comparisons, and yet no pair of a bucket stays
+    undecided.
     """
     scratch = Scratch(docs.sparkSession, "near")
     signed, _ = scratch.keep(docs.select("doc_id", "text").mapInArrow(sign, SIGNED), "signed")
@@ -210,8 +250,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # One row for each head: its own bands.
     own = bagged.join(
         heads.withColumnRenamed("head", "doc_id"), ["bag_a", "bag_b", "doc_id"]
-    ).select(F.col("doc_id").alias("head"), F.posexplode("bands").alias("band", "bucket"))
-    cells = own.select("head", F.xxhash64("band", "bucket").alias("bucket")).distinct()
+    ).withColumnRenamed("doc_id", "head")
+    cells = own.select("head", F.posexplode("bands").alias("band", "bucket"))
+    cells = cells.select("head", F.xxhash64("band", "bucket").alias("bucket")).distinct()
     crowded = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared, _ = scratch.keep(cells.join(crowded, "bucket"), "shared")
 
@@ -251,14 +292,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .select("bucket", F.col("top.component").alias("largest"))
     )
     divided, _ = scratch.keep(
-        labelled.join(largest, "bucket").filter("head <> pivot"), "divided"
+        labelled.join(largest, "bucket")
+        .filter("head <> pivot")
+        .join(own.select("head", "sketch").dropDuplicates(["head"]), "head"),
+        "divided",
     )
     minor = divided.filter("component <> largest").select(
-        "bucket", F.col("head").alias("x"), F.col("component").alias("cx")
+        "bucket",
+        F.col("head").alias("x"),
+        F.col("component").alias("cx"),
+        F.col("sketch").alias("sx"),
     )
     second = (
         minor.join(divided, "bucket")
-        .filter("component <> cx")
+        .filter((F.col("component") != F.col("cx")) & may_reach(similarity, "sketch", "sx"))
         .select(F.least("head", "x").alias("a"), F.greatest("head", "x").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
