@@ -66,5 +66,23 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN epochs < 3 AND 2 * (target - epochs * source_size - before) >= size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed
+""",
+    "op7_embedding_dedup": r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+   AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), components AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN components USING (vec_id) LEFT JOIN counts USING (vec_id)
 """,
 }

@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, line_dedup, mixing, near_dedup, token_counts
+from ledgerloom.llm import (
+    bpe,
+    embedding_dedup,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_rules,
+    token_counts,
+)
 from ledgerloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +40,11 @@ def op3_source_mixing(spark, sf_dir):
     )
 
 
+@query
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
 @query
 def op5_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,6 +53,12 @@ def op5_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op7_embedding_dedup(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return embedding_dedup.near_duplicate_vectors(vectors)
+
+
 @query
 def op8_minhash_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir))
