@@ -12,10 +12,13 @@ from ledgerloom.llm import (
     bpe,
     embedding_dedup,
     line_dedup,
+    lm_scoring,
     mixing,
     near_dedup,
+    quality_cotraining,
     quality_rules,
     token_counts,
+    toxicity,
 )
 from ledgerloom.llm.common import documents
 
@@ -33,6 +36,12 @@ def op1_line_dedup(spark, sf_dir):
     return cut.select("doc_id", "text", "n_deleted")
 
 
+@query
+def op2_quality_classifier(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_cotraining.score_quality(documents(spark, sf_dir), labels)
+
+
 @query
 def op3_source_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select(
@@ -53,6 +62,12 @@ def op5_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op6_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels)
+
+
 @query
 def op7_embedding_dedup(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -69,3 +84,8 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(
         documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")
     )
+
+
+@query
+def op10_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_documents(documents(spark, sf_dir))
