@@ -72,13 +72,14 @@ def split_key(key: Column) -> Column:
 
 
 def pivot_props(props: DataFrame, fields: dict[str, str], owner: str = "owner") -> DataFrame:
-    """Key/value rows to one typed record per owner.
+    """Key/value rows to one typed record per owner, and per kind where there is one.
 
     ``fields`` maps keys to types. The list is fixed, so one aggregation with a combine
     step and one shuffle does it; a value that does not fit its type becomes null.
     """
     key, value = F.col("key"), F.col("value")
-    wide = props.filter(key.isin(*fields)).groupBy(owner)
+    wide = props.filter(key.isin(*fields))
+    wide = wide.groupBy(*[c for c in ("kind", owner) if c in props.columns])
     return wide.agg(
         *[F.max(F.when(key == k, value)).try_cast(t).alias(k) for k, t in fields.items()]
     )

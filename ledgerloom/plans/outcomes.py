@@ -47,10 +47,12 @@ def _visit(
         judged,
         "judged",
         failure=F.min(F.when(F.col("_would") == "FAIL", place)),
-        unreported=F.min(F.when(F.col("_would").isNull(), F.col("node_id"))),
+        unreported=F.min(F.when(F.col("_would").isNull(), place)),
+        # A run stops at its first failure, so nobody reports the nodes behind it.
+        ahead=F.min(F.when(F.coalesce(F.col("_would") == "FAIL", F.col("_would").isNull()), place)),
     )
-    if seen["unreported"] is not None:
-        raise ValueError(f"No outcome for node {seen['unreported']}")
+    if seen["unreported"] is not None and seen["ahead"] == seen["unreported"]:
+        raise ValueError(f"No outcome for node {seen['unreported']['node_id']}")
     judged, reached = scratch.read(judged.schema, "judged"), F.lit(True)
     if seen["failure"] is not None:
         level, node_id = seen["failure"]

@@ -10,7 +10,6 @@ during the write itself; no extra job is run for them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from typing import Any
 
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one only on a local master."""
+    """The shared folder of this session; on a local master else one in its warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -29,8 +28,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-    return context.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
 
 
 class Scratch:

@@ -74,21 +74,23 @@ def current_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def outcome_counts_stream(
-    events: DataFrame, window: str = "1 day", lateness: str = "1 day"
+    events: DataFrame, window: str = "1 day", lateness: str | None = None
 ) -> DataFrame:
     """Successes, skips and failures per tumbling window and direction.
 
-    ``events`` has ``event_time, direction, event``. The watermark bounds the state: in
-    append mode a window comes out once, when it has passed.
+    ``events`` has ``event_time, direction, event``. State is one row per window and
+    direction, and every event counts, however late. ``lateness`` sets a watermark, which
+    append mode needs: a window then comes out once, when it has passed, without later rows.
     """
 
     def tally(event: str):
         return F.count_if(F.col("event") == event).alias(event)
 
+    timed = events.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    if lateness is not None:
+        timed = timed.withWatermark("event_time", lateness)
     return (
-        events.withColumn("event_time", F.col("event_time").cast("timestamp"))
-        .withWatermark("event_time", lateness)
-        .groupBy(F.window("event_time", window).alias("w"), "direction")
+        timed.groupBy(F.window("event_time", window).alias("w"), "direction")
         .agg(tally("succeeded"), tally("skipped"), tally("failed"))
         .select(
             F.col("w.start").alias("window_start"), "direction", "succeeded", "skipped", "failed"

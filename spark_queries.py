@@ -677,7 +677,8 @@ def target_ids(spark, sf):
 def pivot_props(spark, sf):
     top = props.overlay_props(d.keyed_props(spark, sf))
     owned = top.select(props.split_key(F.col("key")).alias("k"), "value").select("k.*", "value")
-    return props.pivot_props(owned, {"name": "string", "type": "string", "balance": "bigint"})
+    fields = {"name": "string", "type": "string", "balance": "bigint"}
+    return props.pivot_props(owned, fields).drop("kind")
 
 
 @query

@@ -107,3 +107,13 @@ def test_rollback_skips(spark):
     }
     made = runs.outcome_records(visited, DOWN)
     assert rows(made, "node_id", "direction", "serialized_down_task") == {("a", "DOWN", None)}
+
+
+def test_nobody_reports_nodes_behind_the_first_failure(spark):
+    nodes, edges = graph_of(spark, "b>a c>a,b d>b,c")
+    done = applied(spark, "a")
+    plan = plans.up_plan(nodes, edges, done, plans.up_targets(nodes, done))
+    run = runs.up_outcomes(plan, nodes, reported(spark, b=True, c=False))
+    assert rows(run, "node_id", "outcome") == {("b", "OK"), ("c", "FAIL"), ("d", "NOT_REACHED")}
+    with pytest.raises(ValueError, match="node b"):
+        runs.up_outcomes(plan, nodes, reported(spark, c=False)).collect()

@@ -53,7 +53,7 @@ def test_counts_close_behind_the_watermark(spark, out):
     events.coalesce(1).write.parquet(f"{out}/in")
     late.coalesce(1).write.mode("append").parquet(f"{out}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{out}/in")
-    counts = streams.outcome_counts_stream(derived.run_events(stream))
+    counts = streams.outcome_counts_stream(derived.run_events(stream), lateness="1 day")
     sink = counts.writeStream.format("parquet").option("path", f"{out}/counts").outputMode("append")
     streams.drain(sink, f"{out}/check")
     found = spark.read.parquet(f"{out}/counts")
@@ -61,6 +61,16 @@ def test_counts_close_behind_the_watermark(spark, out):
     assert total == events.count()
 
 
+def test_counts_lose_no_late_event(spark, out):
+    events, stream = in_pieces(spark, out)
+    counts = streams.outcome_counts_stream(derived.run_events(stream))
+    query = streams.drain(streams.changes_to_table(counts, f"{out}/counts"), f"{out}/check")
+    assert len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) == 4
+    now = streams.current_rows(spark.read.parquet(f"{out}/counts"), ["window_start", "direction"])
+    total = now.selectExpr("sum(succeeded + skipped + failed) AS n").first()["n"]
+    assert total == events.count()
+
+
 def test_append_each_id_once(spark, out):
     events, stream = in_pieces(spark, out)
     path = f"{out}/ledger"
