@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.closure import reachability, transitive_dependents
+from ledgerloom.operators.closure import transitive_dependents
 from ledgerloom.operators.graph import ends, induced_subgraph, reversed_edges
-from ledgerloom.operators.levels import peel
+from ledgerloom.operators.levels import FOLDERS, peel
 from ledgerloom.scratch import Scratch
 
-# Below this many edges a core has at most its square of pairs, four million, and the
-# logarithmic all-pairs loop needs the fewest jobs. Larger cores take the linear way.
-SMALL_CORE = 2_000
-
 
 def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, int]:
     """The edges that remain when peeled from the bottom and then from the top.
@@ -31,38 +27,51 @@ def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, in
 
 
 def _colours(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
-    """``node_id, colour``: the smallest id among a node and all nodes that reach it."""
-    state = ends(core).select(
-        "node_id", F.col("node_id").alias("colour"), F.lit(True).alias("fresh")
-    )
-    schema, turn, fresh = state.schema, 0, 1
+    """``node_id, colour``: the first node, by hash, of those that reach a node and itself.
+
+    The hash decides, so that components in a row do not settle one by one when their ids
+    rise along it. A turn writes only the nodes whose colour changed.
+    """
+    rank = F.struct(F.xxhash64("node_id").alias("rank"), "node_id").alias("colour")
+    first = ends(core).select("node_id", rank)
+    schema, none = first.schema, F.lit(None).cast(first.schema["colour"].dataType)
+    name = f"{label}-0"
+    fresh, turn, log = scratch.write(first, name)["n"], 0, [name]
+
+    def settled() -> DataFrame:
+        return scratch.read(schema, *log).groupBy("node_id").agg(F.min("colour").alias("colour"))
+
     while fresh:
         offers = (
-            state.filter("fresh")
+            scratch.read(schema, name)
             .join(core, "node_id")
-            .groupBy(F.col("depends_on").alias("node_id"))
-            .agg(F.min("colour").alias("_offer"))
+            .select(F.col("depends_on").alias("node_id"), none.alias("colour"), F.col("colour").alias("_offer"))
         )
-        better = F.coalesce(F.col("_offer") < F.col("colour"), F.lit(False))
-        state = state.join(offers, "node_id", "left").select(
-            "node_id",
-            F.when(better, F.col("_offer")).otherwise(F.col("colour")).alias("colour"),
-            better.alias("fresh"),
+        known = scratch.read(schema, *log).withColumn("_offer", none)
+        better = (
+            offers.unionByName(known)
+            .groupBy("node_id")
+            .agg(F.min("colour").alias("colour"), F.min("_offer").alias("_offer"))
+            .filter("_offer < colour")
+            .select("node_id", F.col("_offer").alias("colour"))
         )
-        name = f"{label}-{turn}"
-        fresh = scratch.write(state, name, fresh=F.count_if("fresh"))["fresh"]
-        state = scratch.read(schema, name)
-        turn += 1
-    return state.select("node_id", "colour")
+        turn, name = turn + 1, f"{label}-{turn + 1}"
+        fresh = scratch.write(better, name)["n"]
+        log.append(name)
+        if len(log) >= FOLDERS:
+            scratch.write(settled(), f"{label}-until-{turn}")
+            log = [f"{label}-until-{turn}"]
+    named = settled().select("node_id", F.col("colour.node_id").alias("colour"))
+    return scratch.keep(named, label)[0]
 
 
-def cycle_nodes(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
+def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that lie on a cycle (a self-loop is one).
 
-    What hangs before or behind cycles is trimmed first. A small core is answered by all
-    pairs. In a large one every node takes as colour the smallest id that reaches it; the
-    nodes of a colour that reach back to that id form a component with it. Settled nodes
-    leave and the rest is trimmed and coloured again: space stays linear in the core.
+    What hangs before or behind cycles is trimmed first. Of the rest every node takes as
+    colour the first node, by hash, that reaches it; the nodes of a colour that reach back
+    to that node form a component with it. Settled nodes leave and the rest is trimmed and
+    coloured again: space stays linear in the core, whatever its size.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
     core, n = _trim(scratch, edges, "trim0")
@@ -70,11 +79,6 @@ def cycle_nodes(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     schema = T.StructType([T.StructField("node_id", id_type)])
     found: list[str] = []
     while n:
-        if n <= small_core:
-            pairs = reachability(core).filter("node_id = ancestor").select("node_id")
-            scratch.write(pairs, f"found-{len(found)}")
-            found.append(f"found-{len(found)}")
-            break
         turn = len(found)
         colours = _colours(scratch, core, f"colour{turn}")
         own, other = colours, colours.select(

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ledgerloom.schemas import DOWN, FAILURE, SUCCESS, UP
 
 KEYS = ["node_id", "environment_id"]
+# Parts of a key's records when they meet a set of keys.
+SALTS = 16
 
 
 def records_for_env(history: DataFrame, environment_id: str) -> DataFrame:
@@ -43,20 +45,25 @@ def latest_record(history: DataFrame, keys: DataFrame | None = None) -> DataFram
     """Newest record per (node, environment), of the given keys or of all.
 
     ``row_number() = 1`` is planned with a group limit before the shuffle: each task sends
-    at most one row per key, so a key that holds much of the ledger does not pile up.
+    at most one row per key, so a key that holds much of the ledger does not pile up. Given
+    keys are matched before the sort; a salt of the record's id keeps that join from piling
+    up as well, and makes the cut come before the next shuffle.
     """
+    if keys is not None:
+        wanted = keys.select(*KEYS).distinct()
+        wanted = wanted.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        salted = history.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        history = salted.join(wanted, [*KEYS, "_salt"], "left_semi").select(*history.columns)
     order = [F.col("executed_at").desc()]
     if "seq" in history.columns:
         order.append(F.col("seq").asc())
     order.append(F.col("id").asc())
     newest = Window.partitionBy(*KEYS).orderBy(*order)
-    latest = (
+    return (
         history.withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") == 1)
         .drop("_rank")
     )
-    # Keys are matched after the cut, when each has one row left.
-    return latest if keys is None else latest.join(keys.select(*KEYS), KEYS, "left_semi")
 
 
 def applied(direction: Column, status: Column) -> Column:

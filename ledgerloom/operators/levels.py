@@ -1,11 +1,15 @@
 """Levels: the longest chain of dependencies below a node, and plans made of them.
 
 Peeling logs hits. A round takes the nodes settled last, finds the edges that need them and
-counts those per needing node; a node is settled once its hits equal its number of edges.
-So a round is one pass over the edges, filtered by a set that the planner broadcasts when
-its files are small, and writes only the counts. A node's level is one more than the last
-round that hit it. Whenever half of the edges have been hit the rest is written anew, which
-keeps a long thin tail cheap.
+writes for each needing node how many of its edges are still open; a node is settled once
+none is. So a round is one pass over the edges and one over the log, and the next frontier
+is a plain filter of what it wrote: a written side can be broadcast by its true size or,
+beyond that, be shuffled in a join whose hot keys adaptive execution may split. A node's
+level is the last round that hit it.
+
+Edges that were met are read in vain from then on. Once these wasted reads add up to the
+edge table itself, the open edges are written anew and the log is folded to one row for
+each waiting node, so waste stays below what the rewriting saves at every size.
 """
 
 from __future__ import annotations
@@ -23,13 +27,9 @@ CYCLE_TEXT = "Cannot create execution plan: graph contains a cycle"
 INVALID_TEXT = "Graph contains a cycle or invalid dependencies"
 
 
-# Edge tables below this many rows are scanned again rather than written anew.
-COMPACT_ROWS = 1_000_000
-# Logs up to this many rows are summed whole; longer ones are first cut down to the nodes
-# that the last round hit, and a frontier from them is written before the edges meet it. A
-# written side can be broadcast by its true size or, beyond that, be shuffled in a join
-# whose hot keys adaptive execution may split; an aggregate that feeds a join cannot.
-SHORT_LOG = 100_000
+# Logs are folded when they lie in this many folders: a read that names more of them starts
+# a listing job of its own.
+FOLDERS = 32
 
 
 class Peeled:
@@ -44,12 +44,7 @@ class Peeled:
         self.stuck = stuck
 
 
-def peel(
-    nodes: DataFrame | None,
-    edges: DataFrame,
-    compact_rows: int = COMPACT_ROWS,
-    short_log: int = SHORT_LOG,
-) -> Peeled:
+def peel(nodes: DataFrame | None, edges: DataFrame, folders: int = FOLDERS) -> Peeled:
     """Settle nodes from the bottom up.
 
     Without ``nodes`` the ends of the edges are the nodes. Repeated edges do no harm: they
@@ -61,70 +56,66 @@ def peel(
     tally = T.StructType(
         [
             T.StructField("node_id", id_type),
-            T.StructField("hits", T.LongType()),
-            T.StructField("round", T.IntegerType()),
+            T.StructField("open", T.LongType()),
+            T.StructField("level", T.IntegerType()),
         ]
     )
     left, n_left = scratch.keep(edges.select("node_id", "depends_on"), "edges-0")
     ids = ends(left) if nodes is None else nodes.select("node_id").distinct()
-    # What a node still waits for, as a negative count.
-    waits = left.groupBy("node_id").agg((-F.count(F.lit(1))).alias("hits"))
-    logged = scratch.write(waits.withColumn("round", F.lit(-1)), "open-0")["n"]
-    log, rounds, met = ["open-0"], 0, 0
-
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("node_id").agg(F.sum("hits").alias("hits"), F.max("round").alias("round"))
+    waits = left.groupBy("node_id").agg(F.count(F.lit(1)).alias("open"))
+    scratch.write(waits.withColumn("level", F.lit(0)), "open-0")
+    log, rounds, wasted, open_edges = ["open-0"], 0, 0, n_left
+    settled, _ = scratch.keep(
+        ids.join(scratch.read(tally, *log).select("node_id"), "node_id", "left_anti"), "settled-0"
+    )
 
     def waiting() -> DataFrame:
         """Nodes with edges that were not hit yet."""
-        return summed(scratch.read(tally, *log)).filter("hits < 0")
+        now = scratch.read(tally, *log).groupBy("node_id")
+        return now.agg(F.min("open").alias("open"), F.max("level").alias("level")).filter("open > 0")
 
-    settled = ids.join(scratch.read(tally, *log).select("node_id"), "node_id", "left_anti")
-    if logged > short_log:
-        settled, _ = scratch.keep(settled, "settled-0")
-    open_edges = n_left
     while open_edges:
         just = settled.select(F.col("node_id").alias("depends_on"))
+        met = left.join(just, "depends_on", "left_semi").select(
+            "node_id", F.lit(None).cast("long").alias("open"), F.lit(1).alias("hits")
+        )
+        known = scratch.read(tally, *log).select("node_id", "open", F.lit(0).alias("hits"))
         hit = (
-            left.join(just, "depends_on", "left_semi")
+            met.unionByName(known)
             .groupBy("node_id")
-            .agg(F.count(F.lit(1)).alias("hits"))
-            .withColumn("round", F.lit(rounds))
+            .agg(F.min("open").alias("open"), F.sum("hits").alias("hits"))
+            .filter("hits > 0")
+            .select(
+                "node_id",
+                (F.col("open") - F.col("hits")).alias("open"),
+                F.lit(rounds + 1).alias("level"),
+                "hits",
+            )
         )
-        name = f"hits-{rounds}"
+        name = f"hits-{rounds + 1}"
         counts = scratch.write(hit, name, hits=F.sum("hits"))
         if not counts["n"]:
             break
-        rounds, logged = rounds + 1, logged + counts["n"]
-        open_edges, met = open_edges - counts["hits"], met + counts["hits"]
+        rounds, open_edges = rounds + 1, open_edges - counts["hits"]
         if not open_edges:
             break
         log.append(name)
-        rows, touched = scratch.read(tally, *log), scratch.read(tally, name).select("node_id")
-        if logged > short_log:
-            rows = rows.join(touched, "node_id", "left_semi")
-        settled = summed(rows).filter((F.col("hits") == 0) & (F.col("round") == rounds - 1))
-        if logged > short_log:
-            settled, _ = scratch.keep(settled.select("node_id"), f"settled-{rounds}")
-        if n_left >= compact_rows and 2 * met >= n_left:
-            # The frontier comes from the old counts, so it is written before they go.
-            settled, _ = scratch.keep(settled.select("node_id"), f"frontier-{rounds}")
-            logged = scratch.write(
-                waiting().withColumn("round", F.lit(-1)), f"open-{rounds}"
-            )["n"]
+        settled = scratch.read(tally, name).filter("open = 0").select("node_id")
+        wasted += n_left - open_edges
+        if wasted >= n_left or len(log) >= folders:
+            scratch.write(waiting(), f"open-{rounds}")
             log = [f"open-{rounds}"]
+        if wasted >= n_left:
             live = scratch.read(tally, *log).select("node_id").unionByName(settled)
             rest = left.join(
                 live.select(F.col("node_id").alias("depends_on")), "depends_on", "left_semi"
             )
             left, n_left = scratch.keep(rest.select("node_id", "depends_on"), f"edges-{rounds}")
-            met = 0
+            wasted = 0
     levels = ids.withColumn("level", F.lit(0))
     if rounds:
-        every = [f"hits-{i}" for i in range(rounds)]
-        last = (
-            scratch.read(tally, *every).groupBy("node_id").agg((F.max("round") + 1).alias("_level"))
-        )
+        every = [f"hits-{i + 1}" for i in range(rounds)]
+        last = scratch.read(tally, *every).groupBy("node_id").agg(F.max("level").alias("_level"))
         levels = ids.join(last, "node_id", "left").select(
             "node_id", F.coalesce("_level", F.lit(0)).alias("level")
         )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,19 +46,35 @@ def history_init(spark: SparkSession, table: str, location: str | None = None) -
     )
 
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The ledger at ``path``, or none if nothing was written there yet."""
+    try:
+        return history_scan(spark, path, schema=schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def history_append(
     records: DataFrame, path: str, existing: DataFrame | None = None
 ) -> None:
     """Append records after checking them; any violation refuses the whole batch.
 
     The batch is staged first, so what was checked is what is written, also when ids or
-    times are made on the fly. ``existing`` is the ledger the ids must not yet be in. Only
-    its id column is read, and against a small batch that is one map-side pass.
+    times are made on the fly. Its ids must not be in the ledger at ``path`` yet, nor in
+    ``existing`` (an archive, say). Only id columns are read for that, and against a small
+    batch it is one map-side pass. Writers do not lock: let one append at a time.
+
+    Rows are sorted by node inside the files, so a look-up of one node skips row groups.
     """
-    staged, _ = Scratch(records.sparkSession, "append").keep(records, "batch")
+    spark = records.sparkSession
+    staged, _ = Scratch(spark, "append").keep(records, "batch")
     found = checks.validate_records(staged)
-    if existing is not None:
-        taken = existing.select("id").join(staged.select("id"), "id", "left_semi").distinct()
+    for ledger in (_stored(spark, path, records.schema), existing):
+        if ledger is None:
+            continue
+        taken = ledger.select("id").join(staged.select("id"), "id", "left_semi").distinct()
         found = found.unionByName(
             checks.error_rows(
                 taken, "record_pk", F.col("id"), F.lit("Record id already in the ledger")
@@ -64,9 +83,49 @@ def history_append(
     worst = found.limit(1).collect()
     if worst:
         raise ValueError(f"{worst[0]['message']}: {worst[0]['subject']}")
-    staged.write.mode("append").partitionBy("environment_id").parquet(path)
+    in_order = staged.sortWithinPartitions("environment_id", "node_id")
+    in_order.write.mode("append").partitionBy("environment_id").parquet(path)
 
 
 def history_delete(history: DataFrame, condition: Column) -> DataFrame:
     """The ledger without the records that meet the condition (null counts as not met)."""
     return history.filter(~F.coalesce(condition, F.lit(False)))
+
+
+def history_delete_stored(
+    spark: SparkSession, path: str, condition: Column, schema: T.StructType = schemas.HISTORY
+) -> int:
+    """Delete records from the ledger at ``path``; returns how many.
+
+    Only the folders of environments that hold such records are written again. What stays
+    of them is staged first, so nothing is read and overwritten at once. The driver sees
+    one row for each environment concerned.
+    """
+    ledger = history_scan(spark, path, schema=schema)
+    doomed = F.coalesce(condition, F.lit(False))
+    concerned = (
+        ledger.groupBy("environment_id")
+        .agg(
+            F.count_if(doomed).alias("gone"),
+            F.count_if(~doomed).alias("kept"),
+            F.min("_metadata.file_path").alias("file"),
+        )
+        .filter("gone > 0")
+        .collect()
+    )
+    if not concerned:
+        return 0
+    touched = ledger.filter(F.col("environment_id").isin([r["environment_id"] for r in concerned]))
+    stay, _ = Scratch(spark, "delete").keep(history_delete(touched, condition), "stay")
+    (
+        stay.sortWithinPartitions("environment_id", "node_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("environment_id")
+        .parquet(path)
+    )
+    for row in concerned:
+        if not row["kept"]:
+            folder = unquote(row["file"].rsplit("/", 1)[0])
+            stay.drop("environment_id").limit(0).write.mode("overwrite").parquet(folder)
+    return sum(row["gone"] for row in concerned)

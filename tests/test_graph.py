@@ -138,14 +138,13 @@ def test_closures(spark):
     assert closure.transitive_dependencies(seeds, edges_df(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("small_core", [2_000, 0])
-def test_cycle_nodes(spark, small_core):
+def test_cycle_nodes(spark):
     """A tail, a self-loop, a chain, a ring in a ring and two linked rings, all in one."""
     text = (
         "1>2 2>1 3>1 1>4  s>s t>s  y>x z>y  B>C C>D D>B B>D A>B D>E  a>b b>a c>d d>c b>c"
     )
     _, edges = graph_of(spark, text)
-    found = values(cycles.cycle_nodes(edges, small_core), "node_id")
+    found = values(cycles.cycle_nodes(edges), "node_id")
     assert found == ["1", "2", "B", "C", "D", "a", "b", "c", "d", "s"]
 
 
@@ -214,8 +213,8 @@ def test_random_dags_against_plain_python(spark, seed):
     expected = py_levels(ids, pairs)
     plan = levels.plan_levels(nodes, edges)
     assert {r["node_id"]: r["level"] for r in plan.collect()} == expected
-    # The same when every round that may writes the remaining edges anew, and with long logs.
-    compacted = levels.peel(nodes, edges, compact_rows=0, short_log=0)
+    # The same when the log is folded after every round.
+    compacted = levels.peel(nodes, edges, folders=2)
     assert {r["node_id"]: r["level"] for r in compacted.levels.collect()} == expected
     assert compacted.stuck is None
     reach = py_closure(pairs)
@@ -232,7 +231,6 @@ def test_random_digraphs_against_plain_python(spark, seed):
     reach = py_closure(pairs)
     on_cycle = sorted(a for a, b in reach if a == b)
     assert values(cycles.cycle_nodes(edges), "node_id") == on_cycle
-    assert values(cycles.cycle_nodes(edges, small_core=0), "node_id") == on_cycle
     found = closure.reachability(edges).collect()
     assert {(r[0], r[1]): r[2] for r in found} == reach
     seeds = nodes_df(spark, ids[:5])
@@ -240,6 +238,6 @@ def test_random_digraphs_against_plain_python(spark, seed):
     assert {(r[1], r[0]): r[2] for r in walked} == {
         (a, b): n for (a, b), n in reach.items() if b in ids[:5]
     }
-    peeled = levels.peel(nodes_df(spark, ids), edges, short_log=0)
+    peeled = levels.peel(nodes_df(spark, ids), edges)
     stuck_sources = {a for a, b in rows(peeled.stuck, "node_id", "depends_on")}
     assert set(on_cycle) <= stuck_sources

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.operators import checks, ledger
@@ -92,18 +93,40 @@ def test_logs(spark):
     assert rows(ledger.failure_messages(history, "b"), "error_message") == {("boom",)}
 
 
+def test_latest_record_matches_keys_before_the_sort(spark):
+    history = records(spark, "1 a dev UP SUCCESS", "2 a dev UP FAILURE", "3 b dev UP SUCCESS", "4 a qa UP SUCCESS")
+    keys = history.filter("id in ('1', '4', '2')").select("node_id", "environment_id")
+    found = ledger.latest_record(history, keys)
+    assert found.columns == history.columns and values(found, "id") == ["2", "4"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window [") < plan.index("Join LeftSemi")
+
+
 def test_append_scan_init_delete(spark, out):
     history = records(spark, "1 a dev UP SUCCESS", "2 b qa UP FAILURE")
     path = f"{out}/ledger"
     source.history_append(history, path)
-    source.history_append(records(spark, "3 a dev DOWN SUCCESS"), path, history)
+    source.history_append(records(spark, "3 a dev DOWN SUCCESS"), path)
     stored = source.history_scan(spark, path)
     assert values(stored, "id") == ["1", "2", "3"]
     pruned = ledger.records_for_env(stored, "qa")
     assert "PartitionFilters: [isnotnull(environment_id" in pruned._jdf.queryExecution().toString()
     assert values(source.history_delete(stored, stored["error_message"] == "boom"), "id") == ["1", "3"]
     with pytest.raises(ValueError, match="already in the ledger"):
-        source.history_append(records(spark, "3 c dev UP SUCCESS"), path, stored)
+        source.history_append(records(spark, "3 c dev UP SUCCESS", "4 c dev UP SUCCESS"), path)
+    with pytest.raises(ValueError, match="already in the ledger"):
+        source.history_append(records(spark, "9 c dev UP SUCCESS"), path, records(spark, "9 a dev UP SUCCESS"))
+    assert source.history_scan(spark, path).count() == 3
+
+    changed = f"{out}/changed"
+    source.history_append(
+        records(spark, "1 a dev UP SUCCESS", "2 b q%a UP FAILURE", "3 a dev UP FAILURE", "4 c x UP SUCCESS"),
+        changed,
+    )
+    failed = F.col("status") == "FAILURE"
+    assert source.history_delete_stored(spark, changed, failed) == 2
+    assert values(source.history_scan(spark, changed), "id") == ["1", "4"]
+    assert source.history_delete_stored(spark, changed, failed) == 0
 
     source.history_init(spark, "ledger_under_test", f"{out}/table")
     assert spark.table("ledger_under_test").count() == 0
