@@ -183,7 +183,7 @@ def delete_repeated_lines(
 
     If ``docs`` has a column n_deleted already, the new one gets underscores at its end.
     """
-    names = unused(docs, "n_deleted", "hit_doc", "hit_key", "spans", "gone")
+    names = unused(docs, "n_deleted", "hit_doc", "hit_key", "spans", "units", "left")
     copies = later_copies(docs.select("doc_id", "text"), run, window, long_unit).select(
         F.col("doc_id").alias(names["hit_doc"]),
         F.col("text_key").alias(names["hit_key"]),
@@ -195,15 +195,17 @@ def delete_repeated_lines(
         & (_key(docs["text"]) == copies[names["hit_key"]]),
         "left",
     )
-    gone = F.array_distinct(
-        F.flatten(F.transform(names["spans"], lambda x: F.sequence(x["lo"], x["hi"])))
+    gone = F.flatten(F.transform(names["spans"], lambda x: F.sequence(x["lo"], x["hi"])))
+    units = F.when(F.col(names["spans"]).isNotNull(), _units(F.col("text")))
+    marked = joined.withColumn(names["units"], units).withColumn(
+        names["left"],
+        F.array_except(F.sequence(F.lit(0), F.size(names["units"]) - 1), gone),
     )
-    marked = joined.withColumn(names["gone"], gone)
-    left = F.filter(
-        _units(F.col("text")), lambda u, i: ~F.array_contains(names["gone"], i)
+    left = F.transform(names["left"], lambda i: F.element_at(names["units"], i + 1))
+    cut = F.when(F.col(names["left"]).isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+    n_deleted = F.when(F.col(names["left"]).isNull(), 0).otherwise(
+        F.size(names["units"]) - F.size(names["left"])
     )
-    cut = F.when(F.col(names["gone"]).isNull(), F.col("text")).otherwise(F.array_join(left, ""))
-    n_deleted = F.when(F.col(names["gone"]).isNull(), 0).otherwise(F.size(names["gone"]))
     return marked.select(
         *[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns],
         n_deleted.cast("long").alias(names["n_deleted"]),
