@@ -18,6 +18,7 @@ each. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,7 +34,9 @@ LIMIT = 2048
 #: Most frequent pre-tokens that are sent to all tasks, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 1 << 16, 64
 #: Distinct pre-tokens that a task holds before it passes their counts on.
-HELD = 400_000
+HELD = 200_000
+#: Bytes of pre-tokens that are coded at once.
+CODED_BYTES = 1 << 16
 
 
 def pretokens(units: Iterable[tuple[bytes, int]]) -> Counter:
@@ -69,17 +72,20 @@ def _corpus_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _piece_counter(tokenizer_file: str) -> Callable:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task has one core; threads of the tokenizer would each hold memory besides.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for frame in frames:
-            units = [x.decode("utf-8", "replace") for x in frame.column("unit").to_pylist()]
+            units = frame.column("unit").to_pylist()
             pieces = []
-            for lo in range(0, len(units), 2000):
-                coded = tokenizer.encode_batch(units[lo : lo + 2000], add_special_tokens=False)
-                pieces += [len(x.ids) for x in coded]
+            for lo, hi in batches(units, CODED_BYTES):
+                part = [x.decode("utf-8", "replace") for x in units[lo:hi]]
+                coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                pieces += [len(x) for x in coded]
             yield pa.RecordBatch.from_arrays(
                 [frame.column("unit"), frame.column("n"), pa.array(pieces, pa.int64())],
                 names=["unit", "n", "pieces"],
