@@ -22,12 +22,13 @@ import os
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.textbytes import batches, utf8
+from ledgerloom.llm.textbytes import BATCH_TEXTS, batches, utf8
 from ledgerloom.scratch import Scratch
 
 LIMIT = 2048
@@ -35,23 +36,39 @@ LIMIT = 2048
 HEAD, HEAD_BYTES = 1 << 16, 64
 #: Distinct pre-tokens that a task holds before it passes their counts on.
 HELD = 200_000
+#: Runs between spaces that a task remembers the pieces of; rows that it gathers before it sends them.
+REMEMBERED, SENT = 100_000, 30_000
 #: Bytes of pre-tokens that are coded at once.
 CODED_BYTES = 1 << 16
 
 
+def cut(unit: bytes) -> tuple[bytes, ...]:
+    """The pre-tokens of a run between spaces."""
+    if unit.isascii() and b"<|" not in unit:
+        unit = unit.lower()
+        if unit[-1] in b".," and unit[:-1].isalpha():
+            return unit[:-1], unit[-1:]
+    return (unit,)
+
+
 def pretokens(units: Iterable[tuple[bytes, int]]) -> Counter:
     """Frequencies of pre-tokens from those of the runs between spaces."""
     found: Counter = Counter()
     for unit, n in units:
-        if unit.isascii() and b"<|" not in unit:
-            unit = unit.lower()
-            if unit[-1] in b".," and unit[:-1].isalpha():
-                found[unit[-1:]] += n
-                unit = unit[:-1]
-        found[unit] += n
+        for part in cut(unit):
+            found[part] += n
     return found
 
 
+def _some_texts(frames: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The texts in order, some rows and bytes at a time."""
+    for frame in frames:
+        for at in range(0, frame.num_rows, BATCH_TEXTS):
+            texts = utf8(frame.column("text").slice(at, BATCH_TEXTS))
+            for lo, hi in batches(texts):
+                yield texts[lo:hi]
+
+
 def _corpus_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -60,14 +77,12 @@ def _corpus_counts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
     held: Counter = Counter()
-    for frame in frames:
-        texts = utf8(frame.column("text"))
-        for lo, hi in batches(texts):
-            held.update(pretokens(Counter(b"\n".join(texts[lo:hi]).split()).items()))
-            if len(held) > HELD:
-                yield rows(held)
-                held = Counter()
-    yield rows(held)
+    for texts in _some_texts(frames):
+        held.update(b"\n".join(texts).split())
+        if len(held) > HELD:
+            yield rows(pretokens(held.items()))
+            held = Counter()
+    yield rows(pretokens(held.items()))
 
 
 def _piece_counter(tokenizer_file: str) -> Callable:
@@ -81,13 +96,17 @@ def _piece_counter(tokenizer_file: str) -> Callable:
         tokenizer.no_padding()
         for frame in frames:
             units = frame.column("unit").to_pylist()
-            pieces = []
-            for lo, hi in batches(units, CODED_BYTES):
+            pieces = [np.zeros(0, dtype=np.int64)]
+            for lo, hi in batches(units, CODED_BYTES, len(units)):
                 part = [x.decode("utf-8", "replace") for x in units[lo:hi]]
-                coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                pieces += [len(x) for x in coded]
+                # A line for each: the tokenizer splits there, and its offsets tell the line.
+                coded = tokenizer.encode("\n".join(part), add_special_tokens=False)
+                ends = np.cumsum(np.fromiter((len(x) + 1 for x in part), np.int64, len(part)))
+                begins = np.fromiter((x[0] for x in coded.offsets), np.int64, len(coded))
+                line = np.searchsorted(ends, begins, side="right")
+                pieces.append(np.bincount(line, minlength=len(part)))
             yield pa.RecordBatch.from_arrays(
-                [frame.column("unit"), frame.column("n"), pa.array(pieces, pa.int64())],
+                [frame.column("unit"), frame.column("n"), pa.array(np.concatenate(pieces))],
                 names=["unit", "n", "pieces"],
             )
 
@@ -100,34 +119,44 @@ PARTS = "row long, doc_id long, n_bytes long, unit binary, freq long, base long"
 def _frequencies(head: dict[bytes, int]) -> Callable:
     """Rows of a document's other pre-tokens; the first carries its bytes and head tokens.
 
-    A document without others has a row with a pre-token that no text can hold.
+    A document without others has a row with a pre-token that no text can hold. Runs between
+    spaces whose pieces are all in the head are remembered, up to a number of them.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 40
+        known: dict[bytes, int] = {}
         for frame in frames:
-            ids, texts = frame.column("doc_id").to_pylist(), utf8(frame.column("text"))
+            ids = frame.column("doc_id").to_pylist()
+            texts = (text for some in _some_texts([frame]) for text in some)
             columns: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(ids, texts):
-                base, tail = 0, []
-                for unit, n in pretokens(Counter(text.split()).items()).items():
-                    pieces = head.get(unit)
+                base, tail = 0, {}
+                for between, n in Counter(text.split()).items():
+                    pieces = known.get(between)
                     if pieces is None:
-                        tail.append((unit, n))
-                    else:
-                        base += n * pieces
+                        pieces, whole = 0, True
+                        for unit in cut(between):
+                            if unit in head:
+                                pieces += head[unit]
+                            else:
+                                tail[unit] = tail.get(unit, 0) + n
+                                whole = False
+                        if whole and len(known) < REMEMBERED:
+                            known[between] = pieces
+                    base += n * pieces
                 if not tail:
-                    tail.append((b" %d" % row, 0))
+                    tail[b" %d" % row] = 0
                 k = len(tail)
                 columns[0] += [row] * k
                 columns[1] += [doc_id] + [None] * (k - 1)
                 columns[2] += [len(text)] + [None] * (k - 1)
-                columns[3] += [x[0] for x in tail]
-                columns[4] += [x[1] for x in tail]
+                columns[3] += tail.keys()
+                columns[4] += tail.values()
                 columns[5] += [base] + [0] * (k - 1)
                 row += 1
-                if len(columns[0]) > 100_000:
+                if len(columns[0]) > SENT:
                     yield _parts(columns)
                     columns = [[], [], [], [], [], []]
             yield _parts(columns)
