@@ -32,19 +32,25 @@ from ledgerloom.scratch import Scratch
 RUN = 2
 WINDOW = 3
 LONG_UNIT = 50
-BREAKS = r"(?<=\n)|(?<=[.!?] )"
+#: A unit, up to and with its end; it reads each character once.
+UNIT = r"(?!\z)[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+(?:\n|[.!?] |\z)"
 ENDS = " \t\n\x0b\x0c\r"
 
 
 def _units(text: Column) -> Column:
     """The text as pieces that add up to it."""
-    return F.split(text, BREAKS)
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
 def _bare(unit: Column) -> Column:
     return F.btrim(unit, F.lit(ENDS))
 
 
+def _joint_hash(hashes: str, at: Column, size: int) -> Column:
+    """Hash of ``size`` entries of the column ``hashes``, read in place."""
+    return F.xxhash64(*[F.get(hashes, at + j) for j in range(size)])
+
+
 def _key(text: Column) -> Column:
     """Tells texts of one doc_id apart; four bytes, as it travels with every fingerprint."""
     return F.hash(text)
@@ -90,10 +96,8 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
         F.when(
             n >= t,
             F.transform(
-                F.sequence(F.lit(1), n - run + 1),
-                lambda i: F.struct(
-                    F.xxhash64(F.slice("hashes", i, run)).alias("print"), (i - 1).alias("at")
-                ),
+                F.sequence(F.lit(0), n - run),
+                lambda i: F.struct(_joint_hash("hashes", i, run).alias("print"), i.alias("at")),
             ),
         ),
     )
@@ -102,8 +106,10 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
         F.when(
             F.size("grams") >= window,
             F.transform(
-                F.sequence(F.lit(1), n - t + 1),
-                lambda i: F.array_min(F.slice("grams", i, window)),
+                F.sequence(F.lit(0), n - t),
+                lambda i: F.get("grams", i)
+                if window == 1
+                else F.least(*[F.get("grams", i + j) for j in range(window)]),
             ),
         ),
     ).drop("grams")
@@ -114,7 +120,7 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
     )
 
     def span(at: Column, size: int) -> Column:
-        value = F.xxhash64(F.slice("hashes", at + 1, size))
+        value = _joint_hash("hashes", at, size)
         return F.struct(
             F.element_at("places", at + 1).alias("lo"),
             F.element_at("places", at + size).alias("hi"),
