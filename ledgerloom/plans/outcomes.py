@@ -7,6 +7,8 @@ failure is one value observed during that write, and each row is compared with i
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,40 +167,59 @@ def skipped_records(
     )
 
 
-def run_events_from_outcomes(visited: DataFrame, direction: str) -> DataFrame:
-    """What a listener of the run would have heard, one row per call."""
+def run_events_from_outcomes(
+    visited: DataFrame,
+    direction: str,
+    nodes: DataFrame,
+    run_id: Column | None = None,
+    event_time: Column | None = None,
+) -> DataFrame:
+    """What a listener of the run would have heard, one row per call.
+
+    ``plan`` opens the run and ``completed`` closes it, both without a node. A failure carries
+    the script that failed, the node's ``up`` or ``down`` by direction. The id of the run is
+    made up if none is given, the time is the current one.
+    """
     nothing = F.lit(None)
+    outcome = F.col("outcome")
 
-    def event(name: str, when: Column, took=nothing, reason=nothing, error=nothing) -> Column:
-        return F.when(
-            when,
-            F.struct(
-                F.lit(name).alias("event"),
-                took.cast("long").alias("duration_ms"),
-                reason.cast("string").alias("reason"),
-                error.cast("string").alias("error_message"),
-            ),
+    def event(name: str, took=nothing, reason=nothing, error=nothing, script=nothing) -> Column:
+        return F.struct(
+            F.lit(name).alias("event"),
+            took.cast("long").alias("duration_ms"),
+            reason.cast("string").alias("reason"),
+            error.cast("string").alias("error_message"),
+            script.cast("string").alias("script"),
         )
 
-    outcome = F.col("outcome")
-    heard = visited.select(
+    ran = visited.filter(outcome != "NOT_REACHED").select(
         "node_id",
         F.explode(
-            F.array(
-                event("started", outcome.isin("OK", "FAIL")),
-                event("succeeded", outcome == "OK", took=F.col("duration_ms")),
-                event("skipped", outcome == "SKIP", reason=F.col("reason")),
-                event("failed", outcome == "FAIL", error=F.col("error_message")),
+            F.when(outcome == "SKIP", F.array(event("skipped", reason=F.col("reason"))))
+            .when(
+                outcome == "OK",
+                F.array(event("started"), event("succeeded", took=F.col("duration_ms"))),
             )
+            .otherwise(F.array(event("started")))
         ).alias("e"),
-    ).filter("e IS NOT NULL")
-    closing = run_summary(visited, direction).select(
-        F.lit(None).cast(visited.schema["node_id"].dataType).alias("node_id"),
-        F.struct(
-            F.lit("completed").alias("event"),
-            F.lit(None).cast("long").alias("duration_ms"),
-            F.lit(None).cast("string").alias("reason"),
-            F.lit(None).cast("string").alias("error_message"),
-        ).alias("e"),
     )
-    return heard.unionByName(closing).select(F.lit(direction).alias("direction"), "node_id", "e.*")
+    scripts = nodes.select("node_id", F.col("up" if direction == UP else "down").alias("_script"))
+    failed = (
+        visited.filter(outcome == "FAIL")
+        .join(scripts, "node_id", "left")
+        .select(
+            "node_id",
+            event("failed", error=F.col("error_message"), script=F.col("_script")).alias("e"),
+        )
+    )
+    ends = visited.sparkSession.range(1).select(
+        nothing.cast(visited.schema["node_id"].dataType).alias("node_id"),
+        F.explode(F.array(event("plan"), event("completed"))).alias("e"),
+    )
+    return ran.unionByName(failed).unionByName(ends).select(
+        (F.lit(uuid.uuid4().hex) if run_id is None else run_id).alias("run_id"),
+        (F.current_timestamp() if event_time is None else event_time).alias("event_time"),
+        F.lit(direction).alias("direction"),
+        "node_id",
+        "e.*",
+    )

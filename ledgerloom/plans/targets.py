@@ -10,6 +10,7 @@ from ledgerloom.operators.graph import direct_dependents
 from ledgerloom.operators.ledger import executed_in_graph, pending_nodes
 from ledgerloom.operators.levels import plan_levels_for, reverse_plan_levels_for
 from ledgerloom.schemas import UnknownNodeError
+from ledgerloom.scratch import Scratch
 
 # Fixed texts.
 UNKNOWN_TARGET = "Target not found"
@@ -36,16 +37,32 @@ def up_targets_for(
     return up_targets(wanted, history)
 
 
+def executed_once(nodes: DataFrame, history: DataFrame) -> DataFrame:
+    """``node_id`` of the executed nodes as a written table: the ledger is read once for it.
+
+    Targets and plans both need it; pass it to the plans as ``executed``.
+    """
+    done = executed_in_graph(nodes, history).select("node_id")
+    return Scratch(nodes.sparkSession, "plan").keep(done, "executed")[0]
+
+
 def up_plan(
-    nodes: DataFrame, edges: DataFrame, history: DataFrame, targets: DataFrame
+    nodes: DataFrame,
+    edges: DataFrame,
+    history: DataFrame,
+    targets: DataFrame,
+    executed: DataFrame | None = None,
 ) -> DataFrame:
     """``level, node_id, executed`` of the targets. A dry run is just this table."""
     plan = plan_levels_for(nodes, edges, targets)
-    return _with_executed(plan, nodes, history)
+    return _with_executed(plan, nodes, history, executed)
 
 
-def _with_executed(plan: DataFrame, nodes: DataFrame, history: DataFrame) -> DataFrame:
-    done = executed_in_graph(nodes, history).select("node_id", F.lit(True).alias("_done"))
+def _with_executed(
+    plan: DataFrame, nodes: DataFrame, history: DataFrame, executed: DataFrame | None
+) -> DataFrame:
+    done = executed_in_graph(nodes, history) if executed is None else executed
+    done = done.select("node_id", F.lit(True).alias("_done"))
     return plan.join(done, "node_id", "left").select(
         "level", "node_id", F.col("_done").isNotNull().alias("executed")
     )
@@ -92,8 +109,12 @@ def rollback_targets_for(
 
 
 def rollback_plan(
-    nodes: DataFrame, edges: DataFrame, history: DataFrame, targets: DataFrame
+    nodes: DataFrame,
+    edges: DataFrame,
+    history: DataFrame,
+    targets: DataFrame,
+    executed: DataFrame | None = None,
 ) -> DataFrame:
     """``level, node_id, executed``, dependents first."""
     plan = reverse_plan_levels_for(nodes, edges, targets)
-    return _with_executed(plan, nodes, history)
+    return _with_executed(plan, nodes, history, executed)

@@ -510,7 +510,9 @@ def up_targets_for(spark, sf):
 @query
 def up_plan(spark, sf):
     nodes, history = d.nodes(spark, sf), d.history(spark, sf)
-    return plans.up_plan(nodes, d.edges(spark, sf), history, plans.up_targets(nodes, history))
+    done = plans.executed_once(nodes, history)
+    todo = nodes.join(done, "node_id", "left_anti").select("node_id")
+    return plans.up_plan(nodes, d.edges(spark, sf), history, todo, done)
 
 
 @query
@@ -539,8 +541,8 @@ def rollback_targets_for_transitive(spark, sf):
 @query
 def rollback_plan(spark, sf):
     nodes, history = d.nodes(spark, sf), d.history(spark, sf)
-    executed = plans.rollback_targets_all(nodes, history)
-    return plans.rollback_plan(nodes, d.edges(spark, sf), history, executed)
+    done = plans.executed_once(nodes, history)
+    return plans.rollback_plan(nodes, d.edges(spark, sf), history, done, done)
 
 
 def _up_visit(spark, sf):
@@ -591,7 +593,13 @@ def skipped_records(spark, sf):
 
 @query
 def run_events_from_outcomes(spark, sf):
-    return runs.run_events_from_outcomes(_up_visit(spark, sf), schemas.UP)
+    return runs.run_events_from_outcomes(
+        _up_visit(spark, sf),
+        schemas.UP,
+        d.nodes(spark, sf),
+        run_id=F.lit("run-1"),
+        event_time=F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
+    )
 
 
 # -- checks -------------------------------------------------------------------------------

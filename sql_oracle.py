@@ -733,14 +733,21 @@ sql(
 )
 sql(
     "run_events_from_outcomes",
-    """SELECT 'UP' AS direction, node_id, event, duration_ms, reason, error_message FROM (
+    """SELECT 'run-1' AS run_id, TIMESTAMP '2024-01-01 00:00:00' AS event_time,
+  'UP' AS direction, node_id, event, duration_ms, reason, error_message, script FROM (
   SELECT node_id, 'started' AS event, CAST(NULL AS BIGINT) AS duration_ms,
-    CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS error_message
+    CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS error_message,
+    CAST(NULL AS VARCHAR) AS script
     FROM up_run WHERE outcome IN ('OK', 'FAIL')
-  UNION ALL SELECT node_id, 'succeeded', duration_ms, NULL, NULL FROM up_run WHERE outcome = 'OK'
-  UNION ALL SELECT node_id, 'skipped', NULL, reason, NULL FROM up_run WHERE outcome = 'SKIP'
-  UNION ALL SELECT node_id, 'failed', NULL, NULL, error_message FROM up_run WHERE outcome = 'FAIL'
-  UNION ALL SELECT NULL, 'completed', NULL, NULL, NULL)""",
+  UNION ALL SELECT node_id, 'succeeded', duration_ms, NULL, NULL, NULL
+    FROM up_run WHERE outcome = 'OK'
+  UNION ALL SELECT node_id, 'skipped', NULL, reason, NULL, NULL
+    FROM up_run WHERE outcome = 'SKIP'
+  UNION ALL SELECT node_id, 'failed', NULL, NULL, r.error_message, n.up
+    FROM up_run r JOIN nodes n USING (node_id) WHERE outcome = 'FAIL'
+  UNION ALL SELECT NULL, 'plan', NULL, NULL, NULL, NULL
+  UNION ALL SELECT NULL, 'completed', NULL, NULL, NULL, NULL)""",
+    "nodes",
     "up_run",
 )
 

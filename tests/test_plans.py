@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.plans import outcomes as runs
 from ledgerloom.plans import targets as plans
@@ -77,13 +78,17 @@ def test_first_failure_ends_an_up_run(spark):
     assert rows(runs.skipped_records(visited), "node_id", "direction", "status", "error_message") == {
         ("a", "UP", "SKIPPED", "already executed"),
     }
-    heard = rows(runs.run_events_from_outcomes(visited, UP), "node_id", "event", "reason", "error_message")
+    scripts = nodes.select("node_id", F.concat(F.lit("do "), "node_id").alias("up"))
+    events = runs.run_events_from_outcomes(visited, UP, scripts)
+    heard = rows(events, "node_id", "event", "reason", "error_message", "script")
     assert heard == {
-        ("a", "skipped", "already executed", None),
-        ("b", "started", None, None), ("b", "succeeded", None, None),
-        ("c", "started", None, None), ("c", "failed", None, "Unknown error"),
-        (None, "completed", None, None),
+        ("a", "skipped", "already executed", None, None),
+        ("b", "started", None, None, None), ("b", "succeeded", None, None, None),
+        ("c", "started", None, None, None), ("c", "failed", None, "Unknown error", "do c"),
+        (None, "plan", None, None, None), (None, "completed", None, None, None),
     }
+    assert events.select("run_id").distinct().count() == 1
+    assert events.filter("event_time IS NULL").isEmpty()
 
 
 def test_whole_run_and_missing_outcome(spark):
@@ -117,3 +122,12 @@ def test_nobody_reports_nodes_behind_the_first_failure(spark):
     assert rows(run, "node_id", "outcome") == {("b", "OK"), ("c", "FAIL"), ("d", "NOT_REACHED")}
     with pytest.raises(ValueError, match="node b"):
         runs.up_outcomes(plan, nodes, reported(spark, c=False)).collect()
+
+
+def test_executed_is_read_once(spark):
+    nodes, edges = graph_of(spark, "b>a c>b")
+    done = plans.executed_once(nodes, applied(spark, "a"))
+    plan = plans.up_plan(nodes, edges, applied(spark, "a"), nodes, done)
+    assert rows(plan, "node_id", "executed") == {("a", True), ("b", False), ("c", False)}
+    # The plan takes the written table, not the ledger and its window.
+    assert "Window" not in plan._jdf.queryExecution().toString()
