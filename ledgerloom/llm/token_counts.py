@@ -8,9 +8,9 @@ tokens, is left uncut and unfolded.
 
 1. Distinct pre-tokens of the corpus are collected, combined in each task first.
 2. The tokenizer counts the pieces of each of them once.
-3. The pieces of the ``head`` most frequent short ones, a table of bounded size, go to all
-   tasks; a document's other pre-tokens are joined to the table of pieces, as rows of
-   (document, pre-token, frequency), and summed. No ids are kept.
+3. The pieces of the most frequent short ones, ``head`` at most, go to all tasks; a
+   document's other pre-tokens are joined to the table of pieces, as rows of (document,
+   pre-token, frequency), and summed. No ids are kept.
 
 Defined cases: null is the empty text, with 0 bytes and tokens. Repeated rows give a row
 each. Extra columns are not read.
@@ -172,6 +172,28 @@ def _parts(columns: list[list]) -> pa.RecordBatch:
     )
 
 
+def most_frequent(pieces: DataFrame, head: int) -> dict[bytes, int]:
+    """Pieces of the most frequent short pre-tokens, ``head`` of them at most.
+
+    Frequencies fall into some thousand classes; whole classes are taken from the top as long
+    as they fit, so the driver sees no more than the classes and the head from all tasks.
+    """
+    short = pieces.filter(F.length("unit") <= HEAD_BYTES).withColumn(
+        "class", F.floor(F.log2("n") * 16)
+    )
+    sizes = short.groupBy("class").agg(F.count(F.lit(1)).alias("size")).collect()
+    lowest, taken = None, 0
+    for row in sorted(sizes, reverse=True):
+        taken += row["size"]
+        if taken > head:
+            break
+        lowest = row["class"]
+    if lowest is None:
+        return {}
+    top = short.filter(F.col("class") >= lowest).select("unit", "pieces").collect()
+    return {bytes(r["unit"]): r["pieces"] for r in top}
+
+
 def count_tokens(
     docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, head: int = HEAD
 ) -> DataFrame:
@@ -188,13 +210,7 @@ def count_tokens(
         _piece_counter(tokenizer_file), "unit binary, n long, pieces long"
     )
     pieces, _ = scratch.keep(counted, "pieces")
-    top = (
-        pieces.filter(F.length("unit") <= HEAD_BYTES)
-        .orderBy(F.desc("n"), "unit")
-        .limit(head)
-        .select("unit", "pieces")
-    )
-    known = {bytes(r["unit"]): r["pieces"] for r in top.collect()}
+    known = most_frequent(pieces, head)
     parts = texts.mapInArrow(_frequencies(known), PARTS)
     joined = parts.join(pieces.select("unit", "pieces"), "unit", "left")
     tokens = F.sum(F.col("base") + F.col("freq") * F.coalesce("pieces", F.lit(0)))
