@@ -44,6 +44,19 @@ def test_later_runs_go(spark):
     assert left[6] == (None, 0) and left[7] == ("", 0) and left[8] == (" \n\t\n", 0)
     assert left[9] == ("", 4) and left[10][1] == 0
     assert line_dedup.delete_repeated_lines(docs.limit(0)).count() == 0
+    # The same runs of four units, whatever the window.
+    for run, window in ((4, 1), (1, 4)):
+        same = line_dedup.delete_repeated_lines(docs, run, window)
+        assert {r["row"]: (r["text"], r["n_deleted_"]) for r in same.collect()} == left
+
+
+def test_units_end_at_lines_and_sentences(spark):
+    texts = [t for _, t in TEXTS] + ["a.  b?! c!", ". . .", "...\n", "end. ", "\n\n", "a.\r\nb", "é. ü"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = docs.select("text", line_dedup._units(docs["text"]).alias("units")).collect()
+    for text, units in got:
+        wanted = text and [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", text) if u]
+        assert units == (wanted if text else text if text is None else [])
 
 
 def test_mix_meets_its_targets(spark):
