@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from ledgerloom.llm.embedding_dedup import near_duplicate_vectors, passes_for
+from ledgerloom.llm.embedding_dedup import near_duplicate_vectors, passes_for, shared_bits
 
 
 def brute_force(rows):
@@ -102,6 +103,30 @@ def test_dense_group_beyond_the_window(spark):
     check(spark, rows, window=8)
 
 
+@pytest.mark.parametrize("common, window", [(0.8, 16), (0.3, 4)])
+def test_label_whose_vectors_point_one_way(spark, common, window):
+    draw = np.random.default_rng(3)
+    axis = np.eye(64)[0]
+
+    def unit(v):
+        return v / np.linalg.norm(v)
+
+    rows = []
+    for i in range(2000):
+        rows.append(unit(math.sqrt(common) * axis + math.sqrt(1 - common) * unit(draw.standard_normal(64))))
+    for v in rows[:200]:
+        side = draw.standard_normal(64)
+        side = unit(side - (side @ v) * v)
+        rows.append(0.935 * v + math.sqrt(1 - 0.935**2) * side)
+    check(spark, [(i, v.tolist(), 5) for i, v in enumerate(rows)], window=window, recall=1 - 1e-6)
+
+
+def test_shared_bits():
+    left = np.array([0, 0, -1, 5, 1 << 40], dtype=np.int64)
+    right = np.array([0, 1, 1, 5, 0], dtype=np.int64)
+    assert shared_bits(left, right).tolist() == [64, 63, 0, 64, 23]
+
+
 def test_passes_grow_with_the_label():
     assert passes_for(10, 0.93, 64, 0.999) == 2
     assert passes_for(10**4, 0.93, 64, 0.999) < passes_for(10**7, 0.93, 64, 0.999) < 200
