@@ -16,11 +16,21 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, turns: int = 12) -> np.ndarray:
-    """Weights, the intercept last. One class only, or no rows: the prior alone."""
+def fit_logistic(
+    x: np.ndarray,
+    y: np.ndarray,
+    penalty: float = 1.0,
+    turns: int = 12,
+    times: np.ndarray | None = None,
+) -> np.ndarray:
+    """Weights, the intercept last. One class only, or no rows: the prior alone.
+
+    A row counts ``times``; each once if that is not given.
+    """
     weights = np.zeros(x.shape[1] + 1)
+    times = np.ones(len(y)) if times is None else times
     if not len(y) or y.min() == y.max():
-        weights[-1] = logit(np.array((y.sum() + 0.01) / (len(y) + 1)))
+        weights[-1] = logit(np.array(((y * times).sum() + 0.01) / (times.sum() + 1)))
         return weights
     full = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     ridge = np.full(full.shape[1], penalty)
@@ -28,8 +38,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, turns: int
     for _ in range(turns):
         p = sigmoid(full @ weights)
         step = np.linalg.solve(
-            (full * (p * (1 - p) + 1e-9)[:, None]).T @ full + np.diag(ridge),
-            full.T @ (y - p) - ridge * weights,
+            (full * (times * (p * (1 - p) + 1e-9))[:, None]).T @ full + np.diag(ridge),
+            full.T @ (times * (y - p)) - ridge * weights,
         )
         weights += step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-4:
@@ -55,6 +65,22 @@ def sample_rows(rows: DataFrame, most: int, seed: str, *given: Column) -> DataFr
     return found
 
 
+def label_counts(known: DataFrame, label: str) -> tuple[int, int]:
+    """Rows whose label is false, and true."""
+    n, n_true = known.agg(F.count(label), F.count_if(label)).first()
+    return n - n_true, n_true
+
+
+def row_times(y: np.ndarray, counts: tuple[int, int], most: int) -> np.ndarray:
+    """How much a row counts of which at most ``most`` of either label were sampled.
+
+    The labels have their shares of all ``counts``; on average a row counts once, so that a
+    penalty weighs as it did.
+    """
+    times = np.array([max(1.0, n / most) for n in counts])[(y == 1).astype(int)]
+    return times / times.mean() if len(y) else times
+
+
 def texts_of(docs: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
     """One row of ``docs`` for each of a bounded number of ids, with the columns of ``ids``."""
     own = [c for c in ids.columns if c != "doc_id"]

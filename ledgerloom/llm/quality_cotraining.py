@@ -8,7 +8,8 @@ calibrated on labelled rows that it did not see (out-of-fold), and a last model
 calibrated log-odds scores all documents, whole.
 
 Bounds: at most ``SAMPLE`` labelled rows of either answer, and ``POOL`` unlabelled ones, those of the
-smallest hash of doc_id.
+smallest hash of doc_id. A sampled labelled row counts as many times as rows of its answer stand
+for it, so that the answers have their shares of all labelled rows.
 
 Defined cases: null text is the empty text; null metadata are values of their own. A doc_id
 with several labels counts as good only if all are; null labels do not count. Without labels
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.linear import (
     fit_logistic,
     hashed_fold,
+    label_counts,
     logit,
     predict,
+    row_times,
     sample_rows,
     texts_of,
 )
@@ -108,11 +111,12 @@ def co_train(
     pool: tuple[np.ndarray, np.ndarray],
     rounds: int = ROUNDS,
     share: float = SHARE,
+    times: np.ndarray | None = None,
 ) -> list[np.ndarray]:
     """A model for each view after the exchange."""
-    taught = [(v, y) for v in views]
+    taught = [(v, y, np.ones(len(y)) if times is None else times) for v in views]
     free = [np.ones(len(pool[0]), dtype=bool) for _ in views]
-    models = [fit_logistic(x, t) for x, t in taught]
+    models = [fit_logistic(x, t, times=n) for x, t, n in taught]
     most = int(share * len(pool[0]))
     for _ in range(rounds if len(y) and 0 < y.mean() < 1 else 0):
         given = []
@@ -125,12 +129,13 @@ def co_train(
                 free[other][best] = False
                 given.append((other, best, answer))
         for other, best, answer in given:
-            x, t = taught[other]
+            x, t, n = taught[other]
             taught[other] = (
                 np.concatenate([x, pool[other][best]]),
                 np.concatenate([t, np.full(len(best), answer)]),
+                np.concatenate([n, np.ones(len(best))]),
             )
-        models = [fit_logistic(x, t) for x, t in taught]
+        models = [fit_logistic(x, t, times=n) for x, t, n in taught]
     return models
 
 
@@ -139,21 +144,22 @@ def fit(
     views: tuple[np.ndarray, np.ndarray],
     y: np.ndarray,
     pool: tuple[np.ndarray, np.ndarray],
+    times: np.ndarray,
 ) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Models of the views, their calibrations, and the model that combines them."""
-    models = co_train(views, y, pool)
+    models = co_train(views, y, pool, times=times)
     fold = hashed_fold(ids, FOLDS)
     outside = np.zeros((len(y), 2))
     for f in range(FOLDS):
         held = fold == f
-        inner = co_train(tuple(v[~held] for v in views), y[~held], pool)
+        inner = co_train(tuple(v[~held] for v in views), y[~held], pool, times=times[~held])
         for k in range(2):
             outside[held, k] = logit(predict(inner[k], views[k][held]))
-    calibrations = [fit_logistic(outside[:, [k]], y, 0.1) for k in range(2)]
+    calibrations = [fit_logistic(outside[:, [k]], y, 0.1, times=times) for k in range(2)]
     calibrated = np.column_stack(
         [logit(predict(c, outside[:, [k]])) for k, c in enumerate(calibrations)]
     )
-    return models, calibrations, fit_logistic(calibrated, y, 0.1)
+    return models, calibrations, fit_logistic(calibrated, y, 0.1, times=times)
 
 
 def combined(fitted, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -190,6 +196,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     """``(doc_id, p_text, p_metadata, quality, kept)`` for each row of ``docs``."""
     known = labels.filter("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg(F.min(F.col("quality") > 0).alias("good"))
+    counts = label_counts(known, "good")
     labelled = sample_rows(known, SAMPLE, "quality", F.col("good"), ~F.col("good"))
     unknown = (
         docs.select("doc_id").filter("doc_id is not null").join(known, "doc_id", "left_anti")
@@ -213,7 +220,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     sizes = (("content", 260), ("metadata", 2 * BUCKETS + 24))
     taught, rest = np.flatnonzero(good >= 0), np.flatnonzero(good < 0)
     views = tuple(table(c, w, taught) for c, w in sizes)
-    fitted = fit(ids[taught], views, good[taught].astype(float), tuple(table(c, w, rest) for c, w in sizes))
+    times = row_times(good[taught], counts, SAMPLE)
+    pooled = tuple(table(c, w, rest) for c, w in sizes)
+    fitted = fit(ids[taught], views, good[taught].astype(float), pooled, times)
     return docs.select("doc_id", *COLUMNS).mapInArrow(
         _score(fitted, threshold),
         "doc_id long, p_text double, p_metadata double, quality double, kept boolean",

@@ -7,8 +7,9 @@ categories' log-odds. In training these come from models that did not see the ro
 (out-of-fold), so that a later model learns how far an earlier one can be trusted.
 
 The chain is fitted on at most ``SAMPLE`` labelled rows of either label, those of the smallest hash of
-doc_id; ``FEATURES`` features of the largest difference between the labels are kept. All documents
-are scored, whole.
+doc_id; ``FEATURES`` features of the largest difference between the labels are kept. A sampled row
+counts as many times as rows of its label stand for it, so that the labels have their shares of all
+labelled rows. All documents are scored, whole.
 
 Defined cases: null text has no words. A doc_id labelled more than once is toxic if any of
 its labels is; null labels do not count. Without labels of both kinds every probability is
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.linear import (
     fit_logistic,
     hashed_fold,
+    label_counts,
     logit,
     predict,
+    row_times,
     sample_rows,
     texts_of,
 )
@@ -118,18 +121,24 @@ def select_features(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndar
 
 
 def fit_chain(
-    ids: np.ndarray, x: np.ndarray, targets: np.ndarray, folds: int = FOLDS
+    ids: np.ndarray,
+    x: np.ndarray,
+    targets: np.ndarray,
+    folds: int = FOLDS,
+    times: np.ndarray | None = None,
 ) -> list[np.ndarray]:
     """A model for each column of ``targets``; later ones read earlier log-odds."""
     fold = hashed_fold(ids, folds)
+    times = np.ones(len(targets)) if times is None else times
     models, seen = [], x
     for k in range(targets.shape[1]):
         y = targets[:, k]
-        models.append(fit_logistic(seen, y, PENALTY))
+        models.append(fit_logistic(seen, y, PENALTY, times=times))
         outside = np.zeros(len(y))
         for f in range(folds):
             held = fold == f
-            outside[held] = predict(fit_logistic(seen[~held], y[~held], PENALTY), seen[held])
+            inner = fit_logistic(seen[~held], y[~held], PENALTY, times=times[~held])
+            outside[held] = predict(inner, seen[held])
         seen = np.column_stack([seen, logit(outside) / 5])
     return models
 
@@ -180,6 +189,7 @@ def score_toxicity(
     """``(doc_id, p_<category>..., p_toxic, toxic)`` for each row of ``docs(doc_id, text)``."""
     known = labels.filter("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
+    counts = label_counts(known, "toxic")
     ids = sample_rows(known, sample, "toxicity", F.col("toxic"), ~F.col("toxic"))
     rows = texts_of(docs, ids, "text").mapInArrow(
         _sampled, "doc_id long, toxic boolean, held array<boolean>, features array<int>"
@@ -195,7 +205,10 @@ def score_toxicity(
     for i, row in enumerate(rows_of):
         x[i] = np.isin(chosen, row, assume_unique=True)
     targets = np.column_stack([held & toxic[:, None], toxic])
-    models = fit_chain(np.asarray(gathered.column("doc_id")), x, targets.astype(float))
+    times = row_times(toxic.astype(int), counts, sample)
+    models = fit_chain(
+        np.asarray(gathered.column("doc_id")), x, targets.astype(float), times=times
+    )
     columns = ", ".join(f"p_{c} double" for c in (*CATEGORIES, "toxic"))
     return docs.select("doc_id", "text").mapInArrow(
         _score(chosen, models, threshold), f"doc_id long, {columns}, toxic boolean"

@@ -71,3 +71,21 @@ def test_chain_reads_earlier_categories():
     assert len(models[1]) == len(models[0]) + 1
     p = toxicity.chain_probabilities(models, x)
     assert ((p[:, 1] > 0.5) == last).mean() > 0.85
+
+
+def test_sampled_labels_keep_their_shares(spark, monkeypatch):
+    rows = []
+    for i in range(1200):
+        rare = i % 10 == 0
+        sign = "stupid" if (i // 10) % 10 < (6 if rare else 2) else "fine"
+        rows.append((i, f"{sign} word", "en", "s", 9, int(not rare), int(rare)))
+    fields = "doc_id long, text string, lang string, source string, n_chars long, quality int, toxic int"
+    table = spark.createDataFrame(rows, fields)
+    docs, labels = table.drop("quality", "toxic"), table.select("doc_id", "quality", "toxic")
+    scored = toxicity.score_toxicity(docs, labels, sample=100)
+    assert abs(scored.agg(F.avg("p_toxic")).first()[0] - 0.1) < 0.03
+    assert scored.filter("toxic").count() == 0
+    monkeypatch.setattr(quality_cotraining, "SAMPLE", 100)
+    scored = quality_cotraining.score_quality(docs, labels)
+    assert abs(scored.agg(F.avg("quality")).first()[0] - 0.9) < 0.03
+    assert scored.filter("not kept").count() == 0
