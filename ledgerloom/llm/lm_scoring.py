@@ -8,9 +8,8 @@ the sum of log-probabilities of all of its words, each given both sides.
 1. Words of the whole corpus are counted. The ``VOCABULARY`` most frequent are tokens; others
    fall into ``RARE`` buckets by hash. Classes cut the tokens, in order of frequency, into about
    equal shares.
-2. Training covers all documents: in each of ``ROUNDS`` rounds every task masks one place in
-   ``EVERY`` of each of its texts, others in each round, and takes gradient steps from the
-   common weights. The tasks' weights are averaged, weighted by their steps, embeddings row by
+2. Training covers all words of all documents: each place belongs to one of ``ROUNDS`` rounds.
+   In its round a task masks it, and takes gradient steps from the common weights. The tasks' weights are averaged, weighted by their steps, embeddings row by
    row, in groups of bounded size, level by level.
 3. All texts are scored, whole. Tokens and weights, of bounded size, go to the tasks.
 
@@ -37,7 +36,6 @@ CLASSES = 64
 SIDE = 2
 WIDTH = 16
 HIDDEN = 32
-EVERY = 12
 ROUNDS = 2
 RATE = 0.5
 STEP = 256
@@ -121,9 +119,9 @@ def train_step(weights: dict[str, np.ndarray], around: np.ndarray, classes: np.n
     weights["hidden"][:-1] -= rate * (x.T @ back)
     weights["hidden"][-1] -= rate * back.sum(axis=0)
     # A row is moved by its own mean slope, so that rare words learn as well.
-    rows, inverse, times = np.unique(around.ravel(), return_inverse=True, return_counts=True)
-    total = np.zeros((len(rows), WIDTH), dtype=np.float32)
-    np.add.at(total, inverse.ravel(), into)
+    order = np.argsort(around.ravel(), kind="stable")
+    rows, first, times = np.unique(around.ravel()[order], return_index=True, return_counts=True)
+    total = np.add.reduceat(into[order], first, axis=0)
     weights["embedding"][rows] -= rate * n / np.sqrt(times * float(n))[:, None] * total
     return rows, times
 
@@ -171,7 +169,16 @@ def _parts(weights: dict[str, np.ndarray], steps: dict[str, np.ndarray]):
             number += 1
 
 
-def _train(vocabulary: Vocabulary, start: dict[str, np.ndarray], turn: int) -> Callable:
+def targets(words: Words, turn: int, rounds: int) -> np.ndarray:
+    """Places predicted in round ``turn``; each place is in one of the rounds."""
+    place = np.arange(len(words.hash)) - words.first[words.doc]
+    spread = mix64(words.hash[words.first[words.doc]] ^ place.astype(np.uint64))
+    return np.flatnonzero(spread % np.uint64(rounds) == np.uint64(turn))
+
+
+def _train(
+    vocabulary: Vocabulary, start: dict[str, np.ndarray], turn: int, rounds: int
+) -> Callable:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(fold=True)
         weights = {k: v.copy() for k, v in start.items()}
@@ -181,9 +188,7 @@ def _train(vocabulary: Vocabulary, start: dict[str, np.ndarray], turn: int) -> C
             for lo, hi in batches(texts, 1 << 22, 4096):
                 words = Words(hasher, texts[lo:hi])
                 tokens = vocabulary.tokens(words.hash)
-                place = np.arange(len(tokens)) - words.first[words.doc]
-                spread = mix64(words.hash[words.first[words.doc]] ^ place.astype(np.uint64))
-                at = np.flatnonzero(spread % np.uint64(EVERY) == np.uint64(turn % EVERY))
+                at = targets(words, turn, rounds)
                 around = neighbours(words, tokens, at, vocabulary.pad)
                 classes = vocabulary.classes[tokens[at]]
                 for first in range(0, len(at), STEP):
@@ -235,7 +240,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> dic
     weights = initial_weights(vocabulary.pad + 1)
     shards = texts.rdd.getNumPartitions()
     for turn in range(rounds):
-        parts = texts.select("text").mapInArrow(_train(vocabulary, weights, turn), SHARD)
+        parts = texts.select("text").mapInArrow(_train(vocabulary, weights, turn, rounds), SHARD)
         left = shards
         while left > 1:
             near = F.floor(F.col("shard") / FAN_IN).alias("near")

@@ -64,3 +64,19 @@ def test_score_is_the_sum_over_places(spark):
         _, _, z = lm.forward(weights, np.array([around]))
         total += z[0, vocabulary.classes[own]] + vocabulary.share[own]
     assert abs(total - got["log_likelihood"]) < 1e-3
+
+
+def test_every_place_is_a_target_once(spark):
+    texts = [b"one", b"a b", b"a b c d e f a b c " * 300]
+    words = Words(WordHasher(fold=True), texts)
+    for rounds in (1, 2, 5):
+        at = np.concatenate([lm.targets(words, turn, rounds) for turn in range(rounds)])
+        assert sorted(at.tolist()) == list(range(len(words.hash)))
+    trained = []
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(50)),)], "text string").coalesce(1)
+    vocabulary = lm.learn_vocabulary(docs)
+    start = lm.initial_weights(vocabulary.pad + 1)
+    for turn in range(2):
+        rows = docs.mapInArrow(lm._train(vocabulary, start, turn, 2), lm.SHARD).collect()
+        trained.append(sum(r["steps"][0] for r in rows if len(r["steps"]) == lm.HIDDEN + 1))
+    assert sum(trained) == 50
