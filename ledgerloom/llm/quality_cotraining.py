@@ -2,13 +2,13 @@
 
 The text view reads how a text is written: shares of its bytes, of repeated words, lengths.
 The metadata view reads language, source and length. Both start from labelled rows. In each
-of ``ROUNDS`` rounds, each view gives the other the unlabelled rows that it is surest of, at
-most ``SHARE`` of the pool for either answer, with its own answer as their label. Then each view is
+of ``ROUNDS`` rounds all unlabelled rows are scored, and each view gives the other those that it is
+surest of, at most ``SHARE`` of them and ``GIVEN`` rows for either answer, with its own answer as
+their label; ties go by hash of doc_id. Then each view is
 calibrated on labelled rows that it did not see (out-of-fold), and a last model of both
 calibrated log-odds scores all documents, whole.
 
-Bounds: at most ``SAMPLE`` labelled rows of either answer, and ``POOL`` unlabelled ones, those of the
-smallest hash of doc_id. A sampled labelled row counts as many times as rows of its answer stand
+Bound: at most ``SAMPLE`` labelled rows of either answer, those of the smallest hash of doc_id. A sampled labelled row counts as many times as rows of its answer stand
 for it, so that the answers have their shares of all labelled rows.
 
 Defined cases: null text is the empty text; null metadata are values of their own. A doc_id
@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.linear import (
@@ -36,13 +36,15 @@ from ledgerloom.llm.linear import (
     texts_of,
 )
 from ledgerloom.llm.textbytes import WordHasher, Words, batches, mix64, utf8
+from ledgerloom.scratch import Scratch
 
 SAMPLE = 3000
-POOL = 4000
+GIVEN = 80
 ROUNDS = 3
 SHARE = 0.02
 FOLDS = 2
 BUCKETS = 48
+WIDTHS = {"content": 260, "metadata": 2 * BUCKETS + 24}
 COLUMNS = ("text", "lang", "source", "n_chars")
 
 
@@ -105,61 +107,138 @@ def _sampled(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def co_train(
-    views: tuple[np.ndarray, np.ndarray],
-    y: np.ndarray,
-    pool: tuple[np.ndarray, np.ndarray],
-    rounds: int = ROUNDS,
-    share: float = SHARE,
-    times: np.ndarray | None = None,
-) -> list[np.ndarray]:
-    """A model for each view after the exchange."""
-    taught = [(v, y, np.ones(len(y)) if times is None else times) for v in views]
-    free = [np.ones(len(pool[0]), dtype=bool) for _ in views]
-    models = [fit_logistic(x, t, times=n) for x, t, n in taught]
-    most = int(share * len(pool[0]))
-    for _ in range(rounds if len(y) and 0 < y.mean() < 1 else 0):
-        given = []
-        for k, model in enumerate(models):
-            p = predict(model, pool[k])
-            other = 1 - k
-            for answer, sure in ((1.0, p), (0.0, 1 - p)):
-                able = np.flatnonzero(free[other] & (sure > 0.95))
-                best = able[np.argsort(-sure[able], kind="stable")[:most]]
-                free[other][best] = False
-                given.append((other, best, answer))
-        for other, best, answer in given:
-            x, t, n = taught[other]
-            taught[other] = (
-                np.concatenate([x, pool[other][best]]),
-                np.concatenate([t, np.full(len(best), answer)]),
-                np.concatenate([n, np.ones(len(best))]),
+class Training:
+    """Co-training of both views from some labelled rows."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, times: np.ndarray):
+        self.taught = [(v, y, times) for v in views]
+        #: For each view the rows that the other gave it.
+        self.given: list[set[int]] = [set(), set()]
+        self.open = len(y) > 0 and 0 < y.mean() < 1
+        self.fit()
+
+    def fit(self) -> None:
+        self.models = [fit_logistic(x, t, times=n) for x, t, n in self.taught]
+
+    def take(self, view: int, ids: list[int], x: np.ndarray, answers: np.ndarray) -> None:
+        """Rows for a view, with the other's answers."""
+        old, t, n = self.taught[view]
+        self.given[view].update(ids)
+        self.taught[view] = (
+            np.concatenate([old, x]),
+            np.concatenate([t, answers]),
+            np.concatenate([n, np.ones(len(ids))]),
+        )
+
+
+def _surest(trainings: list[tuple[list[np.ndarray], list[list[int]]]], most: int) -> Callable:
+    """A task's ``most`` surest rows for each training, view and answer; group tells which."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, ...]] = {}
+        for frame in frames:
+            ids, order = np.asarray(frame.column("doc_id")), np.asarray(frame.column("at"))
+            x = [
+                np.asarray(frame.column(c).flatten(), dtype=np.float32).reshape(len(ids), w)
+                for c, w in WIDTHS.items()
+            ]
+            for g, (models, given) in enumerate(trainings):
+                for k in range(2):
+                    p = predict(models[k], x[k])
+                    free = ~np.isin(ids, given[1 - k])
+                    for answer, sure in ((0, 1 - p), (1, p)):
+                        able = np.flatnonzero(free & (sure > 0.95))
+                        if not len(able):
+                            continue
+                        group = 4 * g + 2 * k + answer
+                        found = (sure[able], order[able], ids[able], x[1 - k][able])
+                        if group in held:
+                            found = tuple(map(np.concatenate, zip(held[group], found)))
+                        best = np.lexsort((found[2], found[1], -found[0]))
+                        # Rows of one doc_id are one: the surest of them.
+                        best = best[np.sort(np.unique(found[2][best], return_index=True)[1])]
+                        held[group] = tuple(f[best[:most]] for f in found)
+        for group, (sure, order, ids, x) in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(ids), group), pa.int32()),
+                    pa.array(sure),
+                    pa.array(order),
+                    pa.array(ids),
+                    pa.array(list(x), pa.list_(pa.float32())),
+                ],
+                names=["group", "sure", "at", "doc_id", "x"],
             )
-        models = [fit_logistic(x, t, times=n) for x, t, n in taught]
-    return models
+
+    return run
+
+
+def surest_rows(
+    scratch: Scratch, pool: DataFrame, trainings: list[Training], most: int, name: str
+) -> pa.Table:
+    """``(group, doc_id, x)``: the ``most`` surest rows of the whole pool in each group, in order."""
+    known = [(t.models, [sorted(g) for g in t.given]) for t in trainings]
+    found, _ = scratch.keep(
+        pool.mapInArrow(
+            _surest(known, most),
+            "group int, sure double, at long, doc_id long, x array<float>",
+        ),
+        name,
+    )
+    # Vectors stay behind until the rows are chosen.
+    once = found.groupBy("group", "doc_id").agg(
+        F.max(F.struct("sure", (-F.col("at").cast("double")).alias("minus"))).alias("top")
+    )
+    place = Window.partitionBy("group").orderBy(F.desc("top.sure"), F.desc("top.minus"), "doc_id")
+    chosen = once.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most)
+    chosen = chosen.select("group", "doc_id", "place", F.col("top.sure").alias("sure"))
+    rows = found.join(F.broadcast(chosen), ["group", "doc_id", "sure"])
+    rows = rows.groupBy("group", "place", "doc_id").agg(F.min("x").alias("x"))
+    gathered = rows.toArrow()
+    return gathered.sort_by([("group", "ascending"), ("place", "ascending")]).combine_chunks()
+
+
+def co_train(scratch: Scratch, pool: DataFrame, n_pool: int, trainings: list[Training]) -> None:
+    """The exchange between the views of each training, over all rows of the pool."""
+    most = min(GIVEN, int(SHARE * n_pool))
+    open_ones = [t for t in trainings if t.open]
+    for turn in range(ROUNDS if open_ones and most else 0):
+        rows = surest_rows(scratch, pool, open_ones, most, f"surest-{turn}")
+        group, ids = np.asarray(rows.column("group")), np.asarray(rows.column("doc_id"))
+        vectors = rows.column("x").to_pylist()
+        for g, training in enumerate(open_ones):
+            for k in range(2):
+                at = np.flatnonzero(group // 2 == 2 * g + k)
+                if len(at):
+                    x = np.array([vectors[i] for i in at], dtype=np.float64)
+                    training.take(1 - k, ids[at].tolist(), x, (group[at] % 2).astype(float))
+            training.fit()
 
 
 def fit(
+    scratch: Scratch,
+    pool: DataFrame,
+    n_pool: int,
     ids: np.ndarray,
     views: tuple[np.ndarray, np.ndarray],
     y: np.ndarray,
-    pool: tuple[np.ndarray, np.ndarray],
     times: np.ndarray,
 ) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """Models of the views, their calibrations, and the model that combines them."""
-    models = co_train(views, y, pool, times=times)
     fold = hashed_fold(ids, FOLDS)
+    parts = [np.ones(len(y), dtype=bool), *[fold != f for f in range(FOLDS)]]
+    trainings = [Training(tuple(v[p] for v in views), y[p], times[p]) for p in parts]
+    co_train(scratch, pool, n_pool, trainings)
     outside = np.zeros((len(y), 2))
     for f in range(FOLDS):
         held = fold == f
-        inner = co_train(tuple(v[~held] for v in views), y[~held], pool, times=times[~held])
         for k in range(2):
-            outside[held, k] = logit(predict(inner[k], views[k][held]))
+            outside[held, k] = logit(predict(trainings[f + 1].models[k], views[k][held]))
     calibrations = [fit_logistic(outside[:, [k]], y, 0.1, times=times) for k in range(2)]
     calibrated = np.column_stack(
         [logit(predict(c, outside[:, [k]])) for k, c in enumerate(calibrations)]
     )
-    return models, calibrations, fit_logistic(calibrated, y, 0.1, times=times)
+    return trainings[0].models, calibrations, fit_logistic(calibrated, y, 0.1, times=times)
 
 
 def combined(fitted, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -198,31 +277,31 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     known = known.groupBy("doc_id").agg(F.min(F.col("quality") > 0).alias("good"))
     counts = label_counts(known, "good")
     labelled = sample_rows(known, SAMPLE, "quality", F.col("good"), ~F.col("good"))
-    unknown = (
-        docs.select("doc_id").filter("doc_id is not null").join(known, "doc_id", "left_anti")
-    )
-    pool = sample_rows(unknown.distinct(), POOL, "pool").withColumn(
-        "good", F.lit(None).cast("boolean")
-    )
-    rows = texts_of(docs, labelled.unionByName(pool), *COLUMNS).mapInArrow(
-        _sampled, "doc_id long, good boolean, content array<float>, metadata array<float>"
-    )
-    gathered = rows.toArrow()
+    features = "doc_id long, good boolean, content array<float>, metadata array<float>"
+    gathered = texts_of(docs, labelled, *COLUMNS).mapInArrow(_sampled, features).toArrow()
     order = np.argsort(np.asarray(gathered.column("doc_id")), kind="stable")
     gathered = gathered.take(pa.array(order, pa.int64())).combine_chunks()
-    good = np.array([-1 if g is None else g for g in gathered.column("good").to_pylist()], int)
+    good = np.array(gathered.column("good").to_pylist(), int)
     ids = np.asarray(gathered.column("doc_id"))
+    views = tuple(
+        np.array(gathered.column(c).to_pylist(), dtype=np.float64).reshape(len(ids), w)
+        for c, w in WIDTHS.items()
+    )
+    times = row_times(good, counts, SAMPLE)
 
-    def table(name: str, width: int, at: np.ndarray) -> np.ndarray:
-        lists = gathered.column(name).to_pylist()
-        return np.array([lists[i] for i in at], dtype=np.float64).reshape(len(at), width)
-
-    sizes = (("content", 260), ("metadata", 2 * BUCKETS + 24))
-    taught, rest = np.flatnonzero(good >= 0), np.flatnonzero(good < 0)
-    views = tuple(table(c, w, taught) for c, w in sizes)
-    times = row_times(good[taught], counts, SAMPLE)
-    pooled = tuple(table(c, w, rest) for c, w in sizes)
-    fitted = fit(ids[taught], views, good[taught].astype(float), pooled, times)
+    # Vectors of all unlabelled rows, written once and read in each round.
+    scratch = Scratch(docs.sparkSession, "quality")
+    unknown = (
+        docs.select("doc_id", *COLUMNS)
+        .filter("doc_id is not null")
+        .join(known.select("doc_id"), "doc_id", "left_anti")
+        .withColumn("good", F.lit(None).cast("boolean"))
+    )
+    pool, n_pool = scratch.keep(unknown.mapInArrow(_sampled, features), "pool")
+    pool = pool.select(
+        "doc_id", F.xxhash64(F.lit("pool"), "doc_id").alias("at"), "content", "metadata"
+    )
+    fitted = fit(scratch, pool, n_pool, ids, views, good.astype(float), times)
     return docs.select("doc_id", *COLUMNS).mapInArrow(
         _score(fitted, threshold),
         "doc_id long, p_text double, p_metadata double, quality double, kept boolean",

@@ -89,3 +89,31 @@ def test_sampled_labels_keep_their_shares(spark, monkeypatch):
     scored = quality_cotraining.score_quality(docs, labels)
     assert abs(scored.agg(F.avg("quality")).first()[0] - 0.9) < 0.03
     assert scored.filter("not kept").count() == 0
+
+
+def test_views_teach_each_other_from_all_unlabelled_rows(spark):
+    import numpy as np
+
+    from ledgerloom.scratch import Scratch
+
+    n, most = 6000, 20
+    draw = np.random.default_rng(4)
+    x = {c: draw.standard_normal((n, w)).astype(np.float32) for c, w in quality_cotraining.WIDTHS.items()}
+    rows = [(i, i, x["content"][i].tolist(), x["metadata"][i].tolist()) for i in range(n)]
+    fields = "doc_id long, at long, content array<float>, metadata array<float>"
+    pool = spark.createDataFrame([*rows, rows[0]], fields).repartition(5)
+    training = quality_cotraining.Training(
+        tuple(v[:200].astype(float) for v in x.values()), (x["content"][:200, 0] > 0).astype(float), np.ones(200)
+    )
+    training.given[1].update(range(3000, 3100))
+    found = quality_cotraining.surest_rows(Scratch(spark, "t"), pool, [training], most, "surest")
+    group, ids = np.asarray(found.column("group")), np.asarray(found.column("doc_id"))
+    for k, own in enumerate(x.values()):
+        p = quality_cotraining.predict(training.models[k], own)
+        for answer, sure in ((0, 1 - p), (1, p)):
+            able = [i for i in range(n) if sure[i] > 0.95 and i not in training.given[1 - k]]
+            best = sorted(able, key=lambda i: (-sure[i], i))[:most]
+            assert len(best) == most
+            assert ids[group == 2 * k + answer].tolist() == best
+    first = found.column("x")[0].as_py()
+    assert np.allclose(first, x["metadata"][ids[0]])
