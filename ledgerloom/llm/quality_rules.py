@@ -9,9 +9,9 @@ rounds. A row is rejected whose squared distance passes the chi-square quantile
 size is combined in each task first, and the driver sees none of it.
 
 Scatter gets ``FLOORS`` added on its diagonal, so that a statistic which most rows share
-exactly, like no symbols at all, does not reject a row for a trace of it. Groups of fewer
-than ``least`` rows are pooled by language, and those pools by one of all. A pool smaller
-still is not judged.
+exactly, like no symbols at all, does not reject a row for a trace of it. Rows of groups
+of fewer than ``least`` rows are judged by their whole language, and if that is as small by the
+whole corpus, whatever its size.
 
 Defined cases: null text is no words, and fails the base rules. Null language or source is a
 value of its own. Repeated rows are judged each. Carried columns may have any name.
@@ -156,26 +156,38 @@ def chi_square_quantile(tail: float, freedom: int) -> float:
 
 
 def _groups(rows: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """``(lang, source, group)`` with small groups pooled; group null: too few to judge."""
+    """``(lang, source, group, feeds)``: the group that judges rows, and those they are part of.
+
+    Rows of a small group are judged by their whole language, or by the whole corpus if that is
+    small as well.
+    """
     counts, _ = scratch.keep(
         rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "counts"
     )
-    small = F.col("n") < least
-    of_lang = (
-        counts.filter(small)
-        .groupBy(F.col("lang").alias("pool_lang"))
-        .agg(F.sum("n").alias("pooled"))
+    of_lang, _ = scratch.keep(
+        counts.groupBy(F.col("lang").alias("pool_lang")).agg(
+            F.sum("n").alias("pooled"), F.min("n").alias("fewest")
+        ),
+        "pools",
+    )
+    scarce = of_lang.filter(F.col("pooled") < least).limit(1).count() > 0
+    joined = counts.join(of_lang, counts["lang"].eqNullSafe(of_lang["pool_lang"]))
+    own = F.when(
+        F.col("n") >= least, F.xxhash64(F.lit("group"), F.struct("lang"), F.struct("source"))
     )
-    of_lang, _ = scratch.keep(of_lang, "pools")
-    of_all = of_lang.filter(F.col("pooled") < least).agg(F.sum("pooled").alias("n")).first()["n"]
-    joined = counts.join(of_lang, counts["lang"].eqNullSafe(of_lang["pool_lang"]), "left")
+    whole = F.when(F.col("pooled") >= least, F.xxhash64(F.lit("lang"), F.struct("lang")))
+    all_rows = F.lit(0).cast("long")
     return joined.select(
         "lang",
         "source",
-        F.when(~small, F.xxhash64(F.lit("group"), F.struct("lang"), F.struct("source")))
-        .when(F.col("pooled") >= least, F.xxhash64(F.lit("lang"), F.struct("lang")))
-        .when(F.lit((of_all or 0) >= least), F.lit(0).cast("long"))
-        .alias("group"),
+        F.coalesce(own, whole, all_rows).alias("group"),
+        F.array_compact(
+            F.array(
+                own,
+                F.when(F.col("fewest") < least, whole),
+                F.when(F.lit(scarce), all_rows),
+            )
+        ).alias("feeds"),
     )
 
 
@@ -305,7 +317,7 @@ def judge(
     )
     groups, _ = scratch.keep(_groups(sound, least, scratch), "groups")
     keyed = groups.select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "group"
+        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "group", "feeds"
     )
     rows = (
         sound.join(
@@ -313,8 +325,7 @@ def judge(
             F.col("lang").eqNullSafe(F.col("g_lang"))
             & F.col("source").eqNullSafe(F.col("g_source")),
         )
-        .filter(F.col("group").isNotNull())
-        .select("group", *FLOORS)
+        .select(F.explode("feeds").alias("group"), *FLOORS)
     )
     rows, _ = scratch.keep(rows, "vectors")
     estimate = mcd_estimates(rows, scratch, inside)

@@ -99,3 +99,16 @@ def test_base_statistics(spark):
         assert row["base_failed"] == failed and not (failed and row["kept"])
     assert quality_rules.passing_documents(docs).columns == docs.columns
     assert quality_rules.judge(docs.limit(0)).count() == 0
+
+
+def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 997}" for j in range(80 + i % 9)), "en", "big") for i in range(300)]
+    rows += [(300 + i, rows[i][1], *g) for i, g in enumerate([("en", "rare"), ("fr", "rare"), (None, None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.judge(docs).select("doc_id", "distance", "kept").collect()
+    assert all(r["distance"] is not None and r["kept"] for r in got)
+    few = quality_rules.judge(docs.filter("doc_id >= 295")).select("distance", "kept").collect()
+    assert all(r["distance"] is not None and r["kept"] for r in few)
+    noise = " ".join("#$%&<|>*" * 3 for _ in range(80))
+    odd = spark.createDataFrame([(900, noise, "fr", "rare")], docs.schema)
+    assert not quality_rules.judge(docs.unionByName(odd)).filter("doc_id = 900").first()["kept"]
