@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import (
     bpe,
     embedding_dedup,
+    language_id,
     line_dedup,
     lm_scoring,
+    merkle,
     mixing,
     near_dedup,
+    prefix_trie,
     quality_cotraining,
     quality_rules,
     token_counts,
@@ -89,3 +92,18 @@ def op9_token_counts(spark, sf_dir):
 @query
 def op10_lm_scoring(spark, sf_dir):
     return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.tampered_proofs(documents(spark, sf_dir))
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    return language_id.identify_languages(documents(spark, sf_dir))
