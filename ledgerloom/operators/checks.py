@@ -162,52 +162,65 @@ def _known(types: DataFrame) -> DataFrame:
     return names.withColumn("_known", F.lit(True))
 
 
-def check_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
-    """Type missing, or not among the known types."""
+def _judged(table: DataFrame, category: str, id_column: str, *problems: Column) -> DataFrame:
+    """``table`` with ``_problems``: a short list of its errors' texts, empty if it is sound."""
+    folder = f"{category}s"
+    told = F.array_compact(F.array(*[_path(folder, id_column, p) for p in problems]))
+    return table.withColumn("_problems", told)
+
+
+def _problem_rows(judged: DataFrame, category: str, id_column: str) -> DataFrame:
+    told = judged.select(id_column, F.explode("_problems").alias("_message"))
+    return error_rows(told, category, F.col(id_column), F.col("_message"))
+
+
+def judged_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
+    """Targets with their problems: the type is missing, or not among the known ones."""
     joined = targets.join(_known(known_types), "type", "left")
     problem = F.when(F.col("type").isNull(), F.lit(MISSING_TYPE)).when(
         F.col("_known").isNull(), F.format_string(UNKNOWN_TYPE, "type")
     )
-    return _rows_of(joined, "target", F.col("target_id"), _path("targets", "target_id", problem))
+    return _judged(joined, "target", "target_id", problem)
+
+
+def check_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
+    """Type missing, or not among the known types."""
+    return _problem_rows(judged_targets(targets, known_types), "target", "target_id")
+
+
+def _sound_targets(judged: DataFrame) -> DataFrame:
+    """Ids of sound targets, written, as tasks may share one target."""
+    sound = judged.filter("size(_problems) = 0").select("target_id").distinct()
+    return Scratch(judged.sparkSession, "targets").keep(sound, "valid")[0]
 
 
 def valid_targets(targets: DataFrame, known_types: DataFrame) -> DataFrame:
-    """Ids of sound targets, written for the same reason: tasks may share one target."""
-    sound = targets.join(_known(known_types), "type", "left_semi").select("target_id")
-    return Scratch(targets.sparkSession, "targets").keep(sound.distinct(), "valid")[0]
+    return _sound_targets(judged_targets(targets, known_types))
 
 
-def _judged_tasks(tasks: DataFrame, targets_ok: DataFrame) -> DataFrame:
-    """Tasks with ``_known``: whether their target is a valid one."""
-    return tasks.join(
+def judged_tasks(tasks: DataFrame, targets_ok: DataFrame) -> DataFrame:
+    """Tasks with their problems: name, target or up missing, target not a valid one."""
+    joined = tasks.join(
         targets_ok.select(F.col("target_id").alias("target"), F.lit(True).alias("_known")),
         "target",
         "left",
     )
-
-
-def _task_problems() -> list[Column]:
     known = F.col("_known").isNotNull()
     name = F.when(F.col("name").isNull(), F.lit(MISSING_NAME))
     target = F.when(F.col("target").isNull(), F.lit(MISSING_TARGET)).when(
         ~known, F.format_string(UNKNOWN_TARGET, F.col("target").cast("string"))
     )
     script = F.when(known & F.col("up").isNull(), F.lit(MISSING_UP))
-    return [name, target, script]
+    return _judged(joined, "task", "task_id", name, target, script)
 
 
 def check_tasks(tasks: DataFrame, targets_ok: DataFrame) -> DataFrame:
     """Name, target or up missing; target not among the valid ones."""
-    return _rows_of(
-        _judged_tasks(tasks, targets_ok),
-        "task",
-        F.col("task_id"),
-        *[_path("tasks", "task_id", problem) for problem in _task_problems()],
-    )
+    return _problem_rows(judged_tasks(tasks, targets_ok), "task", "task_id")
 
 
 def valid_tasks(tasks: DataFrame, targets_ok: DataFrame) -> DataFrame:
-    return _judged_tasks(tasks, targets_ok).filter(F.coalesce(*_task_problems()).isNull())
+    return judged_tasks(tasks, targets_ok).filter("size(_problems) = 0").drop("_problems")
 
 
 def _task_edges(tasks_ok: DataFrame) -> DataFrame:
@@ -246,15 +259,18 @@ def validate_specs(
     no_project = check_project(project, project_file)
     if project.isEmpty():
         return no_project
-    targets_ok = valid_targets(targets, known_types)
-    # Three checks read the valid tasks, so they are judged once.
-    tasks_ok, _ = Scratch(tasks.sparkSession, "specs").keep(
-        valid_tasks(tasks, targets_ok).select("task_id", "dependencies"), "valid"
+    # Targets and tasks are judged once, to problems and validity, and read back for each check.
+    scratch = Scratch(tasks.sparkSession, "specs")
+    seen_targets, _ = scratch.keep(
+        judged_targets(targets, known_types).select("target_id", "_problems"), "targets"
     )
+    judged = judged_tasks(tasks, _sound_targets(seen_targets))
+    seen_tasks, _ = scratch.keep(judged.select("task_id", "dependencies", "_problems"), "tasks")
+    tasks_ok = seen_tasks.filter("size(_problems) = 0").select("task_id", "dependencies")
     return accumulate_errors(
         no_project,
-        check_targets(targets, known_types),
-        check_tasks(tasks, targets_ok),
+        _problem_rows(seen_targets, "target", "target_id"),
+        _problem_rows(seen_tasks, "task", "task_id"),
         check_dependencies(tasks_ok),
         check_cycles(tasks_ok),
     )

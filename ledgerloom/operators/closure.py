@@ -2,11 +2,16 @@
 
 Two loops, one for each shape of question. From given seeds a breadth-first walk touches
 only what the seeds reach, one round per hop. For all pairs the known pairs are composed
-with themselves, so the number of rounds grows with the logarithm of the depth.
+with themselves, so the number of rounds grows with the logarithm of the depth; the result is
+quadratic in the worst case, so ask :mod:`ledgerloom.operators.reach` when pairs are given.
 
-In both, candidates are made distinct with a combine step before the shuffle and the
-result of a round goes to a written table, so a hot id only makes a join partition that
-adaptive execution may split.
+A walk reads the edges where they are: a table is scanned once per hop and never copied, an
+:class:`~ledgerloom.sources.edge_store.EdgeStore` only in the folders that the frontier's nodes
+fall into. Hand over a stored table, not one with work before it.
+
+Candidates are made distinct with a combine step before the shuffle and the result of a
+round goes to a written table, so a hot id only makes a join partition that adaptive
+execution may split.
 """
 
 from __future__ import annotations
@@ -15,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.graph import reversed_edges
 from ledgerloom.scratch import Scratch
+from ledgerloom.sources.edge_store import EdgeStore
 
 
 def _pairs(id_type: T.DataType) -> T.StructType:
@@ -29,38 +34,50 @@ def _pairs(id_type: T.DataType) -> T.StructType:
     )
 
 
-def transitive_dependencies(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """``seed, node_id, distance`` for everything a seed needs.
-
-    The seed itself appears only when it lies on a cycle.
-    """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "closure")
-    schema = _pairs(edges.schema["node_id"].dataType)
-    hops, n_edges = scratch.keep(edges.select("node_id", "depends_on"), "edges")
-    frontier = seeds.select(F.col("node_id").alias("seed"), "node_id").distinct()
+def _walk(seeds: DataFrame, edges: DataFrame | EdgeStore, near: str, far: str) -> DataFrame:
+    """``seed, node_id, distance`` along edges from their ``near`` end to their ``far`` one."""
+    store = edges if isinstance(edges, EdgeStore) else None
+    scratch = Scratch(seeds.sparkSession, "closure")
+    id_type = store.id_type if store else edges.schema["node_id"].dataType
+    schema = _pairs(id_type)
+    seen = {"folders": F.collect_set(store.folder(F.col("node_id")))} if store else {}
+    start = seeds.select(
+        F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("distance")
+    ).distinct()
+    counts = scratch.write(start, "hop-0", **seen)
     rounds: list[str] = []
-    while n_edges:
-        distance = len(rounds) + 1
+    while counts["n"]:
+        last = f"hop-{len(rounds)}"
+        table = store.by(near, counts["folders"]) if store else edges
+        hops = table.select(F.col(near).alias("node_id"), F.col(far).alias("_next"))
         step = (
-            frontier.join(hops, "node_id")
-            .select("seed", F.col("depends_on").alias("node_id"))
+            scratch.read(schema, last)
+            .join(hops, "node_id")
+            .select("seed", F.col("_next").alias("node_id"))
             .distinct()
         )
         if rounds:
             step = step.join(scratch.read(schema, *rounds), ["seed", "node_id"], "left_anti")
-        name = f"hop-{distance}"
-        reached = scratch.write(step.withColumn("distance", F.lit(distance)), name)["n"]
-        if not reached:
-            break
-        rounds.append(name)
-        frontier = scratch.read(schema, name).select("seed", "node_id")
+        distance = len(rounds) + 1
+        counts = scratch.write(
+            step.select("seed", "node_id", F.lit(distance).alias("distance")), f"hop-{distance}", **seen
+        )
+        if counts["n"]:
+            rounds.append(f"hop-{distance}")
     return scratch.read(schema, *rounds)
 
 
-def transitive_dependents(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def transitive_dependencies(seeds: DataFrame, edges: DataFrame | EdgeStore) -> DataFrame:
+    """``seed, node_id, distance`` for everything a seed needs.
+
+    The seed itself appears only when it lies on a cycle.
+    """
+    return _walk(seeds, edges, "node_id", "depends_on")
+
+
+def transitive_dependents(seeds: DataFrame, edges: DataFrame | EdgeStore) -> DataFrame:
     """``seed, node_id, distance`` for everything that needs a seed."""
-    return transitive_dependencies(seeds, reversed_edges(edges))
+    return _walk(seeds, edges, "depends_on", "node_id")
 
 
 def reachability(edges: DataFrame) -> DataFrame:
@@ -101,7 +118,7 @@ def reachability(edges: DataFrame) -> DataFrame:
     )
 
 
-def target_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def target_closure(seeds: DataFrame, edges: DataFrame | EdgeStore) -> DataFrame:
     """Distinct ids: the targets and everything they need."""
     needed = transitive_dependencies(seeds, edges).select("node_id")
     return seeds.select("node_id").unionByName(needed).distinct()

@@ -2,58 +2,207 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.closure import transitive_dependents
-from ledgerloom.operators.graph import ends, induced_subgraph, reversed_edges
-from ledgerloom.operators.levels import FOLDERS, peel
+from ledgerloom.operators.levels import FOLDERS
+from ledgerloom.operators.pointers import follow
 from ledgerloom.scratch import Scratch
 
+# Sides of an edge: forwards from a node to what it needs, backwards to what needs it.
+FORWARD, BACK = 0, 1
+
+
+def _arcs(edges: DataFrame) -> DataFrame:
+    """``key, other, side``: each edge from either end."""
+    ends = F.array(
+        F.struct(F.col("node_id").alias("key"), F.col("depends_on").alias("other"), F.lit(FORWARD).alias("side")),
+        F.struct(F.col("depends_on").alias("key"), F.col("node_id").alias("other"), F.lit(BACK).alias("side")),
+    )
+    return edges.select(F.explode(ends).alias("a")).select("a.*")
+
+
+def _side(which: int) -> Column:
+    return F.col("side") == which
+
+
+# -- trimming -----------------------------------------------------------------------------
+
 
 def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """The edges that remain when peeled from the bottom and then from the top.
+    """The edges that remain when nodes without needs, or that nothing needs, are peeled off.
 
-    What is left lies on cycles or on paths between them.
+    Both ends are peeled in the same round: one log holds how many edges of a node are open on
+    either side, and a node goes once one side has none. What is left lies on cycles or on paths
+    between them. Arcs that were met are read in vain; they are written anew when that has
+    added up to twice the table.
     """
-    core = edges
-    for _ in ("bottom", "top"):
-        stuck = peel(None, core).stuck
-        if stuck is None:
-            return core.limit(0), 0
-        core = reversed_edges(stuck)
-    return scratch.keep(core, label)
+    arcs, n_arcs = scratch.keep(_arcs(edges), f"{label}-arcs")
+    one = F.lit(1).cast("long")
+    first = arcs.groupBy(F.col("key").alias("node_id")).agg(
+        F.sum(F.when(_side(FORWARD), one).otherwise(0)).alias("ins"),
+        F.sum(F.when(_side(BACK), one).otherwise(0)).alias("outs"),
+    )
+    schema, over = first.schema, "ins <= 0 OR outs <= 0"
+    name, turn = f"{label}-0", 0
+    fresh = scratch.write(first, name, gone=F.count_if(F.expr(over)))["gone"]
+    log, met, wasted, removed = [name], 0, 0, bool(fresh)
+
+    def alive() -> DataFrame:
+        now = scratch.read(schema, *log).groupBy("node_id")
+        now = now.agg(F.min("ins").alias("ins"), F.min("outs").alias("outs"))
+        return now.filter("ins > 0 AND outs > 0")
+
+    while fresh:
+        gone = scratch.read(schema, name).filter(over).select(F.col("node_id").alias("key"))
+        none = F.lit(None).cast("long")
+        # A node that goes closes one edge of what needs it and of what it needs.
+        hits = arcs.join(gone, "key", "left_semi").select(
+            F.col("other").alias("node_id"),
+            none.alias("ins"),
+            none.alias("outs"),
+            F.when(_side(BACK), 1).otherwise(0).alias("in_hits"),
+            F.when(_side(FORWARD), 1).otherwise(0).alias("out_hits"),
+        )
+        zero = F.lit(0)
+        known = scratch.read(schema, *log).select(
+            "*", zero.alias("in_hits"), zero.alias("out_hits")
+        )
+        step = (
+            hits.unionByName(known)
+            .groupBy("node_id")
+            .agg(*[F.min(c).alias(c) for c in ("ins", "outs")], *[F.sum(c).alias(c) for c in ("in_hits", "out_hits")])
+            .filter("in_hits + out_hits > 0 AND ins > 0 AND outs > 0")
+            .select(
+                "node_id",
+                (F.col("ins") - F.col("in_hits")).alias("ins"),
+                (F.col("outs") - F.col("out_hits")).alias("outs"),
+                (F.col("in_hits") + F.col("out_hits")).alias("hits"),
+            )
+        )
+        turn += 1
+        name = f"{label}-{turn}"
+        counts = scratch.write(step, name, gone=F.count_if(F.expr(over)), hits=F.sum("hits"))
+        fresh = counts["gone"]
+        log.append(name)
+        met += counts["hits"] or 0
+        wasted += met
+        if fresh and (wasted >= 2 * n_arcs or len(log) >= FOLDERS):
+            folded = f"{label}-until-{turn}"
+            scratch.write(alive().unionByName(scratch.read(schema, name).filter(over)), folded)
+            log = [folded]
+        if fresh and wasted >= 2 * n_arcs:
+            live = scratch.read(schema, *log).select("node_id")
+            rest = arcs.join(live.select(F.col("node_id").alias("key")), "key", "left_semi").join(
+                live.select(F.col("node_id").alias("other")), "other", "left_semi"
+            )
+            arcs, n_arcs = scratch.keep(rest.select("key", "other", "side"), f"{label}-arcs-{turn}")
+            met = wasted = 0
+    if not removed:
+        # Nothing hangs off: the edges are the core.
+        return edges, n_arcs // 2
+    left, n = scratch.keep(alive().select("node_id"), f"{label}-alive")
+    if not n:
+        return edges.limit(0), 0
+    core = edges.join(left, "node_id", "left_semi").join(
+        left.select(F.col("node_id").alias("depends_on")), "depends_on", "left_semi"
+    )
+    return scratch.keep(core.select("node_id", "depends_on"), f"{label}-core")
+
+
+# -- runs of nodes with one edge on either side ---------------------------------------------
+
+
+@dataclass
+class _Runs:
+    """``links``: ``node_id, below, above`` of inner nodes of runs, with the run's ends, and the
+    steps ``weight`` to the lower one; ``rings``: ``node_id, least`` of runs without ends."""
+
+    links: DataFrame | None
+    rings: DataFrame | None
+
+
+def _runs(scratch: Scratch, core: DataFrame, label: str, fixed: DataFrame | None = None) -> _Runs:
+    """Runs of the core's nodes that have one edge on either side, ``fixed`` ones excepted."""
+    degrees = _arcs(core).groupBy(F.col("key").alias("node_id")).agg(
+        F.count_if(_side(FORWARD)).alias("ins"), F.count_if(_side(BACK)).alias("outs")
+    )
+    inner = degrees.filter("ins = 1 AND outs = 1").select("node_id")
+    if fixed is not None:
+        inner = inner.join(fixed, "node_id", "left_anti")
+    inner, n = scratch.keep(inner, f"{label}-inner")
+    if not n:
+        return _Runs(None, None)
+    keyed = _arcs(core).join(inner.select(F.col("node_id").alias("key")), "key", "left_semi")
+    pointers, _ = scratch.keep(
+        keyed.select(
+            F.struct("side", F.col("key").alias("id")).alias("node_id"),
+            F.struct("side", F.col("other").alias("id")).alias("to"),
+            F.lit(1).alias("weight"),
+            F.lit(0).alias("floor"),
+        ),
+        f"{label}-pointers",
+    )
+    followed = follow(scratch, pointers, f"{label}-jump")
+    ends = followed.ends.select("node_id.side", F.col("node_id.id").alias("node_id"), "to.id", "weight")
+    below = ends.filter(_side(FORWARD)).select("node_id", F.col("id").alias("below"), "weight")
+    above = ends.filter(_side(BACK)).select("node_id", F.col("id").alias("above"))
+    links, n_links = scratch.keep(below.join(above, "node_id"), f"{label}-links")
+    rings = None
+    if followed.endless is not None:
+        rings = followed.endless.filter(F.col("node_id.side") == FORWARD).select(
+            F.col("node_id.id").alias("node_id"), F.col("least.id").alias("least")
+        )
+    return _Runs(links if n_links else None, rings)
+
+
+def _without(core: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that touch none of the nodes."""
+    ids = nodes.select("node_id")
+    return core.join(ids, "node_id", "left_anti").join(
+        ids.select(F.col("node_id").alias("depends_on")), "depends_on", "left_anti"
+    ).select("node_id", "depends_on")
+
 
+# -- components -----------------------------------------------------------------------------
 
-def _colours(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
-    """``node_id, colour``: the first node, by hash, of those that reach a node and itself.
 
-    The hash decides, so that components in a row do not settle one by one when their ids
-    rise along it. A turn writes only the nodes whose colour changed.
+def _labels(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
+    """``node_id, first, last``: the first node, by hash, that reaches it, and that it reaches.
+
+    Every node is a head at first. Both directions run in one loop of tagged frontiers, and a
+    round writes only the labels that changed. The hash decides, so that components in a row do
+    not settle one by one when their ids rise along it.
     """
-    rank = F.struct(F.xxhash64("node_id").alias("rank"), "node_id").alias("colour")
-    first = ends(core).select("node_id", rank)
-    schema, none = first.schema, F.lit(None).cast(first.schema["colour"].dataType)
-    name = f"{label}-0"
-    fresh, turn, log = scratch.write(first, name)["n"], 0, [name]
+    arcs, _ = scratch.keep(_arcs(core), f"{label}-arcs")
+    rank = F.struct(F.xxhash64("key").alias("rank"), F.col("key").alias("node_id"))
+    start = arcs.select(F.col("key").alias("node_id"), rank.alias("label")).distinct()
+    sides = F.explode(F.array(F.lit(FORWARD), F.lit(BACK)))
+    start = start.select("node_id", sides.alias("side"), "label")
+    schema, none = start.schema, F.lit(None).cast(start.schema["label"].dataType)
+    name, turn = f"{label}-0", 0
+    fresh, log = scratch.write(start, name)["n"], [name]
 
     def settled() -> DataFrame:
-        return scratch.read(schema, *log).groupBy("node_id").agg(F.min("colour").alias("colour"))
+        return scratch.read(schema, *log).groupBy("node_id", "side").agg(F.min("label").alias("label"))
 
     while fresh:
         offers = (
             scratch.read(schema, name)
-            .join(core, "node_id")
-            .select(F.col("depends_on").alias("node_id"), none.alias("colour"), F.col("colour").alias("_offer"))
+            .withColumnRenamed("node_id", "key")
+            .join(arcs, ["key", "side"])
+            .select(F.col("other").alias("node_id"), "side", none.alias("label"), F.col("label").alias("_offer"))
         )
         known = scratch.read(schema, *log).withColumn("_offer", none)
         better = (
             offers.unionByName(known)
-            .groupBy("node_id")
-            .agg(F.min("colour").alias("colour"), F.min("_offer").alias("_offer"))
-            .filter("_offer < colour")
-            .select("node_id", F.col("_offer").alias("colour"))
+            .groupBy("node_id", "side")
+            .agg(F.min("label").alias("label"), F.min("_offer").alias("_offer"))
+            .filter("_offer < label")
+            .select("node_id", "side", F.col("_offer").alias("label"))
         )
         turn, name = turn + 1, f"{label}-{turn + 1}"
         fresh = scratch.write(better, name)["n"]
@@ -61,85 +210,224 @@ def _colours(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
         if len(log) >= FOLDERS:
             scratch.write(settled(), f"{label}-until-{turn}")
             log = [f"{label}-until-{turn}"]
-    named = settled().select("node_id", F.col("colour.node_id").alias("colour"))
-    return scratch.keep(named, label)[0]
+    both = settled().groupBy("node_id").agg(
+        F.min(F.when(_side(FORWARD), F.col("label.node_id"))).alias("first"),
+        F.min(F.when(_side(BACK), F.col("label.node_id"))).alias("last"),
+    )
+    return scratch.keep(both, f"{label}-found")[0]
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that lie on a cycle (a self-loop is one).
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """``node_id, component`` of the nodes on cycles: two with the same are on one together.
 
-    What hangs before or behind cycles is trimmed first. Of the rest every node takes as
-    colour the first node, by hash, that reaches it; the nodes of a colour that reach back
-    to that node form a component with it. Settled nodes leave and the rest is trimmed and
-    coloured again: space stays linear in the core, whatever its size.
+    What hangs before or behind cycles is trimmed first. In each turn, runs of nodes with one
+    edge on either side become one edge (a run without ends is a ring, and found). Then every
+    node learns the first node, by hash, of those that reach it and of those that it reaches;
+    where both are the same, it is in that node's component. Edges between nodes that differ in
+    either lie on no cycle: they go, the rest is trimmed, and the next turn has many heads, one
+    for each part that is left. Nodes of runs follow the ends of their run. Space stays linear
+    in the edges, whatever the core's size.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
-    core, n = _trim(scratch, edges, "trim0")
     id_type = edges.schema["node_id"].dataType
-    schema = T.StructType([T.StructField("node_id", id_type)])
+    schema = T.StructType([T.StructField(c, id_type) for c in ("node_id", "component")])
+    plain, _ = scratch.keep(edges.select("node_id", "depends_on").distinct(), "edges")
+    loop = F.col("node_id") == F.col("depends_on")
+    core, n = _trim(scratch, plain.filter(~loop), "trim0")
     found: list[str] = []
+
+    def keep(rows: DataFrame, name: str) -> None:
+        if scratch.write(rows, name)["n"]:
+            found.append(name)
+
+    # Per turn: nodes with an edge to themselves, and the runs taken out after that.
+    loops, runs = [plain.filter(loop).select("node_id")], [None]
     while n:
-        turn = len(found)
-        colours = _colours(scratch, core, f"colour{turn}")
-        own, other = colours, colours.select(
-            F.col("node_id").alias("depends_on"), F.col("colour").alias("_needs")
+        turn = len(runs)
+        taken = _runs(scratch, core, f"runs{turn}")
+        if taken.rings is not None:
+            keep(taken.rings.select("node_id", F.col("least").alias("component")), f"rings-{turn}")
+            core, n = scratch.keep(_without(core, taken.rings), f"ringless-{turn}")
+        if taken.links is not None:
+            bridges = taken.links.select(F.col("above").alias("node_id"), F.col("below").alias("depends_on"))
+            joined = _without(core, taken.links).unionByName(bridges).distinct()
+            joined, _ = scratch.keep(joined, f"joined-{turn}")
+            core, n = scratch.keep(joined.filter(~loop), f"contracted-{turn}")
+            loops.append(joined.filter(loop).select("node_id"))
+        else:
+            loops.append(None)
+        runs.append(taken.links)
+        if not n:
+            break
+        labels = _labels(scratch, core, f"labels{turn}")
+        same = labels.filter(F.col("first") == F.col("last")).select("node_id", F.col("first").alias("component"))
+        shared = same.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        keep(same.join(shared, "component", "left_semi").select("node_id", "component"), f"found-{turn}")
+        # Of one component and not found yet: both labels alike at either end, but not each other.
+        open_labels = labels.filter(F.col("first") != F.col("last"))
+        ahead = open_labels.select(
+            F.col("node_id").alias("depends_on"), F.col("first").alias("_first"), F.col("last").alias("_last")
         )
-        inside = (
-            core.join(own, "node_id")
-            .join(other, "depends_on")
-            .filter("colour = _needs")
+        rest = (
+            core.join(open_labels, "node_id")
+            .join(ahead, "depends_on")
+            .filter("first = _first AND last = _last")
             .select("node_id", "depends_on")
         )
-        heads = colours.filter("node_id = colour").select("node_id")
-        members = transitive_dependents(heads, inside).select("node_id").distinct()
-        on_cycle, _ = scratch.keep(members, f"found-{turn}")
-        found.append(f"found-{turn}")
-        gone = on_cycle.unionByName(heads)
-        rest = core.join(gone, "node_id", "left_anti").join(
-            gone.select(F.col("node_id").alias("depends_on")), "depends_on", "left_anti"
-        )
-        core, n = _trim(scratch, rest.select("node_id", "depends_on"), f"trim{turn + 1}")
+        rest, n = scratch.keep(rest, f"rest-{turn}")
+        if n:
+            core, n = _trim(scratch, rest, f"trim{turn}")
+    for turn in range(len(runs) - 1, -1, -1):
+        known = scratch.read(schema, *found)
+        if loops[turn] is not None:
+            alone = loops[turn].join(known, "node_id", "left_anti")
+            keep(alone.select("node_id", F.col("node_id").alias("component")), f"loops-{turn}")
+        if runs[turn] is not None:
+            known = scratch.read(schema, *found)
+            low = known.select(F.col("node_id").alias("below"), F.col("component"))
+            high = known.select(F.col("node_id").alias("above"), F.col("component").alias("_above"))
+            inside = runs[turn].join(low, "below").join(high, "above").filter("component = _above")
+            keep(inside.select("node_id", "component"), f"inside-{turn}")
     return scratch.read(schema, *found)
 
 
-def cycle_path(edges: DataFrame) -> DataFrame:
-    """One row ``cycle`` as ``a -> b -> a``, or none.
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that lie on a cycle (a self-loop is one)."""
+    return cycle_components(edges).select("node_id")
+
+
+# -- one cycle --------------------------------------------------------------------------------
+
+
+def _distances(scratch: Scratch, steps: DataFrame, start: DataFrame) -> DataFrame:
+    """``node_id, distance``: steps from each node of ``steps(node_id, to, weight)`` to ``start``.
+
+    A round writes the nodes that a shorter way was found for; the start stays at 0.
+    """
+    first = start.select("node_id", F.lit(0).cast("long").alias("distance"))
+    schema = first.schema
+    names = ["distance-0"]
+    fresh = scratch.write(first, names[0])["n"]
+    while fresh:
+        just = scratch.read(schema, names[-1]).select(F.col("node_id").alias("to"), "distance")
+        offers = steps.join(just, "to").select(
+            "node_id", (F.col("distance") + F.col("weight")).alias("_offer")
+        )
+        none = F.lit(None).cast("long")
+        known = scratch.read(schema, *names).withColumn("_offer", none)
+        better = (
+            offers.withColumn("distance", none)
+            .unionByName(known)
+            .groupBy("node_id")
+            .agg(F.min("distance").alias("distance"), F.min("_offer").alias("_offer"))
+            .filter("_offer IS NOT NULL AND (distance IS NULL OR _offer < distance)")
+            .select("node_id", F.col("_offer").alias("distance"))
+        )
+        names.append(f"distance-{len(names)}")
+        fresh = scratch.write(better, names[-1])["n"]
+    return scratch.read(schema, *names).groupBy("node_id").agg(F.min("distance").alias("distance"))
+
+
+def cycle_rows(edges: DataFrame) -> DataFrame:
+    """One cycle as rows ``position, node_id``, from 1, its first node again at the end; or none.
 
-    It starts at the smallest id on any cycle, is as short as possible, and among those
-    the first by ids. A walk keeps one best path per node, and paths are no longer than
-    the cycle that is reported.
+    It starts at the smallest id on any cycle, is as short as possible, and among those the
+    first by ids. Runs of nodes with one edge on either side are stepped over at once when
+    distances to the start are found. Of each node's dependencies the smallest one that is a
+    step nearer becomes its pointer, and doubled pointers lay the walk out: after each round
+    twice as many positions are known. No row holds more than one node.
     """
     spark = edges.sparkSession
-    scratch = Scratch(spark, "cycle-path")
+    scratch = Scratch(spark, "cycle")
     id_type = edges.schema["node_id"].dataType
-    on_cycle, n = scratch.keep(cycle_nodes(edges), "nodes")
     schema = T.StructType(
-        [T.StructField("node_id", id_type), T.StructField("path", T.ArrayType(id_type))]
+        [T.StructField("position", T.LongType()), T.StructField("node_id", id_type)]
     )
-    rounds: list[str] = []
-    if n:
-        hops, _ = scratch.keep(induced_subgraph(edges, on_cycle), "edges")
-        frontier = on_cycle.agg(F.min("node_id").alias("node_id")).select(
-            "node_id", F.array("node_id").alias("path")
+    parts, n = scratch.keep(cycle_components(edges), "components")
+    if not n:
+        return scratch.read(schema)
+    smallest = parts.agg(F.min_by(F.struct("node_id", "component"), "node_id").alias("s"))
+    start, _ = scratch.keep(smallest.select("s.*"), "start")
+    members = parts.join(start.select("component"), "component", "left_semi").select("node_id")
+    ahead = members.select(F.col("node_id").alias("depends_on"))
+    inner = edges.join(members, "node_id", "left_semi").join(ahead, "depends_on", "left_semi")
+    inner, _ = scratch.keep(inner.select("node_id", "depends_on").distinct(), "edges")
+    origin = start.select("node_id")
+    runs = _runs(scratch, inner, "run", origin)
+    steps = inner.select("node_id", F.col("depends_on").alias("to"), F.lit(1).cast("long").alias("weight"))
+    if runs.links is not None:
+        over = runs.links.select(
+            F.col("node_id").alias("to"), "below", F.col("weight").alias("_weight")
         )
-        back = 0
-        while not back:
-            step = (
-                frontier.join(hops, "node_id")
-                .groupBy(F.col("depends_on").alias("node_id"))
-                .agg(F.min("path").alias("path"))
-                .select("node_id", F.concat("path", F.array("node_id")).alias("path"))
+        steps = (
+            steps.join(runs.links.select("node_id"), "node_id", "left_anti")
+            .join(over, "to", "left")
+            .select(
+                "node_id",
+                F.coalesce("below", "to").alias("to"),
+                (F.col("weight") + F.coalesce("_weight", F.lit(0))).alias("weight"),
             )
-            if rounds:
-                step = step.join(
-                    scratch.read(schema, *rounds).select("node_id"), "node_id", "left_anti"
-                )
-            name = f"hop-{len(rounds) + 1}"
-            back = scratch.write(
-                step, name, back=F.count_if(F.col("node_id") == F.element_at("path", 1))
-            )["back"]
-            rounds.append(name)
-            frontier = scratch.read(schema, name)
-        rounds = rounds[-1:]
-    closed = scratch.read(schema, *rounds).filter(F.col("node_id") == F.element_at("path", 1))
-    return closed.select(F.array_join(F.col("path").cast("array<string>"), " -> ").alias("cycle"))
+        )
+    steps, _ = scratch.keep(steps, "steps")
+    away = _distances(scratch, steps, origin)
+    if runs.links is not None:
+        low = away.select(F.col("node_id").alias("below"), "distance")
+        inside = runs.links.join(low, "below").select(
+            "node_id", (F.col("distance") + F.col("weight")).alias("distance")
+        )
+        away = away.unionByName(inside)
+    away, _ = scratch.keep(away, "away")
+    # From the start the shortest way round, from any other node one step nearer.
+    near = away.select(F.col("node_id").alias("depends_on"), F.col("distance").alias("_rest"))
+    near, _ = scratch.keep(inner.join(near, "depends_on"), "near")
+    round_trip = near.join(origin, "node_id", "left_semi").agg(F.min("_rest") + 1).first()[0]
+    goal = F.when(F.col("_start").isNull(), F.col("distance")).otherwise(F.lit(round_trip))
+    pointer = (
+        near.join(away, "node_id")
+        .join(origin.withColumn("_start", F.lit(True)), "node_id", "left")
+        .filter(F.col("_rest") + 1 == goal)
+        .groupBy("node_id")
+        .agg(F.min("depends_on").alias("to"))
+    )
+    pointer, _ = scratch.keep(pointer, "pointer-1")
+    names, reached = ["walk-1"], 1
+    scratch.write(origin.select(F.lit(1).cast("long").alias("position"), "node_id"), names[0])
+    while reached < round_trip + 1:
+        further = (
+            scratch.read(schema, *names)
+            .join(pointer, "node_id")
+            .select((F.col("position") + reached).alias("position"), F.col("to").alias("node_id"))
+            .filter(F.col("position") <= round_trip + 1)
+        )
+        reached *= 2
+        names.append(f"walk-{reached}")
+        scratch.write(further, names[-1])
+        if reached < round_trip + 1:
+            twice = pointer.select(F.col("node_id").alias("to"), F.col("to").alias("_to"))
+            pointer, _ = scratch.keep(
+                pointer.join(twice, "to").select("node_id", F.col("_to").alias("to")), f"pointer-{reached}"
+            )
+    return scratch.read(schema, *names)
+
+
+#: Nodes that a cycle may have to be spelled out in one cell.
+SPELLED = 1_000
+
+
+def cycle_path(edges: DataFrame) -> DataFrame:
+    """One row ``cycle`` as ``a -> b -> a``, or none: the text of :func:`cycle_rows`.
+
+    A cycle of more than ``SPELLED`` nodes is told by its first two nodes, its length and its
+    last step, so that the cell stays bounded; its rows are in :func:`cycle_rows`.
+    """
+    rows, length = Scratch(edges.sparkSession, "cycle-path").keep(cycle_rows(edges), "rows")
+    shown = F.col("position") > 0
+    if length > SPELLED + 1:
+        shown = (F.col("position") <= 2) | (F.col("position") >= length - 1)
+    listed = F.array_sort(F.collect_list(F.struct("position", F.col("node_id").cast("string").alias("id"))))
+    told = rows.filter(shown).agg(listed.alias("listed")).filter("size(listed) > 0")
+    ids = F.transform("listed", lambda r: r["id"])
+    if length > SPELLED + 1:
+        missing = F.array(F.lit(f"... ({length - 4} more) ..."))
+        ids = F.concat(F.slice(ids, 1, 2), missing, F.slice(ids, 3, 2))
+    return told.select(F.array_join(ids, " -> ").alias("cycle"))

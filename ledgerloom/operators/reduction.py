@@ -17,9 +17,14 @@ def redundant_edges(
 
     Along a dependency the level falls by one at least, so only an edge that falls by two
     or more can be redundant, and a walk from n may stop at the lowest level of its
-    candidates that are not yet hit. This touches the part of the graph between such
-    edges' ends instead of the closure of every node. ``levels`` may be passed if a plan
-    is at hand; a cyclic graph raises.
+    candidates. This touches the part of the graph between such edges' ends instead of the
+    closure of every node.
+
+    All seeds walk at once, each in the order of falling level: what lies ``k`` levels below its
+    seed is expanded in turn ``k``, after everything that could lead to it, and steps that jump
+    further wait in the folder of their turn. So each pair of seed and node is expanded once and
+    no turn looks at what was visited before; there are as many turns as the longest candidate
+    falls. ``levels`` may be passed if a plan is at hand; a cyclic graph raises.
     """
     scratch = Scratch(edges.sparkSession, "reduction")
     if levels is None:
@@ -33,61 +38,49 @@ def redundant_edges(
         edges.select("node_id", "depends_on").distinct().join(low, "depends_on").join(high, "node_id"),
         "graded",
     )
-    candidates, n_candidates = scratch.keep(
-        graded.filter("high - low >= 2").select("node_id", "depends_on", "low"), "candidates"
-    )
+    falls = F.col("high") - F.col("low")
+    candidates = graded.filter(falls >= 2)
+    # A seed's reach: how far below it its lowest candidate lies.
+    reach = candidates.groupBy(F.col("node_id").alias("seed")).agg(F.max(falls).alias("reach"))
+    reach, n_seeds = scratch.keep(reach, "reach")
     id_type = edges.schema["node_id"].dataType
     schema = T.StructType(
         [
             T.StructField("seed", id_type),
             T.StructField("node_id", id_type),
-            T.StructField("level", T.IntegerType()),
+            T.StructField("reach", T.IntegerType()),
         ]
     )
-    visited: list[str] = []
-    if n_candidates:
-        hops = graded.select("node_id", "depends_on", "low")
+    # By turn, the folders with steps that wait for it.
+    waiting: dict[int, list[str]] = {}
+    came_to: list[str] = []
 
-        def floors_of(unhit: DataFrame) -> DataFrame:
-            """Per seed the lowest level that it still looks for."""
-            floors = unhit.groupBy(F.col("node_id").alias("seed")).agg(F.min("low").alias("_floor"))
-            return scratch.keep(floors, f"floors-{len(visited)}")[0]
+    def send(rows: DataFrame, name: str) -> list[str]:
+        """Write steps in folders by the turn they wait for."""
+        seen = scratch.write(rows, name, by=["turn"], turns=F.collect_set("turn"))["turns"]
+        for turn in seen or []:
+            waiting.setdefault(turn, []).append(f"{name}/turn={turn}")
+        return [f"{name}/turn={turn}" for turn in seen or []]
 
-        floors = floors_of(candidates)
-        frontier = (
-            graded.select(
-                F.col("node_id").alias("seed"),
-                F.col("depends_on").alias("node_id"),
-                F.col("low").alias("level"),
-            )
-            .join(floors, "seed")
-            .filter("level > _floor")
+    if n_seeds:
+        hops = graded.select("node_id", "depends_on", falls.alias("fall"))
+        start = hops.withColumnRenamed("node_id", "seed").join(reach, "seed").filter("fall < reach")
+        send(
+            start.select("seed", F.col("depends_on").alias("node_id"), "reach", F.col("fall").alias("turn")),
+            "start",
+        )
+    turn = 0
+    while waiting:
+        turn += 1
+        if turn not in waiting:
+            continue
+        here = scratch.read(schema, *waiting.pop(turn)).distinct()
+        further = here.join(hops, "node_id").select(
+            "seed", F.col("depends_on").alias("node_id"), "reach", (F.col("fall") + turn).alias("turn")
         )
-        while True:
-            step = (
-                frontier.join(hops, "node_id")
-                .filter("low >= _floor")
-                .select(
-                    "seed", F.col("depends_on").alias("node_id"), F.col("low").alias("level")
-                )
-                .distinct()
-            )
-            if visited:
-                step = step.join(
-                    scratch.read(schema, *visited).select("seed", "node_id"),
-                    ["seed", "node_id"],
-                    "left_anti",
-                )
-            name = f"hop-{len(visited) + 1}"
-            if not scratch.write(step, name)["n"]:
-                break
-            visited.append(name)
-            hit = scratch.read(schema, *visited).select(
-                F.col("seed").alias("node_id"), F.col("node_id").alias("depends_on")
-            )
-            floors = floors_of(candidates.join(hit, ["node_id", "depends_on"], "left_anti"))
-            frontier = scratch.read(schema, name).join(floors, "seed").filter("level > _floor")
-    hit = scratch.read(schema, *visited).select(
+        came_to += send(further.filter("turn <= reach"), f"turn-{turn}")
+    # What a turn came to is led to by another dependency; the start's steps are the edges.
+    hit = scratch.read(schema, *came_to).select(
         F.col("seed").alias("node_id"), F.col("node_id").alias("depends_on")
     )
     return candidates.join(hit, ["node_id", "depends_on"], "left_semi").select(

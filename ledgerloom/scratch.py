@@ -43,15 +43,18 @@ class Scratch:
         application = spark.sparkContext.applicationId
         self.path = f"{checkpoint_root(spark)}/ledgerloom-{application}/{label}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, **measures: Column) -> dict[str, Any]:
-        """Write ``df`` and return its row count ``n`` and the given aggregates."""
+    def write(
+        self, df: DataFrame, name: str, by: list[str] | None = None, **measures: Column
+    ) -> dict[str, Any]:
+        """Write ``df``, in folders ``by`` columns, and return its row count ``n`` and the given
+        aggregates."""
         seen = Observation()
         observed = df.observe(
             seen,
             F.count(F.lit(1)).alias("n"),
             *[measure.alias(key) for key, measure in measures.items()],
         )
-        observed.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        observed.write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{self.path}/{name}")
         return seen.get
 
     def read(self, schema: T.StructType, *names: str) -> DataFrame:

@@ -93,6 +93,44 @@ def edges_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir).unionByName(extra)
 
 
+def _plain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"))
+
+
+def deep_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, and a chain with a node -1 - k for each customer k."""
+    base = _plain_nodes(spark, sf_dir)
+    return base.unionByName(base.select((-1 - F.col("node_id")).alias("node_id")))
+
+
+def deep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' edges; a chain as long as there are customers, hung on customer 7; and
+    every seventh node of the chain needs its customer as well."""
+    key = F.col("node_id")
+    before = F.when(key == 0, F.lit(7).cast("long")).otherwise(-key)
+    needs = F.array_compact(F.array(before, F.when((key % 7 == 0) & (key > 0), key)))
+    chain = _plain_nodes(spark, sf_dir).select(
+        (-1 - key).alias("node_id"), F.explode(needs).alias("depends_on")
+    )
+    return edges(spark, sf_dir).unionByName(chain)
+
+
+def edges_many_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k needs k div 2; customers in fives, of which two in three groups are rings."""
+    key = F.col("node_id")
+    group = F.expr("node_id div 5")
+    ring = F.when(group % 3 != 0, group * 5 + (key + 1) % 5)
+    needs = F.array_distinct(F.array_compact(F.array(F.when(key > 0, F.expr("node_id div 2")), ring)))
+    return _plain_nodes(spark, sf_dir).select("node_id", F.explode(needs).alias("depends_on"))
+
+
+def reach_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions for each customer: some ancestors for sure, others not."""
+    key = F.col("node_id")
+    asked = F.array(F.expr("node_id div 6"), F.expr("node_id div 5"), (key * 31 + 7) % 1000)
+    return _plain_nodes(spark, sf_dir).select("node_id", F.explode(F.array_distinct(asked)).alias("ancestor"))
+
+
 def nodes_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = nodes(spark, sf_dir)
     return base.unionByName(base.filter("node_id % 200 = 0"))

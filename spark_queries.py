@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.functions import text
-from ledgerloom.operators import checks, closure, cycles, graph, ledger, levels, props, reduction
+from ledgerloom.operators import (
+    checks,
+    closure,
+    cycles,
+    graph,
+    ledger,
+    levels,
+    props,
+    reach,
+    reduction,
+)
 from ledgerloom.plans import outcomes as runs
 from ledgerloom.plans import targets as plans
 from ledgerloom.scratch import Scratch
 from ledgerloom.sources import derived as d
 from ledgerloom.sources import ledger as ledger_source
 from ledgerloom.sources import specs
+from ledgerloom.sources.edge_store import EdgeStore
 from ledgerloom.streaming import ledger as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,6 +443,32 @@ def transitive_dependents(spark, sf):
     return closure.transitive_dependents(d.targets(spark, sf), d.edges(spark, sf))
 
 
+@query
+def transitive_dependents_stored(spark, sf):
+    """Over edges stored in folders: a hop reads the folders that its frontier falls into."""
+    store = EdgeStore.write(d.edges(spark, sf), _fresh(spark, "edges"))
+    return closure.transitive_dependents(d.targets(spark, sf), store)
+
+
+@query
+def plan_levels_stored(spark, sf):
+    store = EdgeStore.write(d.edges(spark, sf), _fresh(spark, "edges"))
+    return levels.plan_levels(d.nodes(spark, sf), store)
+
+
+@query
+def plan_levels_deep(spark, sf):
+    """A chain as long as there are customers: its rounds are the logarithm of that."""
+    return levels.plan_levels(d.deep_nodes(spark, sf), d.deep_edges(spark, sf))
+
+
+@query
+def reaches(spark, sf):
+    """Given pairs, by an index whose size is linear in nodes and edges."""
+    index = reach.build_index(d.nodes(spark, sf), d.edges(spark, sf), _fresh(spark, "index"))
+    return reach.reaches(d.reach_pairs(spark, sf), index)
+
+
 @query
 def reachability(spark, sf):
     return closure.reachability(d.edges(spark, sf))
@@ -457,6 +494,19 @@ def cycle_path(spark, sf):
     return cycles.cycle_path(d.edges_cyclic(spark, sf))
 
 
+@query
+def cycle_path_rows(spark, sf):
+    return cycles.cycle_rows(d.edges_cyclic(spark, sf))
+
+
+@query
+def cycle_nodes_many(spark, sf):
+    """Many components at once, each named by its smallest node."""
+    found = cycles.cycle_components(d.edges_many_cycles(spark, sf))
+    names = found.groupBy("component").agg(F.min("node_id").alias("least"))
+    return found.join(names, "component").select("node_id", F.col("least").alias("component"))
+
+
 @query
 def plan_levels(spark, sf):
     return levels.plan_levels(d.nodes(spark, sf), d.edges(spark, sf))

@@ -650,6 +650,56 @@ sql(
 )
 sql("cycle_nodes", "SELECT * FROM ring_on", "ring_on")
 sql("cycle_path", "SELECT cycle FROM ring_best", "ring_best")
+sql(
+    "cycle_path_rows",
+    """SELECT unnest(range(1, len(path) + 1)) AS position, unnest(path) AS node_id FROM (
+  SELECT path FROM ring_walk WHERE len(path) > 1 AND node_id = path[1] ORDER BY len(path), path LIMIT 1)""",
+    "ring_walk",
+)
+part(
+    "grouped",
+    "SELECT DISTINCT c_custkey AS node_id, unnest([CASE WHEN c_custkey > 0 THEN c_custkey // 2 END,"
+    " CASE WHEN c_custkey // 5 % 3 <> 0 THEN c_custkey // 5 * 5 + (c_custkey + 1) % 5 END]) AS depends_on"
+    " FROM customer",
+)
+part(
+    "grouped_pairs",
+    "SELECT node_id AS a, depends_on AS b FROM grouped WHERE depends_on IS NOT NULL"
+    " UNION SELECT p.a, e.depends_on FROM grouped_pairs p JOIN grouped e ON e.node_id = p.b"
+    " WHERE e.depends_on IS NOT NULL",
+    "grouped",
+)
+sql(
+    "cycle_nodes_many",
+    "SELECT p.a AS node_id, min(p.b) AS component FROM grouped_pairs p"
+    " JOIN grouped_pairs q ON q.a = p.b AND q.b = p.a GROUP BY p.a",
+    "grouped_pairs",
+)
+sql("transitive_dependents_stored", "SELECT * FROM above", "above")
+sql("plan_levels_stored", "SELECT * FROM plan", "plan")
+# A node of the chain: as far above each customer that it or a node below it needs as there are
+# steps to that node, and one more.
+sql(
+    "plan_levels_deep",
+    """SELECT level, node_id FROM plan
+UNION ALL
+SELECT CAST(1 + c_custkey + max(CASE WHEN c_custkey = 0 THEN (SELECT level FROM plan WHERE node_id = 7)
+    WHEN c_custkey % 7 = 0 THEN p.level - c_custkey END) OVER (ORDER BY c_custkey) AS INTEGER), -1 - c_custkey
+FROM customer JOIN plan p ON p.node_id = c_custkey""",
+    "plan",
+)
+part(
+    "reach_asked",
+    "SELECT DISTINCT c_custkey AS node_id, unnest([c_custkey // 6, c_custkey // 5, (c_custkey * 31 + 7) % 1000])"
+    " AS ancestor FROM customer",
+)
+sql(
+    "reaches",
+    "SELECT node_id, ancestor, (node_id, ancestor) IN (SELECT (seed, node_id) FROM reach) AS reaches"
+    " FROM reach_asked",
+    "reach_asked",
+    "reach",
+)
 sql("plan_levels", "SELECT * FROM plan", "plan")
 sql("plan_levels_for", "SELECT * FROM todo_plan", "todo_plan")
 sql("reverse_plan_levels_for", "SELECT * FROM todo_back", "todo_back")

@@ -1,9 +1,12 @@
 import random
+import re
 
 import pytest
 
-from ledgerloom.operators import closure, cycles, graph, levels, reduction
+from ledgerloom.operators import closure, cycles, graph, levels, pointers, reach, reduction, sums
 from ledgerloom.schemas import CycleError
+from ledgerloom.scratch import Scratch
+from ledgerloom.sources.edge_store import EdgeStore
 from tests.helpers import (
     by_level, edges_df, graph_of, nodes_df, py_closure, py_levels, py_redundant, rows, values,
 )
@@ -217,6 +220,9 @@ def test_random_dags_against_plain_python(spark, seed):
     compacted = levels.peel(nodes, edges, folders=2)
     assert {r["node_id"]: r["level"] for r in compacted.levels.collect()} == expected
     assert compacted.stuck is None
+    # The same when chains are contracted after every other round.
+    contracted = levels.peel(nodes, edges, patience=2)
+    assert {r["node_id"]: r["level"] for r in contracted.levels.collect()} == expected
     reach = py_closure(pairs)
     found = closure.reachability(edges).collect()
     assert {(r[0], r[1]): r[2] for r in found} == reach and len(found) == len(reach)
@@ -241,3 +247,134 @@ def test_random_digraphs_against_plain_python(spark, seed):
     peeled = levels.peel(nodes_df(spark, ids), edges)
     stuck_sources = {a for a, b in rows(peeled.stuck, "node_id", "depends_on")}
     assert set(on_cycle) <= stuck_sources
+    contracted = levels.peel(nodes_df(spark, ids), edges, patience=1)
+    assert rows(contracted.stuck, "node_id", "depends_on") == rows(peeled.stuck, "node_id", "depends_on")
+    assert rows(contracted.levels, "node_id", "level") == rows(peeled.levels, "node_id", "level")
+    parts = {r["node_id"]: r["component"] for r in cycles.cycle_components(edges).collect()}
+    assert {(a, b) for a in parts for b in parts if parts[a] == parts[b]} == {
+        (a, b) for a in on_cycle for b in on_cycle if (a, b) in reach and (b, a) in reach
+    }
+
+
+def _chain(prefix, n, first):
+    return [(f"{prefix}{i:04}", f"{prefix}{i - 1:04}" if i else first) for i in range(n)]
+
+
+def test_chains_take_rounds_logarithmic_in_their_length(spark):
+    """A chain of 400 on a root, with shortcuts into it, a side chain and a node on both."""
+    pairs = _chain("c", 400, "root") + _chain("d", 90, "c0300")
+    pairs += [("c0007", "root"), ("c0399", "c0100"), ("top", "c0399"), ("top", "d0089"), ("far", "c0200")]
+    ids = sorted({x for pair in pairs for x in pair})
+    peeled = levels.peel(nodes_df(spark, ids), edges_df(spark, pairs), patience=3)
+    assert {r["node_id"]: r["level"] for r in peeled.levels.collect()} == py_levels(ids, pairs)
+    assert peeled.stuck is None and peeled.rounds < 40
+
+
+def test_chains_that_end_in_a_cycle_or_nowhere_are_stuck(spark):
+    ring = [("r1", "r2"), ("r2", "r3"), ("r3", "r1")]
+    pairs = ring + _chain("c", 30, "r1") + _chain("d", 30, "gone") + _chain("e", 30, "f") + [("x", "e0029"), ("x", "d0029")]
+    ids = sorted({x for pair in pairs for x in pair} - {"gone"})
+    nodes, edges = nodes_df(spark, ids), edges_df(spark, pairs)
+    peeled = levels.peel(nodes, edges, patience=2)
+    stuck = {a for a, _ in rows(peeled.stuck, "node_id", "depends_on")}
+    assert stuck == {"x", "r1", "r2", "r3"} | {f"c{i:04}" for i in range(30)} | {f"d{i:04}" for i in range(1, 30)}
+    settled = rows(peeled.levels, "node_id", "level")
+    assert settled == {("f", 0)} | {(f"e{i:04}", i + 1) for i in range(30)}
+    with pytest.raises(CycleError, match="graph contains a cycle$"):
+        levels.plan_levels(nodes, edges)
+
+
+def test_pointers_double(spark):
+    rows_ = [(i, i + 1, 2, 100 - 3 * i) for i in range(37)] + [(50, 51, 1, 0), (51, 52, 1, 0), (52, 50, 1, 0), (49, 51, 1, 0)]
+    table = spark.createDataFrame(rows_, "node_id long, to long, weight long, floor long")
+    got = pointers.follow(Scratch(spark, "test"), table, "p")
+    ends = {r["node_id"]: (r["to"], r["weight"], r["floor"]) for r in got.ends.collect()}
+    # The floor: the largest of what lies ahead, moved by the steps up to there.
+    assert ends == {
+        i: (37, 2 * (37 - i), max(100 - 3 * j + 2 * (j - i) for j in range(i, 37))) for i in range(37)
+    }
+    assert rows(got.endless, "node_id") == {(50,), (51,), (52,), (49,)}
+    assert {r["least"] for r in got.endless.filter("node_id <> 49").collect()} == {50}
+    assert got.rounds < 12
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rng = random.Random(5)
+    rows_ = [(rng.choice([None, "hot", "hot", "x"]), i, rng.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows_, "g string, o int, v long").repartition(5)
+    got = sums.running_sum(Scratch(spark, "test"), df, "s", ["g"], ["o"], "v").collect()
+    assert len(got) == 300
+    for r in got:
+        assert r["before"] == sum(v for g, o, v in rows_ if g == r["g"] and o < r["o"])
+
+
+def test_stored_edges_are_read_by_folder(spark, out):
+    ids, pairs = _random_pairs(6, acyclic=True)
+    nodes, edges = nodes_df(spark, ids), edges_df(spark, pairs)
+    store = EdgeStore.write(edges.limit(20), f"{out}/edges", folders=8)
+    rest = edges.exceptAll(edges.limit(20))
+    store.append(rest)
+    opened = EdgeStore(spark, f"{out}/edges", store.id_type, folders=8)
+    assert rows(opened.edges(), "node_id", "depends_on") == set(pairs)
+    plan = opened.by("node_id", [3, 1])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[folder#\d+ IN \(1,3\)\]", plan)
+    read = opened.by("node_id", [1, 3]).inputFiles()
+    assert read and all("folder=1/" in f or "folder=3/" in f for f in read)
+    seeds = nodes_df(spark, ids[10:14])
+    for walk in (closure.transitive_dependencies, closure.transitive_dependents):
+        columns = ("seed", "node_id", "distance")
+        assert rows(walk(seeds, opened), *columns) == rows(walk(seeds, edges), *columns)
+    expected = {(n, l) for n, l in py_levels(ids, pairs).items()}
+    for patience in (2, 16):
+        assert rows(levels.peel(nodes, opened, patience=patience).levels, "node_id", "level") == expected
+    assert rows(levels.plan_levels(nodes, opened), "node_id", "level") == expected
+
+
+def test_walks_copy_no_edges(spark, monkeypatch):
+    nodes, edges = graph_of(spark, "b>a c>b d>c")
+    written = []
+    keep = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, **m: written.append(name) or keep(self, df, name, **m))
+    closure.transitive_dependencies(nodes_df(spark, ["d"]), edges).collect()
+    assert written == [f"hop-{k}" for k in range(5)]
+
+
+def test_index_answers_pairs(spark, out):
+    ids, pairs = _random_pairs(2, acyclic=True)
+    nodes, edges = nodes_df(spark, ids), edges_df(spark, pairs)
+    known = py_closure(pairs)
+    asked = spark.createDataFrame(
+        [(a, b) for a in ids for b in ids] + [("n01", "none"), ("none", "n00")], "node_id string, ancestor string"
+    )
+    index = reach.build_index(nodes, edges, f"{out}/index", orders=2)
+    got = reach.reaches(asked, reach.ReachIndex(spark, f"{out}/index", 2)).collect()
+    assert len(got) == len(ids) ** 2 + 2
+    assert {(r[0], r[1]) for r in got if r[2]} == set(known)
+    # Linear in the graph, ranks a numbering, and hulls as they should be.
+    found = {r["node_id"]: r for r in index.nodes().collect()}
+    assert len(found) == len(ids) and index.hops().count() == len(pairs)
+    for k in range(2):
+        assert sorted(r[f"rank{k}"] for r in found.values()) == list(range(len(ids)))
+        for a in ids:
+            below = [found[b][f"rank{k}"] for b in ids if b == a or (a, b) in known]
+            assert (found[a][f"low{k}"], found[a][f"high{k}"]) == (min(below), max(below))
+    with pytest.raises(CycleError):
+        reach.build_index(*graph_of(spark, "1>2 2>1"), f"{out}/cyclic")
+
+
+def test_a_ring_of_300_nodes(spark):
+    """Rows, not a cell: a ring with a longer way round beside it, and another one that is pure."""
+    ring = [(f"r{i:03}", f"r{(i + 1) % 300:03}") for i in range(300)]
+    pairs = ring + [("r100", "x0"), ("x0", "x1"), ("x1", "r102")] + [("z1", "z2"), ("z2", "z1"), ("tail", "r007")]
+    edges = edges_df(spark, pairs)
+    got = [tuple(r) for r in cycles.cycle_rows(edges).orderBy("position").collect()]
+    assert got == [(i + 1, f"r{i % 300:03}") for i in range(301)]
+    parts = {r["node_id"]: r["component"] for r in cycles.cycle_components(edges).collect()}
+    assert set(parts) == {x for p in pairs for x in p} - {"tail"}
+    assert len(set(parts.values())) == 2 and parts["z1"] == parts["z2"] != parts["r000"] == parts["x0"]
+
+
+def test_a_long_cycle_is_told_in_short(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "SPELLED", 4)
+    _, edges = graph_of(spark, "a>b b>c c>d d>e e>f f>a")
+    assert values(cycles.cycle_path(edges), "cycle") == ["a -> b -> ... (3 more) ... -> f -> a"]
