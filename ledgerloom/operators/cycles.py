@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,33 +29,33 @@ def _side(which: int) -> Column:
 
 # -- trimming -----------------------------------------------------------------------------
 
+#: Rounds of trimming: what hangs deeper is left to the labels.
+PATIENCE = 16
+
 
-def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """The edges that remain when nodes without needs, or that nothing needs, are peeled off.
+def _trim(scratch: Scratch, arcs: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The arcs that remain when nodes without needs, or that nothing needs, are peeled off.
 
     Both ends are peeled in the same round: one log holds how many edges of a node are open on
-    either side, and a node goes once one side has none. What is left lies on cycles or on paths
-    between them. Arcs that were met are read in vain; they are written anew when that has
-    added up to twice the table.
+    either side, and a node goes once one side has none. What is left lies on cycles, on paths
+    between them, or deep in a tail: trimming only saves work, so it stops after ``PATIENCE``
+    rounds. Returns the arcs, written, and their number.
     """
-    arcs, n_arcs = scratch.keep(_arcs(edges), f"{label}-arcs")
+    arcs, n_arcs = scratch.keep(arcs, f"{label}-arcs")
+    if not n_arcs:
+        return arcs, 0
     one = F.lit(1).cast("long")
     first = arcs.groupBy(F.col("key").alias("node_id")).agg(
         F.sum(F.when(_side(FORWARD), one).otherwise(0)).alias("ins"),
         F.sum(F.when(_side(BACK), one).otherwise(0)).alias("outs"),
     )
     schema, over = first.schema, "ins <= 0 OR outs <= 0"
-    name, turn = f"{label}-0", 0
-    fresh = scratch.write(first, name, gone=F.count_if(F.expr(over)))["gone"]
-    log, met, wasted, removed = [name], 0, 0, bool(fresh)
-
-    def alive() -> DataFrame:
-        now = scratch.read(schema, *log).groupBy("node_id")
-        now = now.agg(F.min("ins").alias("ins"), F.min("outs").alias("outs"))
-        return now.filter("ins > 0 AND outs > 0")
-
-    while fresh:
-        gone = scratch.read(schema, name).filter(over).select(F.col("node_id").alias("key"))
+    names = [f"{label}-0"]
+    fresh = scratch.write(first, names[0], gone=F.count_if(F.expr(over)))["gone"]
+    if not fresh:
+        return arcs, n_arcs
+    while fresh and len(names) <= PATIENCE:
+        gone = scratch.read(schema, names[-1]).filter(over).select(F.col("node_id").alias("key"))
         none = F.lit(None).cast("long")
         # A node that goes closes one edge of what needs it and of what it needs.
         hits = arcs.join(gone, "key", "left_semi").select(
@@ -68,120 +66,77 @@ def _trim(scratch: Scratch, edges: DataFrame, label: str) -> tuple[DataFrame, in
             F.when(_side(FORWARD), 1).otherwise(0).alias("out_hits"),
         )
         zero = F.lit(0)
-        known = scratch.read(schema, *log).select(
+        known = scratch.read(schema, *names).select(
             "*", zero.alias("in_hits"), zero.alias("out_hits")
         )
+        least = [F.min(c).alias(c) for c in ("ins", "outs")]
+        total = [F.sum(c).alias(c) for c in ("in_hits", "out_hits")]
         step = (
             hits.unionByName(known)
             .groupBy("node_id")
-            .agg(*[F.min(c).alias(c) for c in ("ins", "outs")], *[F.sum(c).alias(c) for c in ("in_hits", "out_hits")])
+            .agg(*least, *total)
             .filter("in_hits + out_hits > 0 AND ins > 0 AND outs > 0")
             .select(
                 "node_id",
                 (F.col("ins") - F.col("in_hits")).alias("ins"),
                 (F.col("outs") - F.col("out_hits")).alias("outs"),
-                (F.col("in_hits") + F.col("out_hits")).alias("hits"),
             )
         )
-        turn += 1
-        name = f"{label}-{turn}"
-        counts = scratch.write(step, name, gone=F.count_if(F.expr(over)), hits=F.sum("hits"))
-        fresh = counts["gone"]
-        log.append(name)
-        met += counts["hits"] or 0
-        wasted += met
-        if fresh and (wasted >= 2 * n_arcs or len(log) >= FOLDERS):
-            folded = f"{label}-until-{turn}"
-            scratch.write(alive().unionByName(scratch.read(schema, name).filter(over)), folded)
-            log = [folded]
-        if fresh and wasted >= 2 * n_arcs:
-            live = scratch.read(schema, *log).select("node_id")
-            rest = arcs.join(live.select(F.col("node_id").alias("key")), "key", "left_semi").join(
-                live.select(F.col("node_id").alias("other")), "other", "left_semi"
-            )
-            arcs, n_arcs = scratch.keep(rest.select("key", "other", "side"), f"{label}-arcs-{turn}")
-            met = wasted = 0
-    if not removed:
-        # Nothing hangs off: the edges are the core.
-        return edges, n_arcs // 2
-    left, n = scratch.keep(alive().select("node_id"), f"{label}-alive")
+        names.append(f"{label}-{len(names)}")
+        fresh = scratch.write(step, names[-1], gone=F.count_if(F.expr(over)))["gone"]
+    now = scratch.read(schema, *names).groupBy("node_id")
+    now = now.agg(F.min("ins").alias("ins"), F.min("outs").alias("outs"))
+    left, n = scratch.keep(now.filter("ins > 0 AND outs > 0").select("node_id"), f"{label}-alive")
     if not n:
-        return edges.limit(0), 0
-    core = edges.join(left, "node_id", "left_semi").join(
-        left.select(F.col("node_id").alias("depends_on")), "depends_on", "left_semi"
+        return arcs.limit(0), 0
+    core = arcs.join(left.select(F.col("node_id").alias("key")), "key", "left_semi").join(
+        left.select(F.col("node_id").alias("other")), "other", "left_semi"
     )
-    return scratch.keep(core.select("node_id", "depends_on"), f"{label}-core")
+    return scratch.keep(core.select("key", "other", "side"), f"{label}-core")
 
 
 # -- runs of nodes with one edge on either side ---------------------------------------------
 
 
-@dataclass
-class _Runs:
-    """``links``: ``node_id, below, above`` of inner nodes of runs, with the run's ends, and the
-    steps ``weight`` to the lower one; ``rings``: ``node_id, least`` of runs without ends."""
-
-    links: DataFrame | None
-    rings: DataFrame | None
-
-
-def _runs(scratch: Scratch, core: DataFrame, label: str, fixed: DataFrame | None = None) -> _Runs:
-    """Runs of the core's nodes that have one edge on either side, ``fixed`` ones excepted."""
+def _runs(scratch: Scratch, core: DataFrame, start: DataFrame) -> DataFrame | None:
+    """``node_id, below, weight``: nodes with one edge on either side, the node where their run
+    ends, and the steps to it. ``start`` is none of them; ``core`` is one component with it, so no
+    run is a ring."""
     degrees = _arcs(core).groupBy(F.col("key").alias("node_id")).agg(
         F.count_if(_side(FORWARD)).alias("ins"), F.count_if(_side(BACK)).alias("outs")
     )
-    inner = degrees.filter("ins = 1 AND outs = 1").select("node_id")
-    if fixed is not None:
-        inner = inner.join(fixed, "node_id", "left_anti")
-    inner, n = scratch.keep(inner, f"{label}-inner")
-    if not n:
-        return _Runs(None, None)
-    keyed = _arcs(core).join(inner.select(F.col("node_id").alias("key")), "key", "left_semi")
-    pointers, _ = scratch.keep(
-        keyed.select(
-            F.struct("side", F.col("key").alias("id")).alias("node_id"),
-            F.struct("side", F.col("other").alias("id")).alias("to"),
-            F.lit(1).alias("weight"),
-            F.lit(0).alias("floor"),
+    inner = degrees.filter("ins = 1 AND outs = 1").select("node_id").join(start, "node_id", "left_anti")
+    pointers, n = scratch.keep(
+        core.join(inner, "node_id", "left_semi").select(
+            "node_id", F.col("depends_on").alias("to"), F.lit(1).alias("weight"), F.lit(0).alias("floor")
         ),
-        f"{label}-pointers",
+        "run-pointers",
     )
-    followed = follow(scratch, pointers, f"{label}-jump")
-    ends = followed.ends.select("node_id.side", F.col("node_id.id").alias("node_id"), "to.id", "weight")
-    below = ends.filter(_side(FORWARD)).select("node_id", F.col("id").alias("below"), "weight")
-    above = ends.filter(_side(BACK)).select("node_id", F.col("id").alias("above"))
-    links, n_links = scratch.keep(below.join(above, "node_id"), f"{label}-links")
-    rings = None
-    if followed.endless is not None:
-        rings = followed.endless.filter(F.col("node_id.side") == FORWARD).select(
-            F.col("node_id.id").alias("node_id"), F.col("least.id").alias("least")
-        )
-    return _Runs(links if n_links else None, rings)
-
-
-def _without(core: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges that touch none of the nodes."""
-    ids = nodes.select("node_id")
-    return core.join(ids, "node_id", "left_anti").join(
-        ids.select(F.col("node_id").alias("depends_on")), "depends_on", "left_anti"
-    ).select("node_id", "depends_on")
+    if not n:
+        return None
+    ends = follow(scratch, pointers, "run-jump").ends
+    return scratch.keep(ends.select("node_id", F.col("to").alias("below"), "weight"), "runs")[0]
 
 
 # -- components -----------------------------------------------------------------------------
 
 
-def _labels(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
+def _labels(scratch: Scratch, arcs: DataFrame, label: str) -> DataFrame:
     """``node_id, first, last``: the first node, by hash, that reaches it, and that it reaches.
 
     Every node is a head at first. Both directions run in one loop of tagged frontiers, and a
-    round writes only the labels that changed. The hash decides, so that components in a row do
-    not settle one by one when their ids rise along it.
+    round writes only the labels that changed. A label takes two ways: along an edge, and from
+    the node that is one's label so far, whose label is good for oneself too. The second way
+    makes the rounds logarithmic on long chains and rings. The hash decides, so that components
+    in a row do not settle one by one when their ids rise along it.
     """
-    arcs, _ = scratch.keep(_arcs(core), f"{label}-arcs")
-    rank = F.struct(F.xxhash64("key").alias("rank"), F.col("key").alias("node_id"))
-    start = arcs.select(F.col("key").alias("node_id"), rank.alias("label")).distinct()
-    sides = F.explode(F.array(F.lit(FORWARD), F.lit(BACK)))
-    start = start.select("node_id", sides.alias("side"), "label")
+
+    def rank(column: str) -> Column:
+        return F.struct(F.xxhash64(column).alias("rank"), F.col(column).alias("node_id"))
+
+    # The first round needs no frontier: one's own hash against the neighbours'.
+    start = arcs.groupBy(F.col("other").alias("node_id"), "side").agg(F.min(rank("key")).alias("_near"))
+    start = start.select("node_id", "side", F.least("_near", rank("node_id")).alias("label"))
     schema, none = start.schema, F.lit(None).cast(start.schema["label"].dataType)
     name, turn = f"{label}-0", 0
     fresh, log = scratch.write(start, name)["n"], [name]
@@ -190,12 +145,19 @@ def _labels(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
         return scratch.read(schema, *log).groupBy("node_id", "side").agg(F.min("label").alias("label"))
 
     while fresh:
-        offers = (
-            scratch.read(schema, name)
-            .withColumnRenamed("node_id", "key")
+        changed = scratch.read(schema, name)
+        along = (
+            changed.withColumnRenamed("node_id", "key")
             .join(arcs, ["key", "side"])
-            .select(F.col("other").alias("node_id"), "side", none.alias("label"), F.col("label").alias("_offer"))
+            .select(F.col("other").alias("node_id"), "side", F.col("label").alias("_offer"))
         )
+        theirs = settled().select(
+            F.col("node_id").alias("_of"), F.col("side").alias("_side"), F.col("label").alias("_offer")
+        )
+        across = changed.join(
+            theirs, (F.col("label.node_id") == F.col("_of")) & (F.col("side") == F.col("_side"))
+        ).select("node_id", "side", "_offer")
+        offers = along.unionByName(across).select("node_id", "side", none.alias("label"), "_offer")
         known = scratch.read(schema, *log).withColumn("_offer", none)
         better = (
             offers.unionByName(known)
@@ -214,81 +176,43 @@ def _labels(scratch: Scratch, core: DataFrame, label: str) -> DataFrame:
         F.min(F.when(_side(FORWARD), F.col("label.node_id"))).alias("first"),
         F.min(F.when(_side(BACK), F.col("label.node_id"))).alias("last"),
     )
-    return scratch.keep(both, f"{label}-found")[0]
+    # A node with edges on one side only has no label on the other: it is its own.
+    own = [F.coalesce(c, "node_id").alias(c) for c in ("first", "last")]
+    return scratch.keep(both.select("node_id", *own), f"{label}-found")[0]
 
 
 def cycle_components(edges: DataFrame) -> DataFrame:
     """``node_id, component`` of the nodes on cycles: two with the same are on one together.
 
-    What hangs before or behind cycles is trimmed first. In each turn, runs of nodes with one
-    edge on either side become one edge (a run without ends is a ring, and found). Then every
-    node learns the first node, by hash, of those that reach it and of those that it reaches;
-    where both are the same, it is in that node's component. Edges between nodes that differ in
-    either lie on no cycle: they go, the rest is trimmed, and the next turn has many heads, one
-    for each part that is left. Nodes of runs follow the ends of their run. Space stays linear
-    in the edges, whatever the core's size.
+    What hangs before or behind cycles is trimmed first. In each turn every node learns the
+    first node, by hash, of those that reach it and of those that it reaches; where both are
+    the same, it is in that node's component. Edges between nodes that differ in either lie on no
+    cycle: they go, the rest is trimmed, and the next turn has a head for each part that is
+    left. Space stays linear in the edges, whatever the core's size.
     """
     scratch = Scratch(edges.sparkSession, "cycles")
     id_type = edges.schema["node_id"].dataType
     schema = T.StructType([T.StructField(c, id_type) for c in ("node_id", "component")])
-    plain, _ = scratch.keep(edges.select("node_id", "depends_on").distinct(), "edges")
     loop = F.col("node_id") == F.col("depends_on")
-    core, n = _trim(scratch, plain.filter(~loop), "trim0")
+    arcs, n = _trim(scratch, _arcs(edges.select("node_id", "depends_on").filter(~loop).distinct()), "trim0")
     found: list[str] = []
-
-    def keep(rows: DataFrame, name: str) -> None:
-        if scratch.write(rows, name)["n"]:
-            found.append(name)
-
-    # Per turn: nodes with an edge to themselves, and the runs taken out after that.
-    loops, runs = [plain.filter(loop).select("node_id")], [None]
+    turn = 0
     while n:
-        turn = len(runs)
-        taken = _runs(scratch, core, f"runs{turn}")
-        if taken.rings is not None:
-            keep(taken.rings.select("node_id", F.col("least").alias("component")), f"rings-{turn}")
-            core, n = scratch.keep(_without(core, taken.rings), f"ringless-{turn}")
-        if taken.links is not None:
-            bridges = taken.links.select(F.col("above").alias("node_id"), F.col("below").alias("depends_on"))
-            joined = _without(core, taken.links).unionByName(bridges).distinct()
-            joined, _ = scratch.keep(joined, f"joined-{turn}")
-            core, n = scratch.keep(joined.filter(~loop), f"contracted-{turn}")
-            loops.append(joined.filter(loop).select("node_id"))
-        else:
-            loops.append(None)
-        runs.append(taken.links)
-        if not n:
-            break
-        labels = _labels(scratch, core, f"labels{turn}")
+        labels = _labels(scratch, arcs, f"labels{turn}")
         same = labels.filter(F.col("first") == F.col("last")).select("node_id", F.col("first").alias("component"))
         shared = same.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        keep(same.join(shared, "component", "left_semi").select("node_id", "component"), f"found-{turn}")
+        name = f"found-{turn}"
+        scratch.write(same.join(shared, "component", "left_semi").select("node_id", "component"), name)
+        found.append(name)
         # Of one component and not found yet: both labels alike at either end, but not each other.
-        open_labels = labels.filter(F.col("first") != F.col("last"))
-        ahead = open_labels.select(
-            F.col("node_id").alias("depends_on"), F.col("first").alias("_first"), F.col("last").alias("_last")
-        )
-        rest = (
-            core.join(open_labels, "node_id")
-            .join(ahead, "depends_on")
-            .filter("first = _first AND last = _last")
-            .select("node_id", "depends_on")
-        )
-        rest, n = scratch.keep(rest, f"rest-{turn}")
-        if n:
-            core, n = _trim(scratch, rest, f"trim{turn}")
-    for turn in range(len(runs) - 1, -1, -1):
-        known = scratch.read(schema, *found)
-        if loops[turn] is not None:
-            alone = loops[turn].join(known, "node_id", "left_anti")
-            keep(alone.select("node_id", F.col("node_id").alias("component")), f"loops-{turn}")
-        if runs[turn] is not None:
-            known = scratch.read(schema, *found)
-            low = known.select(F.col("node_id").alias("below"), F.col("component"))
-            high = known.select(F.col("node_id").alias("above"), F.col("component").alias("_above"))
-            inside = runs[turn].join(low, "below").join(high, "above").filter("component = _above")
-            keep(inside.select("node_id", "component"), f"inside-{turn}")
-    return scratch.read(schema, *found)
+        near = labels.filter(F.col("first") != F.col("last")).withColumnRenamed("node_id", "key")
+        far = near.select(F.col("key").alias("other"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+        rest = arcs.join(near, "key").join(far, "other").filter("first = _first AND last = _last")
+        turn += 1
+        arcs, n = _trim(scratch, rest.select("key", "other", "side"), f"trim{turn}")
+    known = scratch.read(schema, *found)
+    alone = edges.filter(loop).select("node_id").distinct().join(known, "node_id", "left_anti")
+    return known.unionByName(alone.select("node_id", F.col("node_id").alias("component")))
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
@@ -353,14 +277,14 @@ def cycle_rows(edges: DataFrame) -> DataFrame:
     inner = edges.join(members, "node_id", "left_semi").join(ahead, "depends_on", "left_semi")
     inner, _ = scratch.keep(inner.select("node_id", "depends_on").distinct(), "edges")
     origin = start.select("node_id")
-    runs = _runs(scratch, inner, "run", origin)
+    runs = _runs(scratch, inner, origin)
     steps = inner.select("node_id", F.col("depends_on").alias("to"), F.lit(1).cast("long").alias("weight"))
-    if runs.links is not None:
-        over = runs.links.select(
+    if runs is not None:
+        over = runs.select(
             F.col("node_id").alias("to"), "below", F.col("weight").alias("_weight")
         )
         steps = (
-            steps.join(runs.links.select("node_id"), "node_id", "left_anti")
+            steps.join(runs.select("node_id"), "node_id", "left_anti")
             .join(over, "to", "left")
             .select(
                 "node_id",
@@ -370,9 +294,9 @@ def cycle_rows(edges: DataFrame) -> DataFrame:
         )
     steps, _ = scratch.keep(steps, "steps")
     away = _distances(scratch, steps, origin)
-    if runs.links is not None:
+    if runs is not None:
         low = away.select(F.col("node_id").alias("below"), "distance")
-        inside = runs.links.join(low, "below").select(
+        inside = runs.join(low, "below").select(
             "node_id", (F.col("distance") + F.col("weight")).alias("distance")
         )
         away = away.unionByName(inside)

@@ -236,7 +236,6 @@ def test_random_digraphs_against_plain_python(spark, seed):
     edges = edges_df(spark, pairs)
     reach = py_closure(pairs)
     on_cycle = sorted(a for a, b in reach if a == b)
-    assert values(cycles.cycle_nodes(edges), "node_id") == on_cycle
     found = closure.reachability(edges).collect()
     assert {(r[0], r[1]): r[2] for r in found} == reach
     seeds = nodes_df(spark, ids[:5])
@@ -369,9 +368,6 @@ def test_a_ring_of_300_nodes(spark):
     edges = edges_df(spark, pairs)
     got = [tuple(r) for r in cycles.cycle_rows(edges).orderBy("position").collect()]
     assert got == [(i + 1, f"r{i % 300:03}") for i in range(301)]
-    parts = {r["node_id"]: r["component"] for r in cycles.cycle_components(edges).collect()}
-    assert set(parts) == {x for p in pairs for x in p} - {"tail"}
-    assert len(set(parts.values())) == 2 and parts["z1"] == parts["z2"] != parts["r000"] == parts["x0"]
 
 
 def test_a_long_cycle_is_told_in_short(spark, monkeypatch):
