@@ -119,16 +119,27 @@ def spec_scan(spark, sf):
     )
 
 
+@query
+def spec_files_listed(spark, sf):
+    """Over real folders: those that hold spec files, by kind."""
+    root = _fresh(spark, "project")
+    specs_of = d.table(spark, sf, "documents").select("lang", F.col("doc_id").alias("task_id"))
+    specs_of.write.partitionBy("lang").json(f"{root}/tasks")
+    d.target_specs(spark, sf).write.json(f"{root}/targets")
+    d.target_specs(spark, sf).write.json(f"{root}/elsewhere")
+    found = specs.list_spec_files(spark, f"file:{root}" if root.startswith("/") else root, suffix=".json")
+    folder = F.regexp_extract("path", r"/(tasks/lang=[^/]*|targets)/[^/]*$", 1)
+    return found.select("kind", folder.alias("folder")).distinct()
+
+
 @query
 def read_script_files(spark, sf):
+    """Many scripts a file, found again by the index that lies beside them."""
     path = _fresh(spark, "scripts")
-    d.scripts(spark, sf).write.partitionBy("script_id").text(path)
-    found = specs.read_script_files(spark, path, r"script_id=(\d+)/")
-    # The text sink ends a file with a line feed.
-    return found.select(
-        F.col("script_id").cast("long").alias("script_id"),
-        F.regexp_replace("script", r"\n\z", "").alias("script"),
-    )
+    index = specs.write_script_bundles(d.scripts(spark, sf), path)
+    found = specs.read_script_bundles(spark, path).join(index, "script_id")
+    same = F.length("script") == F.col("length")
+    return found.filter(same).select(F.col("script_id").cast("long").alias("script_id"), "script")
 
 
 # -- projections and filters --------------------------------------------------------------
@@ -661,6 +672,12 @@ def check_project(spark, sf):
     return checks.check_project(d.projects(spark, sf))
 
 
+@query
+def check_project_missing(spark, sf):
+    """A project table without rows: none of the regions has a negative key."""
+    return checks.check_project(d.projects(spark, sf).limit(0))
+
+
 @query
 def check_targets(spark, sf):
     return checks.check_targets(d.target_specs(spark, sf), d.known_types(spark, sf))
@@ -874,8 +891,12 @@ def _changes(spark, stream, keys):
 
 @query
 def latest_status_stream(spark, sf):
+    """Kept as a snapshot and the batches after it."""
     stream = streams.latest_status_stream(d.from_events(_event_stream(spark, sf)))
-    return _changes(spark, stream, ["node_id", "environment_id"])
+    path, keys = _fresh(spark, "stream"), ["node_id", "environment_id"]
+    sink = streams.keep_current(stream, f"{path}/rows", keys, fold_every=1)
+    streams.drain(sink, f"{path}/checkpoint")
+    return streams.read_current(spark, f"{path}/rows", keys)
 
 
 @query

@@ -405,6 +405,11 @@ sql(
     " up FROM task_specs",
     "task_specs",
 )
+sql(
+    "spec_files_listed",
+    "SELECT DISTINCT 'task' AS kind, 'tasks/lang=' || lang AS folder FROM documents"
+    " UNION ALL SELECT 'target', 'targets' WHERE (SELECT count(*) FROM supplier) > 0",
+)
 sql("read_script_files", "SELECT script_id, script FROM scripts", "scripts")
 
 # -- projections and filters --------------------------------------------------------------
@@ -809,6 +814,12 @@ sql(
     " 'project.yaml: Project configuration file not found' AS message"
     " WHERE (SELECT count(*) FROM region) = 0",
 )
+sql(
+    "check_project_missing",
+    "SELECT 'project' AS category, 'project.yaml' AS subject,"
+    " 'project.yaml: Project configuration file not found' AS message"
+    " WHERE (SELECT count(*) FROM region WHERE false) = 0",
+)
 sql("check_targets", "SELECT * FROM target_errors", "target_errors")
 sql("check_tasks", "SELECT * FROM task_errors", "task_errors")
 sql("check_dependencies", "SELECT * FROM dependency_errors", "dependency_errors")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerloom import schemas
 from ledgerloom.operators import checks, ledger
 from ledgerloom.sources import ledger as source
+from ledgerloom.sources.files import Files
 from tests.helpers import nodes_df, rows, values
 
 START = datetime(2024, 1, 1)
@@ -167,3 +168,62 @@ def test_record_checks(spark):
     }
     with pytest.raises(ValueError):
         source.history_append(bad, "/nowhere")
+
+
+def test_a_change_happens_at_once_or_not_at_all(spark, out, monkeypatch):
+    path = f"{out}/it's a ledger"
+    history = records(spark, "1 a dev UP SUCCESS", "2 a dev UP FAILURE", "3 b prod UP FAILURE", "4 b prod UP SUCCESS")
+    source.history_append(history, path)
+    failed = F.col("status") == "FAILURE"
+
+    def crash(self, text, path):
+        raise OSError("lost between the two writes")
+
+    monkeypatch.setattr(Files, "put", crash)
+    with pytest.raises(OSError):
+        source.history_delete_stored(spark, path, failed)
+    with pytest.raises(OSError):
+        source.history_append(records(spark, "5 a dev UP SUCCESS"), path)
+    monkeypatch.undo()
+    assert values(source.history_scan(spark, path), "id") == ["1", "2", "3", "4"]
+    # What a reader holds stays readable while another deletes.
+    held = source.history_scan(spark, path)
+    assert source.history_delete_stored(spark, path, failed & (F.col("environment_id") == "dev")) == 1
+    assert values(held, "id") == ["1", "2", "3", "4"]
+    assert values(source.history_scan(spark, path), "id") == ["1", "3", "4"]
+    source.history_append(records(spark, "5 a dev UP SUCCESS"), path)
+    assert source.history_delete_stored(spark, path, F.col("environment_id") == "prod") == 2
+    assert values(source.history_scan(spark, path), "id") == ["1", "5"]
+    pruned = source.history_scan(spark, path).filter("environment_id = 'dev'")
+    assert values(pruned, "id") == ["1", "5"]
+    # Another writer in between: one of the two fails, nothing is lost.
+    version, live = source._live(spark, path)
+    source._publish(spark, path, version, live)
+    with pytest.raises(RuntimeError, match="another writer"):
+        source._publish(spark, path, version, [])
+    assert values(source.history_scan(spark, path), "id") == ["1", "5"]
+
+
+def test_a_plain_folder_becomes_a_ledger(spark, out):
+    records(spark, "1 a dev UP SUCCESS", "2 a a%20b/c UP FAILURE").write.partitionBy("environment_id").parquet(out + "/plain")
+    path = out + "/plain"
+    assert values(source.history_scan(spark, path), "id") == ["1", "2"]
+    source.history_append(records(spark, "3 a dev UP SUCCESS"), path)
+    assert values(source.history_scan(spark, path), "id") == ["1", "2", "3"]
+    assert source.history_delete_stored(spark, path, F.col("id") == "2") == 1
+    assert values(source.history_scan(spark, path), "id") == ["1", "3"]
+
+
+def test_init_keeps_not_null_and_odd_locations(spark, out):
+    source.history_init(spark, "ledger_not_null", f"{out}/o'dd \\ place")
+    listed = spark.sql("SHOW CREATE TABLE ledger_not_null").first()[0]
+    for field in schemas.HISTORY:
+        column = next(line for line in listed.splitlines() if line.strip().startswith(f"{field.name} "))
+        assert ("required" in column) is not field.nullable
+    source.history_insert(records(spark, "1 a dev UP SUCCESS"), "ledger_not_null")
+    lacking = records(spark, "2 a dev UP SUCCESS").withColumn("node_id", F.lit(None).cast("string"))
+    for bad in (lacking, records(spark, "1 a dev UP SUCCESS"), records(spark, "3 a dev SIDEWAYS SUCCESS")):
+        with pytest.raises(ValueError):
+            source.history_insert(bad, "ledger_not_null")
+    assert values(spark.table("ledger_not_null"), "id") == ["1"]
+    spark.sql("DROP TABLE ledger_not_null")

@@ -237,3 +237,44 @@ def test_lines_and_messages(spark):
     assert one(spark, text.target_id_from_path(n), "/p/targets/db1.yaml") == "db1"
     assert one(spark, text.task_id_from_path(n, "/p"), "/p\\tasks\\x\\y.yaml") == "x/y"
     assert one(spark, text.strip_ansi(n), "\x1b[1;31mred\x1b[0m plain") == "red plain"
+
+
+@pytest.mark.parametrize("root", ["/p", "/p/", "file:/p", "file:///p", "hdfs://nn:8020/p", "hdfs:/p", ""])
+def test_roots_of_any_scheme(spark, root):
+    tails = ["targets/db.yaml", "targets/old/x.yaml", "tasks/a/b.yaml", "environments/qa.yaml", "environments/dev.yaml"]
+    heads = {"": ["", "/"]}.get(root, ["/p/", "file:/p/", "file:///p/", "hdfs://nn:8020/p/", "hdfs://other/p/", "/pp/"])
+    paths = spark.createDataFrame([(h + t,) for h in heads for t in tails], "path string")
+    below = {
+        "/p": heads[:5], "/p/": heads[:5], "file:/p": heads[1:3], "file:///p": heads[1:3],
+        "hdfs://nn:8020/p": heads[3:4], "hdfs:/p": heads[3:5], "": heads,
+    }[root]
+    kinds = {"targets/db.yaml": "target", "tasks/a/b.yaml": "task", "environments/dev.yaml": "environment"}
+    got = rows(specs.spec_files(paths, root, "dev"), "path", "kind")
+    assert got == {(h + t, k) for h in below for t, k in kinds.items()}
+
+
+def test_a_uri_root_lists_the_same_files_and_a_wrong_one_is_loud(spark, out):
+    os.makedirs(f"{out}/p q/tasks")
+    os.makedirs(f"{out}/none")
+    for name in ("tasks/a.yaml", "other.yaml"):
+        with open(f"{out}/p q/{name}", "w") as file:
+            file.write("name: x")
+    for root in (f"{out}/p q", f"file:{out}/p q", f"file://{out}/p q"):
+        assert rows(specs.list_spec_files(spark, root), "path", "kind") == {(f"{out}/p q/tasks/a.yaml", "task")}
+    with pytest.raises(ValueError, match="none of the 1 .yaml files"):
+        specs.list_spec_files(spark, f"{out}/p q/tasks")
+    assert specs.list_spec_files(spark, f"{out}/none").count() == 0
+
+
+def test_script_bundles_hold_many_scripts(spark, out):
+    texts = {f"db/{i}": f"SELECT {i};\n-- é\n" * (i % 5) for i in range(60)} | {"none": None}
+    table = spark.createDataFrame(list(texts.items()), "script_id string, script string").repartition(3)
+    index = specs.write_script_bundles(table, out)
+    assert rows(specs.read_script_bundles(spark, out), "script_id", "script") == {
+        (k, v) for k, v in texts.items() if v is not None
+    }
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/bundles")
+    text_of = {r["path"].split("/")[-2]: bytes(r["content"]).decode() for r in files.collect()}
+    assert len(text_of) <= 3
+    for r in index.collect():
+        assert text_of[r["file"]][r["offset"] : r["offset"] + r["length"]] == texts[r["script_id"]]
