@@ -115,7 +115,7 @@ def _runs(scratch: Scratch, core: DataFrame, start: DataFrame) -> DataFrame | No
     if not n:
         return None
     ends = follow(scratch, pointers, "run-jump").ends
-    return scratch.keep(ends.select("node_id", F.col("to").alias("below"), "weight"), "runs")[0]
+    return ends.select("node_id", F.col("to").alias("below"), "weight")
 
 
 # -- components -----------------------------------------------------------------------------
@@ -267,16 +267,15 @@ def cycle_rows(edges: DataFrame) -> DataFrame:
     schema = T.StructType(
         [T.StructField("position", T.LongType()), T.StructField("node_id", id_type)]
     )
-    parts, n = scratch.keep(cycle_components(edges), "components")
-    if not n:
+    parts = cycle_components(edges)
+    least = parts.agg(F.min_by(F.struct("node_id", "component"), "node_id").alias("s")).first()["s"]
+    if least is None:
         return scratch.read(schema)
-    smallest = parts.agg(F.min_by(F.struct("node_id", "component"), "node_id").alias("s"))
-    start, _ = scratch.keep(smallest.select("s.*"), "start")
-    members = parts.join(start.select("component"), "component", "left_semi").select("node_id")
+    origin = spark.range(1).select(F.lit(least["node_id"]).cast(id_type).alias("node_id"))
+    members = parts.filter(F.col("component") == F.lit(least["component"])).select("node_id")
     ahead = members.select(F.col("node_id").alias("depends_on"))
     inner = edges.join(members, "node_id", "left_semi").join(ahead, "depends_on", "left_semi")
     inner, _ = scratch.keep(inner.select("node_id", "depends_on").distinct(), "edges")
-    origin = start.select("node_id")
     runs = _runs(scratch, inner, origin)
     steps = inner.select("node_id", F.col("depends_on").alias("to"), F.lit(1).cast("long").alias("weight"))
     if runs is not None:
@@ -300,10 +299,9 @@ def cycle_rows(edges: DataFrame) -> DataFrame:
             "node_id", (F.col("distance") + F.col("weight")).alias("distance")
         )
         away = away.unionByName(inside)
-    away, _ = scratch.keep(away, "away")
     # From the start the shortest way round, from any other node one step nearer.
     near = away.select(F.col("node_id").alias("depends_on"), F.col("distance").alias("_rest"))
-    near, _ = scratch.keep(inner.join(near, "depends_on"), "near")
+    near = inner.join(near, "depends_on")
     round_trip = near.join(origin, "node_id", "left_semi").agg(F.min("_rest") + 1).first()[0]
     goal = F.when(F.col("_start").isNull(), F.col("distance")).otherwise(F.lit(round_trip))
     pointer = (
@@ -344,7 +342,8 @@ def cycle_path(edges: DataFrame) -> DataFrame:
     A cycle of more than ``SPELLED`` nodes is told by its first two nodes, its length and its
     last step, so that the cell stays bounded; its rows are in :func:`cycle_rows`.
     """
-    rows, length = Scratch(edges.sparkSession, "cycle-path").keep(cycle_rows(edges), "rows")
+    rows = cycle_rows(edges)
+    length = rows.agg(F.max("position")).first()[0] or 0
     shown = F.col("position") > 0
     if length > SPELLED + 1:
         shown = (F.col("position") <= 2) | (F.col("position") >= length - 1)
