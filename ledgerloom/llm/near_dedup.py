@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 56, 9
 #: Standard deviations below the threshold at which a pair's estimate rules it out.
 SIGMAS = 3.0
+#: A round of new pivots is followed by another if it links one in so many undecided rows.
+WORTH = 50
 #: Bits of each component in the sketch that the estimate is made from.
 BITS = 4
 
@@ -228,10 +230,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Equal multisets fall into one class first, and one of each goes on. In a band's bucket all
     members are compared with one pivot, the member that meets most others over all bands.
-    Links found make components. What is left are pairs of different components in one
+    Links found make components. A bucket that still holds several gets a new pivot outside
+    its largest one, with which all of its other components are compared, and so on, as long as
+    that links enough to be worth a round. What is left are pairs of different components in one
     bucket: members outside the bucket's largest component meet those of the other
     components, and pairs whose sketches leave a similarity that high possible are compared.
-    So a group of n copies costs about n comparisons, and yet no pair of a bucket stays
+    So a group of n copies costs about n comparisons a round, and yet no pair of a bucket stays
     undecided.
     """
     scratch = Scratch(docs.sparkSession, "near")
@@ -276,27 +280,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links_1, _ = scratch.keep(_verified(texts, first, similarity), "links-1")
     labels = components(scratch, links_1, "first")
 
-    labelled = pivoted.join(labels.withColumnRenamed("node", "head"), "head", "left").select(
-        "bucket", "head", "pivot", F.coalesce("component", "head").alias("component")
-    )
-    groups, _ = scratch.keep(
-        labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")), "groups"
-    )
-    largest = (
-        groups.groupBy("bucket")
-        .agg(
-            F.max(F.struct("n", "component")).alias("top"),
-            F.count(F.lit(1)).alias("n_components"),
-        )
-        .filter("n_components > 1")
-        .select("bucket", F.col("top.component").alias("largest"))
-    )
-    divided, _ = scratch.keep(
-        labelled.join(largest, "bucket")
-        .filter("head <> pivot")
-        .join(own.select("head", "sketch").dropDuplicates(["head"]), "head"),
-        "divided",
-    )
+    sketches = own.select("head", "sketch").dropDuplicates(["head"])
+    links, compared, turn = links_1, first, 1
+    while True:
+        divided, n_divided = _divided(scratch, pivoted, labels, sketches, f"divided-{turn}")
+        turn += 1
+        pairs = _next_pivots(divided, similarity).join(compared, ["a", "b"], "left_anti")
+        pairs, _ = scratch.keep(pairs, f"pairs-pivot-{turn}")
+        fresh, n_fresh = scratch.keep(_verified(texts, pairs, similarity), f"links-pivot-{turn}")
+        compared = compared.unionByName(pairs)
+        if not n_fresh:
+            break
+        links = links.unionByName(fresh)
+        labels = components(scratch, links, f"pivot-{turn}")
+        if n_fresh * WORTH < n_divided:
+            divided, _ = _divided(scratch, pivoted, labels, sketches, f"divided-{turn}")
+            break
     minor = divided.filter("component <> largest").select(
         "bucket",
         F.col("head").alias("x"),
@@ -308,13 +307,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .filter((F.col("component") != F.col("cx")) & may_reach(similarity, "sketch", "sx"))
         .select(F.least("head", "x").alias("a"), F.greatest("head", "x").alias("b"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(compared, ["a", "b"], "left_anti")
     )
     second, _ = scratch.keep(second, "pairs-2")
     links_2, n_more = scratch.keep(_verified(texts, second, similarity), "links-2")
     if n_more:
-        links_1 = links_1.unionByName(links_2)
-        labels = components(scratch, links_1, "second")
+        labels = components(scratch, links.unionByName(links_2), "second")
     classes = members.join(
         labels.select(F.col("node").alias("head"), "component"), "head", "left"
     ).select("doc_id", F.coalesce("component", "head").alias("class_id"))
@@ -333,6 +331,55 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
 
 
+def _divided(
+    scratch: Scratch, pivoted: DataFrame, labels: DataFrame, sketches: DataFrame, name: str
+) -> tuple[DataFrame, int]:
+    """``bucket, head, component, largest, sketch`` of buckets with several components, less the
+    first pivots, which have met all others."""
+    labelled = pivoted.join(labels.withColumnRenamed("node", "head"), "head", "left").select(
+        "bucket", "head", "pivot", F.coalesce("component", "head").alias("component")
+    )
+    groups, _ = scratch.keep(
+        labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")), f"{name}-groups"
+    )
+    largest = (
+        groups.groupBy("bucket")
+        .agg(
+            F.max(F.struct("n", "component")).alias("top"),
+            F.count(F.lit(1)).alias("n_components"),
+        )
+        .filter("n_components > 1")
+        .select("bucket", F.col("top.component").alias("largest"))
+    )
+    divided = (
+        labelled.join(largest, "bucket").filter("head <> pivot").drop("pivot").join(sketches, "head")
+    )
+    return scratch.keep(divided, name)
+
+
+def _next_pivots(divided: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of each bucket's new pivot, the first by hash outside of the largest
+    component, with the members of other components that may be similar enough."""
+    order = F.struct(F.xxhash64("head").alias("rank"), "head", "component", "sketch")
+    pivots = (
+        divided.filter("component <> largest")
+        .groupBy("bucket")
+        .agg(F.min(order).alias("p"))
+        .select(
+            "bucket",
+            F.col("p.head").alias("x"),
+            F.col("p.component").alias("cx"),
+            F.col("p.sketch").alias("sx"),
+        )
+    )
+    return (
+        divided.join(pivots, "bucket")
+        .filter((F.col("component") != F.col("cx")) & may_reach(similarity, "sketch", "sx"))
+        .select(F.least("head", "x").alias("a"), F.greatest("head", "x").alias("b"))
+        .distinct()
+    )
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
