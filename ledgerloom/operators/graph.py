@@ -11,15 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def as_edges(table: DataFrame, node: str, depends_on: str) -> DataFrame:
-    """Any table with two id columns as an edge set."""
-    return (
-        table.select(F.col(node).alias("node_id"), F.col(depends_on).alias("depends_on"))
-        .dropna()
-        .distinct()
-    )
-
-
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("depends_on").alias("node_id"), F.col("node_id").alias("depends_on"))
 

@@ -10,26 +10,6 @@ SUCCESS, FAILURE, SKIPPED = "SUCCESS", "FAILURE", "SKIPPED"
 DIRECTIONS = (UP, DOWN)
 STATUSES = (SUCCESS, FAILURE, SKIPPED)
 
-NODES = T.StructType(
-    [
-        T.StructField("node_id", T.StringType(), False),
-        T.StructField("name", T.StringType(), False),
-        T.StructField("description", T.StringType()),
-        T.StructField("environment_id", T.StringType(), False),
-        T.StructField("dependencies", T.ArrayType(T.StringType())),
-        T.StructField("up", T.StringType(), False),
-        T.StructField("down", T.StringType()),
-        T.StructField("autocommit", T.BooleanType()),
-    ]
-)
-
-EDGES = T.StructType(
-    [
-        T.StructField("node_id", T.StringType(), False),
-        T.StructField("depends_on", T.StringType(), False),
-    ]
-)
-
 HISTORY = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -58,25 +38,6 @@ TASK_SPECS = T.StructType(
     ]
 )
 
-TARGET_SPECS = T.StructType(
-    [
-        T.StructField("target_id", T.StringType(), False),
-        T.StructField("type", T.StringType()),
-        T.StructField("jdbc_url", T.StringType()),
-        T.StructField("username", T.StringType()),
-        T.StructField("password", T.StringType()),
-    ]
-)
-
-PROPS = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("ordinal", T.IntegerType()),
-        T.StructField("key", T.StringType()),
-        T.StructField("value", T.StringType()),
-    ]
-)
-
 
 class CycleError(ValueError):
     """A plan was asked for on a graph that has no order."""
