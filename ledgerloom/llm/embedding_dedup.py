@@ -397,6 +397,7 @@ def near_duplicate_vectors(
         more = _passes(scratch, distinct, crowded.filter("not all_pairs"), "more", threshold, window)
         whole = distinct.join(crowded.filter("all_pairs").select("cell"), "cell")
         blocks = _paired(scratch, whole.select("cell", "key", "embedding"), "cell", "whole")
+        blocks = blocks.repartition("cell", "lo", "hi")
         compared = blocks.groupBy("cell", "lo", "hi").applyInArrow(
             _block_links(threshold), "a long, b long"
         )
@@ -408,6 +409,7 @@ def near_duplicate_vectors(
         labels.withColumnRenamed("node", "key"), "key"
     ).select("key", "component", "times", "embedding")
     paired = _paired(scratch, grouped, "component", "members", "times")
+    paired = paired.repartition("component", "lo", "hi")
     counted = paired.groupBy("component", "lo", "hi").applyInArrow(
         _count_links(threshold), "key long, links long"
     )

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from ledgerloom.llm import embedding_dedup
 from ledgerloom.llm.embedding_dedup import near_duplicate_vectors, passes_for, shared_bits
 
 
@@ -135,3 +136,25 @@ def test_passes_grow_with_the_label():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_duplicate_vectors(none).count() == 0
+
+
+def test_block_pairs_of_one_component_are_dealt_out(spark, monkeypatch):
+    """All pairs of blocks of a component must not stay in the task of that component."""
+    monkeypatch.setattr(embedding_dedup, "MEMBERS", 8)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    rows = [(i, "one", [float(x) for x in centre + 0.05 * rng.normal(size=16)]) for i in range(80)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label string, embedding array<float>")
+    plans = []
+    frame = type(vectors)
+    grouped = frame.groupBy
+
+    def seen(self, *columns):
+        if [c for c in columns if isinstance(c, str)] == ["component", "lo", "hi"]:
+            plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return grouped(self, *columns)
+
+    monkeypatch.setattr(frame, "groupBy", seen)
+    got = embedding_dedup.near_duplicate_vectors(vectors).collect()
+    assert len(got) == 80 and {r["component_id"] for r in got} == {0}
+    assert len(plans) == 1 and "RepartitionByExpression [component" in plans[0].splitlines()[0]
