@@ -14,8 +14,9 @@ all components, so most shingles of a long text cost one draw.
 
 Defined cases: null and wordless texts link with nothing. Texts of one to four words are a
 single shingle. Rows of equal multisets are one class whatever their number. A row without
-doc_id is in no class (class_id null) and kept. Repeated rows of one doc_id give a row each.
-Only doc_id and text are read, so other columns may have any name.
+doc_id is in no class (class_id null) and kept. Rows of one doc_id are one document as long as
+their multisets are equal, else a document each, which has its own class and is kept or not on
+its own; every row gives a row. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components
+from ledgerloom.llm.common import components, running_sum, unused
 from ledgerloom.llm.textbytes import WordHasher, Words, batches, mix64, salted, shingles, utf8
 from ledgerloom.scratch import Scratch
 
@@ -150,15 +151,21 @@ def may_reach(similarity: float, left: str, right: str) -> Column:
 
 
 SIGNED = (
-    "doc_id long, bag_a long, bag_b long, n_shingles long, bands array<long>, sketch array<long>"
+    "doc_id long, text_key binary, bag_a long, bag_b long, n_shingles long,"
+    " bands array<long>, sketch array<long>"
 )
 
 
+def _text_key(text: Column) -> Column:
+    """128 bits that tell the texts of one doc_id apart."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for frame in frames:
         texts = utf8(frame.column("text"))
-        ids = frame.column("doc_id")
+        ids, keys = frame.column("doc_id"), frame.column("text_key")
         for lo, hi in batches(texts, 1 << 22, 2048):
             doc, value = shingles(Words(hasher, texts[lo:hi]), SHINGLE)
             doc, value, count = weighted(doc, value)
@@ -178,12 +185,13 @@ def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, n),
+                    keys.slice(lo, n),
                     pa.array(bag[0].view(np.int64)),
                     pa.array(bag[1].view(np.int64)),
                     pa.array(total),
                     *lists,
                 ],
-                names=["doc_id", "bag_a", "bag_b", "n_shingles", "bands", "sketch"],
+                names=["doc_id", "text_key", "bag_a", "bag_b", "n_shingles", "bands", "sketch"],
             )
 
 
@@ -226,9 +234,15 @@ def multiset_links(threshold: float) -> Callable:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, class_id, kept)`` for each row of ``docs(doc_id, text)``.
+    """``(doc_id, class_id, kept)`` for each row of ``docs(doc_id, text)``."""
+    return _judged(docs, similarity).select("doc_id", "class_id", "kept")
+
+
+def _judged(docs: DataFrame, similarity: float) -> DataFrame:
+    """``near_duplicates`` with what tells the rows of one doc_id apart: text_key, bag_a, bag_b.
 
-    Equal multisets fall into one class first, and one of each goes on. In a band's bucket all
+    Equal multisets fall into one class first, and one of each goes on, its head. Heads are
+    numbered by doc_id, so that multisets of one doc_id stay apart. In a band's bucket all
     members are compared with one pivot, the member that meets most others over all bands.
     Links found make components. A bucket that still holds several gets a new pivot outside
     its largest one, with which all of its other components are compared, and so on, as long as
@@ -239,22 +253,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     undecided.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    signed, _ = scratch.keep(docs.select("doc_id", "text").mapInArrow(sign, SIGNED), "signed")
+    keyed = docs.select("doc_id", "text", _text_key(F.col("text")).alias("text_key"))
+    signed, _ = scratch.keep(keyed.mapInArrow(sign, SIGNED), "signed")
     bagged = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    heads, _ = scratch.keep(
-        bagged.groupBy("bag_a", "bag_b").agg(F.min("doc_id").alias("head")), "heads"
+    bags = bagged.groupBy("bag_a", "bag_b").agg(F.min("doc_id").alias("first_id"))
+    numbered = running_sum(
+        scratch,
+        bags.select("bag_a", "bag_b", "first_id", F.lit(1).alias("one"), F.lit(0).alias("all")),
+        "bags",
+        "all",
+        [F.col("first_id"), F.col("bag_a"), F.col("bag_b")],
+        "one",
     )
-    members, _ = scratch.keep(
-        bagged.select("doc_id", "bag_a", "bag_b")
-        .distinct()
-        .join(heads, ["bag_a", "bag_b"])
-        .select("doc_id", "head"),
-        "members",
+    heads, _ = scratch.keep(
+        numbered.select("bag_a", "bag_b", "first_id", F.col("before").alias("head")), "heads"
     )
     # One row for each head: its own bands.
     own = bagged.join(
-        heads.withColumnRenamed("head", "doc_id"), ["bag_a", "bag_b", "doc_id"]
-    ).withColumnRenamed("doc_id", "head")
+        heads.withColumnRenamed("first_id", "doc_id"), ["bag_a", "bag_b", "doc_id"]
+    )
     cells = own.select("head", F.posexplode("bands").alias("band", "bucket"))
     cells = cells.select("head", F.xxhash64("band", "bucket").alias("bucket")).distinct()
     crowded = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -272,9 +289,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         F.least("head", "pivot").alias("a"), F.greatest("head", "pivot").alias("b")
     )
     first, _ = scratch.keep(first.distinct(), "pairs-1")
-    candidates = pivoted.select(F.col("head").alias("doc_id")).distinct()
+    candidates = pivoted.select("head").distinct()
+    places = own.groupBy("head", "doc_id").agg(F.min("text_key").alias("text_key"))
     texts, _ = scratch.keep(
-        docs.select("doc_id", "text").join(candidates, "doc_id").dropDuplicates(["doc_id"]),
+        keyed.join(places.join(candidates, "head"), ["doc_id", "text_key"])
+        .dropDuplicates(["head"])
+        .select("head", "text"),
         "texts",
     )
     links_1, _ = scratch.keep(_verified(texts, first, similarity), "links-1")
@@ -313,20 +333,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links_2, n_more = scratch.keep(_verified(texts, second, similarity), "links-2")
     if n_more:
         labels = components(scratch, links.unionByName(links_2), "second")
-    classes = members.join(
-        labels.select(F.col("node").alias("head"), "component"), "head", "left"
-    ).select("doc_id", F.coalesce("component", "head").alias("class_id"))
-    # Rows of one doc_id but different texts may meet several classes: the smallest counts.
-    classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return (
-        signed.select("doc_id")
-        .join(classes, "doc_id", "left")
+    top = heads.select(F.col("head").alias("component"), F.col("first_id").alias("class_id"))
+    classes = (
+        heads.join(labels.withColumnRenamed("node", "head"), "head", "left")
+        .withColumn("component", F.coalesce("component", "head"))
+        .join(top, "component")
         .select(
+            "bag_a",
+            "bag_b",
+            "first_id",
+            "class_id",
+            (F.col("head") == F.col("component")).alias("ahead"),
+        )
+    )
+    classed = bagged.select("doc_id", "text_key", "bag_a", "bag_b").join(classes, ["bag_a", "bag_b"])
+    classed = classed.select(
+        "doc_id",
+        "text_key",
+        "bag_a",
+        "bag_b",
+        "class_id",
+        (F.col("ahead") & (F.col("doc_id") == F.col("first_id"))).alias("kept"),
+    )
+    free = signed.filter(F.col("doc_id").isNull() | (F.col("n_shingles") == 0))
+    return classed.unionByName(
+        free.select(
             "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias(
-                "kept"
-            ),
+            "text_key",
+            "bag_a",
+            "bag_b",
+            F.col("doc_id").alias("class_id"),
+            F.lit(True).alias("kept"),
         )
     )
 
@@ -381,8 +418,8 @@ def _next_pivots(divided: DataFrame, similarity: float) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("head").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("head").alias("b"), F.col("text").alias("text_b"))
     return (
         pairs.join(left, "a")
         .join(right, "b")
@@ -392,8 +429,20 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class: that of the smallest doc_id; rows without id all stay."""
-    kept = near_duplicates(docs, similarity).filter("kept and doc_id is not null")
-    kept = kept.select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each class, that of the smallest doc_id; rows without id all stay."""
+    kept = _judged(docs.select("doc_id", "text"), similarity).filter("kept and doc_id is not null")
+    names = unused(docs, "kept_id", "kept_key")
+    # Dealt anew, so that the join on multisets may split a hot one. Rows of one document may
+    # differ in their spaces: one text of them stays.
+    kept = kept.repartition("doc_id").groupBy(F.col("doc_id").alias(names["kept_id"]), "bag_a", "bag_b").agg(
+        F.min("text_key").alias(names["kept_key"])
+    )
+    keyed = docs.filter("doc_id is not null").withColumn(
+        names["kept_key"], _text_key(F.col("text"))
+    )
+    keyed = keyed.dropDuplicates(["doc_id", names["kept_key"]])
+    same = (keyed["doc_id"] == kept[names["kept_id"]]) & (
+        keyed[names["kept_key"]] == kept[names["kept_key"]]
+    )
+    named = keyed.join(kept, same, "left_semi").select(*docs.columns)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -133,3 +133,23 @@ def test_whole_documents_of_the_smallest_table(spark):
     wanted = brute_force({r["doc_id"]: r["text"] for r in docs})
     got = op8_minhash_dedup(spark, sf_dir).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == wanted
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a), (5, a), (5, b), (5, f" {b}\n"), (5, b), (7, c + " x"), (7, c), (9, b + " y"), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(docs).join(docs.select("doc_id").distinct(), "doc_id")
+    assert got.count() == len(rows)
+    judged = near_dedup._judged(docs, 0.8).select("doc_id", "text_key", "class_id", "kept")
+    keys = docs.select("text", near_dedup._text_key(docs["text"]).alias("text_key")).distinct()
+    found = {(r["doc_id"], r["text"]): (r["class_id"], r["kept"]) for r in judged.join(keys, "text_key").collect()}
+    assert found[1, a] == (1, True) and found[5, a] == (1, False)
+    assert found[5, b] == found[5, f" {b}\n"] == (5, True) and found[9, b + " y"] == (5, False)
+    assert {found[7, c][0], found[7, c + " x"][0]} == {7}
+    assert found[7, c][1] != found[7, c + " x"][1]
+    left = near_dedup.drop_near_duplicates(docs).collect()
+    kept = sorted((r["doc_id"], (r["text"] or "").strip()) for r in left)
+    assert [k for k in kept if k[1]] == sorted([(1, a), (5, b), (7, c if found[7, c][1] else c + " x")])
+    assert [k for k in kept if not k[1]].count((5, "")) == 1
