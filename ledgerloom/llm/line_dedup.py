@@ -6,7 +6,9 @@ units are equal apart from spaces at their ends.
 
 1. Every run of ``k`` units is hashed; of each ``window`` consecutive hashes in a document the
    smallest is a fingerprint (winnowing). So any run of ``t = k + window - 1`` units that
-   occurs twice has a fingerprint in common. A unit of ``long_unit`` words is one of its own.
+   occurs twice has a fingerprint in common. A *passage*, fewer than ``t`` units that hold
+   ``long_words`` words, is a fingerprint of its own, unless it holds as many without its first
+   unit and without its last one too.
 2. Positions are joined on fingerprints; those that occur once are done with.
 3. Around each fingerprint that repeats, the match is extended both ways: all runs of ``t``
    units that chose it, reaching to its left and right, are compared, and a run that occurred
@@ -14,7 +16,9 @@ units are equal apart from spaces at their ends.
 4. The units of later copies are deleted. A copy that overlaps its own first occurrence, as in
    one unit said over and over, stays.
 
-The result equals a comparison of all runs of ``t`` units and all long units.
+The result equals a comparison of all runs of ``t`` units and of all shorter ones that hold
+``long_words`` words. Runs are equal when a 64-bit and an independent 32-bit hash are; a row is
+known by doc_id and 64 bits of its text, without doc_id by 128 bits.
 
 Defined cases: null text stays null, empty text stays empty. Rows repeated with the same
 doc_id and text are one document and keep the same units. A null doc_id comes last in the
@@ -31,9 +35,10 @@ from ledgerloom.scratch import Scratch
 
 RUN = 2
 WINDOW = 3
-LONG_UNIT = 50
+LONG_WORDS = 50
 #: A unit, up to and with its end; it reads each character once.
 UNIT = r"(?!\z)[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+(?:\n|[.!?] |\z)"
+SPAN = ("lo", "hi", "hash", "other")
 ENDS = " \t\n\x0b\x0c\r"
 
 
@@ -51,17 +56,25 @@ def _joint_hash(hashes: str, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + j) for j in range(size)])
 
 
-def _key(text: Column) -> Column:
-    """Tells texts of one doc_id apart; four bytes, as it travels with every fingerprint."""
-    return F.hash(text)
+def _short_hash(hashes: str, at: Column, size: int) -> Column:
+    return F.hash(*[F.get(hashes, at + j) for j in range(size)])
 
 
-def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> DataFrame:
+def _key(doc_id: Column, text: Column) -> Column:
+    """Tells texts of one doc_id apart, and all texts without one; it travels with every
+    fingerprint, so it is no longer than that takes."""
+    digest = F.md5(text)
+    return F.coalesce(
+        F.unhex(F.when(doc_id.isNull(), digest).otherwise(F.substring(digest, 1, 16))), F.lit(b"")
+    )
+
+
+def fingerprints(docs: DataFrame, run: int, window: int, long_words: int) -> DataFrame:
     """Winnowed fingerprints with the hashes of the runs around them.
 
-    ``(doc_id, text_key, print, lo, hi, hash)``: lo, hi and hash are arrays, with an entry for
-    every run of t units that chose the fingerprint, or for the long unit; lo and hi are the
-    places of its ends in the text.
+    ``(doc_id, text_key, print, lo, hi, hash, other)``: from lo on these are arrays, with an
+    entry for every run of t units that chose the fingerprint, or for the passage; lo and hi are
+    the places of its ends in the text, hash and other its hashes.
     A column that a lambda reads is named outside of it too: Spark computes it once then,
     and not again for each element.
     """
@@ -71,24 +84,17 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
     )
     split = docs.select(
         "doc_id",
-        _key(F.col("text")).alias("text_key"),
+        _key(F.col("doc_id"), F.col("text")).alias("text_key"),
         F.filter(bare, lambda x: x["unit"] != "").alias("units"),
     )
 
-    def is_long(unit: Column) -> Column:
-        return (F.length(unit) >= 2 * long_unit - 1) & (
-            F.size(F.split(unit, f"{SPACE}+")) >= long_unit
-        )
-
     hashed = split.select(
         "doc_id",
         "text_key",
         F.transform("units", lambda x: F.xxhash64(x["unit"])).alias("hashes"),
+        F.transform("units", lambda x: F.hash(x["unit"])).alias("others"),
         F.transform("units", lambda x: x["at"]).alias("places"),
-        F.filter(
-            F.transform("units", lambda x, i: F.when(is_long(x["unit"]), i)),
-            lambda i: i.isNotNull(),
-        ).alias("long_at"),
+        F.transform("units", lambda x: F.size(F.split(x["unit"], f"{SPACE}+"))).alias("words"),
     )
     n = F.size("hashes")
     grams = hashed.withColumn(
@@ -120,11 +126,30 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
     )
 
     def span(at: Column, size: int) -> Column:
-        value = _joint_hash("hashes", at, size)
         return F.struct(
             F.element_at("places", at + 1).alias("lo"),
             F.element_at("places", at + size).alias("hi"),
-            value.alias("hash"),
+            _joint_hash("hashes", at, size).alias("hash"),
+            _short_hash("others", at, size).alias("other"),
+        )
+
+    def held(at: Column, first: int, last: int) -> Column:
+        """Words of some units from ``at`` on; null where there are not so many."""
+        return sum((F.get("words", at + j) for j in range(first, last)), F.lit(0))
+
+    def passages(size: int) -> Column:
+        """Those of ``size`` units, each with its only run."""
+
+        def is_passage(at: Column) -> Column:
+            fewer = F.least(held(at, 0, size - 1), held(at, 1, size))
+            return (held(at, 0, size) >= long_words) & (fewer < long_words)
+
+        starts = F.when(n >= size, F.filter(F.sequence(F.lit(0), n - size), is_passage))
+        return F.transform(
+            starts,
+            lambda at: F.struct(
+                _joint_hash("hashes", at, size).alias("print"), F.array(span(at, size)).alias("spans")
+            ),
         )
 
     def spans(at: Column) -> Column:
@@ -138,59 +163,57 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_unit: int) -> Data
     short = F.transform(
         kept, lambda x: F.struct(x["print"].alias("print"), spans(x["at"]).alias("spans"))
     )
-    long = F.transform(
-        "long_at",
-        lambda at: F.struct(
-            span(at, 1)["hash"].alias("print"), F.array(span(at, 1)).alias("spans")
-        ),
+    none = F.array().cast(
+        "array<struct<print:bigint,spans:array<struct<lo:int,hi:int,hash:bigint,other:int>>>>"
+    )
+    marks = F.concat(
+        *[F.coalesce(found, none) for found in (short, *[passages(size) for size in range(1, t)])]
     )
-    none = F.array().cast("array<struct<print:bigint,spans:array<struct<lo:int,hi:int,hash:bigint>>>>")
-    marks = F.concat(F.coalesce(short, none), F.coalesce(long, none))
     return chosen.select("doc_id", "text_key", F.explode(marks).alias("mark")).select(
-        "doc_id", "text_key", "mark.print", *[f"mark.spans.{c}" for c in ("lo", "hi", "hash")]
+        "doc_id", "text_key", "mark.print", *[f"mark.spans.{c}" for c in SPAN]
     )
 
 
 def later_copies(
-    docs: DataFrame, run: int = RUN, window: int = WINDOW, long_unit: int = LONG_UNIT
+    docs: DataFrame, run: int = RUN, window: int = WINDOW, long_words: int = LONG_WORDS
 ) -> DataFrame:
     """``(doc_id, text_key, spans)``: where each document's later copies lie."""
     scratch = Scratch(docs.sparkSession, "lines")
-    marks, _ = scratch.keep(fingerprints(docs, run, window, long_unit), "marks")
+    marks, _ = scratch.keep(fingerprints(docs, run, window, long_words), "marks")
     # Written, so that a print that many documents share can be split in the join.
     repeated = marks.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated, _ = scratch.keep(repeated.select("print"), "repeated")
     runs = (
         marks.join(repeated, "print")
-        .select("doc_id", "text_key", F.inline(F.arrays_zip("lo", "hi", "hash")))
+        .select("doc_id", "text_key", F.inline(F.arrays_zip(*SPAN)))
     )
     runs, _ = scratch.keep(runs, "runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "lo", "hi")
     firsts = (
-        runs.groupBy("hash")
+        runs.groupBy("hash", "other")
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("hash", "first")
+        .select("hash", "other", "first")
     )
     firsts, _ = scratch.keep(firsts, "firsts")
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (
         F.col("first.text_key") == F.col("text_key")
     )
-    copies = runs.join(firsts, "hash").filter(~same | (F.col("lo") > F.col("first.hi")))
+    copies = runs.join(firsts, ["hash", "other"]).filter(~same | (F.col("lo") > F.col("first.hi")))
     return copies.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("lo", "hi")).alias("spans")
     )
 
 
 def delete_repeated_lines(
-    docs: DataFrame, run: int = RUN, window: int = WINDOW, long_unit: int = LONG_UNIT
+    docs: DataFrame, run: int = RUN, window: int = WINDOW, long_words: int = LONG_WORDS
 ) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``, and ``n_deleted`` pieces added.
 
     If ``docs`` has a column n_deleted already, the new one gets underscores at its end.
     """
     names = unused(docs, "n_deleted", "hit_doc", "hit_key", "spans", "units", "left")
-    copies = later_copies(docs.select("doc_id", "text"), run, window, long_unit).select(
+    copies = later_copies(docs.select("doc_id", "text"), run, window, long_words).select(
         F.col("doc_id").alias(names["hit_doc"]),
         F.col("text_key").alias(names["hit_key"]),
         F.col("spans").alias(names["spans"]),
@@ -198,7 +221,7 @@ def delete_repeated_lines(
     joined = docs.join(
         copies,
         docs["doc_id"].eqNullSafe(copies[names["hit_doc"]])
-        & (_key(docs["text"]) == copies[names["hit_key"]]),
+        & (_key(docs["doc_id"], docs["text"]) == copies[names["hit_key"]]),
         "left",
     )
     gone = F.flatten(F.transform(names["spans"], lambda x: F.sequence(x["lo"], x["hi"])))

@@ -24,13 +24,21 @@ WITH docs AS (
   SELECT d, place, trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS unit,
          row_number() OVER (PARTITION BY d ORDER BY place) AS i
   FROM pieces WHERE trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+), counted AS (
+  SELECT *, len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) AS n FROM units
 ), runs AS (
   SELECT a.d, a.place AS lo, b.place AS hi, a.unit || chr(0) || p.unit || chr(0) || q.unit || chr(0) || b.unit AS run
   FROM units a JOIN units p ON p.d = a.d AND p.i = a.i + 1
   JOIN units q ON q.d = a.d AND q.i = a.i + 2 JOIN units b ON b.d = a.d AND b.i = a.i + 3
   UNION ALL
-  SELECT d, place, place, unit FROM units
-  WHERE len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) >= 50
+  SELECT d, place, place, unit FROM counted WHERE n >= 50
+  UNION ALL
+  SELECT a.d, a.place, b.place, a.unit || chr(0) || b.unit
+  FROM counted a JOIN counted b ON b.d = a.d AND b.i = a.i + 1 WHERE a.n + b.n >= 50
+  UNION ALL
+  SELECT a.d, a.place, b.place, a.unit || chr(0) || p.unit || chr(0) || b.unit
+  FROM counted a JOIN counted p ON p.d = a.d AND p.i = a.i + 1
+  JOIN counted b ON b.d = a.d AND b.i = a.i + 2 WHERE a.n + p.n + b.n >= 50
 ), firsts AS (
   SELECT d, lo, hi, first_value(d) OVER w AS d0, first_value(hi) OVER w AS hi0
   FROM runs WINDOW w AS (PARTITION BY run ORDER BY d, lo)

@@ -112,3 +112,70 @@ def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
     noise = " ".join("#$%&<|>*" * 3 for _ in range(80))
     odd = spark.createDataFrame([(900, noise, "fr", "rare")], docs.schema)
     assert not quality_rules.judge(docs.unionByName(odd)).filter("doc_id = 900").first()["kept"]
+
+
+def plain_line_dedup(rows):
+    """The rule by comparing all runs: four units, or fewer that hold fifty words."""
+    order = sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0] or 0, line_key(r[1])))
+    runs = []
+    for d, (_, text) in enumerate(order):
+        units = [u.strip(line_dedup.ENDS) for u in re.split(r"(?<=\n)|(?<=[.!?] )", text or "")]
+        at = [i for i, u in enumerate(units) if u]
+        for i in range(len(at)):
+            for size in (1, 2, 3, 4):
+                some = at[i : i + size]
+                words = sum(len(WORD.findall(units[k])) for k in some)
+                if len(some) == size and (size == 4 or words >= 50):
+                    runs.append((tuple(units[k] for k in some), d, some[0], some[-1]))
+    first, gone = {}, {}
+    for run, d, lo, hi in runs:
+        d0, hi0 = first.setdefault(run, (d, hi))
+        if d != d0 or lo > hi0:
+            gone.setdefault(d, set()).update(range(lo, hi + 1))
+    cut = {}
+    for d, (doc_id, text) in enumerate(order):
+        pieces = [u for u in re.split(r"(?<=\n)|(?<=[.!?] )", text or "")]
+        left = "".join(u for k, u in enumerate(pieces) if k not in gone.get(d, ()))
+        cut[doc_id, text] = left if text is not None else None
+    return cut
+
+
+def line_key(text):
+    import hashlib
+
+    return hashlib.md5(text.encode()).digest()
+
+
+def test_passages_of_fifty_words_equal_a_comparison_of_all_runs(spark):
+    import random
+
+    rng = random.Random(2)
+
+    def sentence(n):
+        return " ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) + rng.choice([". ", "! ", "\n"])
+
+    stock = [sentence(n) for n in (5, 12, 17, 20, 24, 26, 30, 49, 50, 51) for _ in range(3)]
+    rows = []
+    for i in range(160):
+        parts = []
+        while len(parts) < rng.randrange(1, 14):
+            if rng.random() < 0.4:
+                k = rng.randrange(len(stock) - 3)
+                parts += stock[k : k + rng.randrange(1, 5)]
+            else:
+                parts.append(sentence(rng.choice([3, 20, 48])))
+        rows.append((i // 2 if i < 100 else (i if i < 140 else None), "".join(parts)))
+    a, b, c = sentence(40), sentence(15), sentence(5)
+    rows += [(300, a + b + c), (301, "Begin. " + a + b + c + "End.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = plain_line_dedup(rows)
+    assert wanted[rows[-1]] == "Begin. End."
+    for run, window in ((2, 3), (1, 4)):
+        got = line_dedup.delete_repeated_lines(docs.withColumn("was", docs["text"]), run, window).collect()
+        assert len(got) == len(rows)
+        assert all(r["text"] == wanted[r["doc_id"], r["was"]] for r in got)
+    # Rows without id are told apart by 128 bits.
+    texts = [f"{RUN}tail {i}." for i in range(3)]
+    got = line_dedup.later_copies(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"))
+    keys = [bytes(r["text_key"]) for r in got.collect()]
+    assert len(keys) == len(set(keys)) == 2 and {len(k) for k in keys} == {16}
