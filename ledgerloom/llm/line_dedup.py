@@ -51,6 +51,15 @@ def _bare(unit: Column) -> Column:
     return F.btrim(unit, F.lit(ENDS))
 
 
+def _n_words(unit: Column) -> Column:
+    """Words of a bare unit; where single blanks part them, without a pattern."""
+    odd = F.contains(unit, F.lit("  "))
+    for space in "\t\x0b\x0c\r":
+        odd = odd | F.contains(unit, F.lit(space))
+    blanks = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))
+    return F.when(odd, F.size(F.split(unit, f"{SPACE}+"))).otherwise(blanks + 1)
+
+
 def _joint_hash(hashes: str, at: Column, size: int) -> Column:
     """Hash of ``size`` entries of the column ``hashes``, read in place."""
     return F.xxhash64(*[F.get(hashes, at + j) for j in range(size)])
@@ -94,7 +103,7 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_words: int) -> Dat
         F.transform("units", lambda x: F.xxhash64(x["unit"])).alias("hashes"),
         F.transform("units", lambda x: F.hash(x["unit"])).alias("others"),
         F.transform("units", lambda x: x["at"]).alias("places"),
-        F.transform("units", lambda x: F.size(F.split(x["unit"], f"{SPACE}+"))).alias("words"),
+        F.transform("units", lambda x: _n_words(x["unit"])).alias("words"),
     )
     n = F.size("hashes")
     grams = hashed.withColumn(
@@ -137,20 +146,19 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_words: int) -> Dat
         """Words of some units from ``at`` on; null where there are not so many."""
         return sum((F.get("words", at + j) for j in range(first, last)), F.lit(0))
 
-    def passages(size: int) -> Column:
-        """Those of ``size`` units, each with its only run."""
+    def passage(at: Column, size: int) -> Column:
+        """The passage of ``size`` units from ``at`` on, else null."""
+        fewer = F.least(held(at, 0, size - 1), held(at, 1, size))
+        there = (held(at, 0, size) >= long_words) & (fewer < long_words)
+        return F.when(there, span(at, size))
 
-        def is_passage(at: Column) -> Column:
-            fewer = F.least(held(at, 0, size - 1), held(at, 1, size))
-            return (held(at, 0, size) >= long_words) & (fewer < long_words)
+    def passages(at: Column) -> Column:
+        """All from ``at`` on, the shortest first: they share a fingerprint."""
+        return F.array_compact(F.array(*[passage(at, size) for size in range(1, t)]))
 
-        starts = F.when(n >= size, F.filter(F.sequence(F.lit(0), n - size), is_passage))
-        return F.transform(
-            starts,
-            lambda at: F.struct(
-                _joint_hash("hashes", at, size).alias("print"), F.array(span(at, size)).alias("spans")
-            ),
-        )
+    def may_start(at: Column) -> Column:
+        next_ones = [F.coalesce(F.get("words", at + j), F.lit(0)) for j in range(t - 1)]
+        return sum(next_ones, F.lit(0)) >= long_words
 
     def spans(at: Column) -> Column:
         """Each run of t units belongs to the one fingerprint that its window chose."""
@@ -166,9 +174,12 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_words: int) -> Dat
     none = F.array().cast(
         "array<struct<print:bigint,spans:array<struct<lo:int,hi:int,hash:bigint,other:int>>>>"
     )
-    marks = F.concat(
-        *[F.coalesce(found, none) for found in (short, *[passages(size) for size in range(1, t)])]
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), may_start))
+    found = F.filter(F.transform(starts, passages), lambda spans: F.size(spans) > 0)
+    long = F.transform(
+        found, lambda spans: F.struct(F.get(spans, 0)["hash"].alias("print"), spans.alias("spans"))
     )
+    marks = F.concat(F.coalesce(short, none), F.coalesce(long, none))
     return chosen.select("doc_id", "text_key", F.explode(marks).alias("mark")).select(
         "doc_id", "text_key", "mark.print", *[f"mark.spans.{c}" for c in SPAN]
     )
