@@ -18,6 +18,7 @@ of both kinds the score is the prior. Repeated rows give a row each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -200,7 +201,7 @@ def surest_rows(
 
 def co_train(scratch: Scratch, pool: DataFrame, n_pool: int, trainings: list[Training]) -> None:
     """The exchange between the views of each training, over all rows of the pool."""
-    most = min(GIVEN, int(SHARE * n_pool))
+    most = min(GIVEN, math.ceil(SHARE * n_pool))
     open_ones = [t for t in trainings if t.open]
     for turn in range(ROUNDS if open_ones and most else 0):
         rows = surest_rows(scratch, pool, open_ones, most, f"surest-{turn}")
@@ -289,15 +290,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     )
     times = row_times(good, counts, SAMPLE)
 
-    # Vectors of all unlabelled rows, written once and read in each round.
+    # Vectors of all unlabelled rows, written once and read in each round. Labelled rows leave
+    # after the vectors are made: a shuffle carries those, never whole texts.
     scratch = Scratch(docs.sparkSession, "quality")
-    unknown = (
-        docs.select("doc_id", *COLUMNS)
-        .filter("doc_id is not null")
-        .join(known.select("doc_id"), "doc_id", "left_anti")
-        .withColumn("good", F.lit(None).cast("boolean"))
-    )
-    pool, n_pool = scratch.keep(unknown.mapInArrow(_sampled, features), "pool")
+    every = docs.select("doc_id", *COLUMNS).filter("doc_id is not null")
+    every = every.withColumn("good", F.lit(None).cast("boolean")).mapInArrow(_sampled, features)
+    unknown = every.join(known.select("doc_id"), "doc_id", "left_anti")
+    pool, n_pool = scratch.keep(unknown, "pool")
     pool = pool.select(
         "doc_id", F.xxhash64(F.lit("pool"), "doc_id").alias("at"), "content", "metadata"
     )

@@ -117,3 +117,17 @@ def test_views_teach_each_other_from_all_unlabelled_rows(spark):
             assert ids[group == 2 * k + answer].tolist() == best
     first = found.column("x")[0].as_py()
     assert np.allclose(first, x["metadata"][ids[0]])
+
+
+def test_rounds_run_on_few_unlabelled_rows(spark, monkeypatch):
+    rows = [(i, "Plain words here. " * 9 if i % 3 else "$$ ## 99 " * 9, "en", "s", 9) for i in range(249)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    taken = []
+    take = quality_cotraining.Training.take
+    monkeypatch.setattr(
+        quality_cotraining.Training, "take", lambda self, view, ids, *a: (taken.append(ids), take(self, view, ids, *a))
+    )
+    scored = quality_cotraining.score_quality(docs, labels)
+    assert scored.filter("kept <> (doc_id % 3 > 0)").count() == 0
+    assert taken and all(200 <= i < 249 for ids in taken for i in ids)
