@@ -51,12 +51,17 @@ def _bare(unit: Column) -> Column:
     return F.btrim(unit, F.lit(ENDS))
 
 
-def _n_words(unit: Column) -> Column:
-    """Words of a bare unit; where single blanks part them, without a pattern."""
-    odd = F.contains(unit, F.lit("  "))
+def _oddly_spaced(text: Column) -> Column:
+    """Whether more than single blanks may part the words of a unit."""
+    odd = F.contains(text, F.lit("  "))
     for space in "\t\x0b\x0c\r":
-        odd = odd | F.contains(unit, F.lit(space))
-    blanks = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))
+        odd = odd | F.contains(text, F.lit(space))
+    return odd
+
+
+def _n_words(unit: Column, odd: Column) -> Column:
+    """Words of a bare unit; without a pattern unless its text is odd."""
+    blanks = F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
     return F.when(odd, F.size(F.split(unit, f"{SPACE}+"))).otherwise(blanks + 1)
 
 
@@ -94,16 +99,18 @@ def fingerprints(docs: DataFrame, run: int, window: int, long_words: int) -> Dat
     split = docs.select(
         "doc_id",
         _key(F.col("doc_id"), F.col("text")).alias("text_key"),
+        _oddly_spaced(F.col("text")).alias("odd"),
         F.filter(bare, lambda x: x["unit"] != "").alias("units"),
     )
 
     hashed = split.select(
         "doc_id",
         "text_key",
+        "odd",
         F.transform("units", lambda x: F.xxhash64(x["unit"])).alias("hashes"),
         F.transform("units", lambda x: F.hash(x["unit"])).alias("others"),
         F.transform("units", lambda x: x["at"]).alias("places"),
-        F.transform("units", lambda x: _n_words(x["unit"])).alias("words"),
+        F.transform("units", lambda x: _n_words(x["unit"], F.col("odd"))).alias("words"),
     )
     n = F.size("hashes")
     grams = hashed.withColumn(
