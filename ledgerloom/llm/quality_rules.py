@@ -1,17 +1,21 @@
 """Quality rules: fixed bounds, then robust multivariate outliers for each language and source.
 
 Statistics of whole texts are turned into a vector of logarithms of shares. For each group
-of language and source, the minimum covariance determinant estimate of location and scatter is
-found by concentration steps: from coordinate-wise medians and deviations, the ``inside`` part
-of rows nearest by Mahalanobis distance gives the next mean and covariance, for ``steps``
-rounds. A row is rejected whose squared distance passes the chi-square quantile
-``cutoff``. Every round is two aggregations over the written statistics; a group of any
-size is combined in each task first, and the driver sees none of it.
-
-Scatter gets ``FLOORS`` added on its diagonal, so that a statistic which most rows share
-exactly, like no symbols at all, does not reject a row for a trace of it. Rows of groups
-of fewer than ``least`` rows are judged by their whole language, and if that is as small by the
-whole corpus, whatever its size.
+of language and source, for each language and for the corpus, the minimum covariance
+determinant estimate of location and scatter is found by concentration steps from three starts
+around the coordinate-wise medians: plain deviations, the correlations of the rows' directions,
+and those of their squashed coordinates. In each step the ``inside`` part of rows nearest by
+Mahalanobis distance gives the next mean and covariance; after ``steps`` of them the start whose
+scatter has the least determinant is taken. Every step is two aggregations over the written
+statistics; a group of any size is combined in each task first, and the driver sees none of it.
+
+A group of n rows has weight n / (n + ``pull``) in its verdict, its language the rest; a language
+is mixed with the corpus in the same way. Mean and scatter are those of the mixture, so groups
+of every size are judged by one formula.
+
+Scatter gets ``FLOORS`` added on its diagonal, for determinants too, so that a statistic which
+most rows share exactly, like no symbols at all, does not reject a row for a trace of it. A row
+is rejected whose squared distance passes the chi-square quantile ``tail``.
 
 Defined cases: null text is no words, and fails the base rules. Null language or source is a
 value of its own. Repeated rows are judged each. Carried columns may have any name.
@@ -43,14 +47,14 @@ FLOORS = {
     "length": 0.30,
     "word_length": 0.10,
     "symbols": 0.45,
-    "dup_lines": 1.20,
-    "repeats": 1.00,
+    "dup_lines": 0.75,
+    "repeats": 0.65,
     "capitals": 0.25,
     "marks": 0.25,
 }
 INSIDE = 0.6
 STEPS = 4
-LEAST = 100
+PULL = 100
 #: Probability of a larger distance for a normal row.
 TAIL = 1e-5
 
@@ -155,40 +159,10 @@ def chi_square_quantile(tail: float, freedom: int) -> float:
     return hi
 
 
-def _groups(rows: DataFrame, least: int, scratch: Scratch) -> DataFrame:
-    """``(lang, source, group, feeds)``: the group that judges rows, and those they are part of.
-
-    Rows of a small group are judged by their whole language, or by the whole corpus if that is
-    small as well.
-    """
-    counts, _ = scratch.keep(
-        rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "counts"
-    )
-    of_lang, _ = scratch.keep(
-        counts.groupBy(F.col("lang").alias("pool_lang")).agg(
-            F.sum("n").alias("pooled"), F.min("n").alias("fewest")
-        ),
-        "pools",
-    )
-    scarce = of_lang.filter(F.col("pooled") < least).limit(1).count() > 0
-    joined = counts.join(of_lang, counts["lang"].eqNullSafe(of_lang["pool_lang"]))
-    own = F.when(
-        F.col("n") >= least, F.xxhash64(F.lit("group"), F.struct("lang"), F.struct("source"))
-    )
-    whole = F.when(F.col("pooled") >= least, F.xxhash64(F.lit("lang"), F.struct("lang")))
-    all_rows = F.lit(0).cast("long")
-    return joined.select(
-        "lang",
-        "source",
-        F.coalesce(own, whole, all_rows).alias("group"),
-        F.array_compact(
-            F.array(
-                own,
-                F.when(F.col("fewest") < least, whole),
-                F.when(F.lit(scarce), all_rows),
-            )
-        ).alias("feeds"),
-    )
+def _group(*columns: str) -> Column:
+    """Number of a group by language and source, by language, or of the corpus."""
+    told = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.xxhash64(F.lit(len(columns)), *told)
 
 
 def _distance(values: list[Column], mean: str, inverse: str) -> Column:
@@ -202,92 +176,211 @@ def _distance(values: list[Column], mean: str, inverse: str) -> Column:
     return total
 
 
+TRIANGLE = [(i, j) for i in range(len(FLOORS)) for j in range(i + 1)]
+
+
+def _square(triangle: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of its lower half."""
+    p = len(FLOORS)
+    full = np.zeros((p, p))
+    full[np.tril_indices(p)] = triangle
+    return full + np.tril(full, -1).T
+
+
+def _floored(scatter: np.ndarray) -> np.ndarray:
+    return scatter + np.diag(np.array(list(FLOORS.values())) ** 2)
+
+
+def _estimate(group: int, start: int, mean: np.ndarray, scatter: np.ndarray) -> tuple:
+    """A row of ESTIMATE; the determinant is rounded, so that equal ends are ties."""
+    full = _floored(scatter)
+    least = round(float(np.linalg.slogdet(full)[1]), 9)
+    lower = scatter[np.tril_indices(len(mean))]
+    return group, start, mean, lower, np.linalg.inv(full).ravel(), least
+
+
+def _correlation(moments: np.ndarray) -> np.ndarray:
+    """Correlations of a covariance, none where a coordinate has no spread."""
+    spread = np.sqrt(np.maximum(np.diag(moments), 0))
+    scale = np.outer(spread, spread)
+    found = np.divide(moments, scale, out=np.zeros_like(moments), where=scale > 1e-12)
+    np.fill_diagonal(found, 1.0)
+    return found
+
+
+def starts(
+    deviation: np.ndarray, directions: np.ndarray, squashed: np.ndarray, centre: np.ndarray
+) -> list[np.ndarray]:
+    """Scatters to start from: second moments of directions and squashed rows, their mean."""
+    scale = np.outer(deviation, deviation)
+    return [
+        np.diag(deviation**2),
+        scale * _correlation(_square(directions)),
+        scale * _correlation(_square(squashed) - np.outer(centre, centre)),
+    ]
+
+
+def _begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for row in frame.itertuples(index=False):
+            found = starts(row.deviation, row.directions, row.squashed, row.centre)
+            rows += [_estimate(row.grp, k, row.mean, s) for k, s in enumerate(found)]
+        yield pd.DataFrame(rows, columns=ESTIMATED)
+
+
 def _invert(scale: float) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floors = np.diag(np.array(list(FLOORS.values())) ** 2)
-        p = len(floors)
         for frame in frames:
-            inverses = []
-            for scatter in frame["scatter"]:
-                full = np.zeros((p, p))
-                full[np.tril_indices(p)] = scatter
-                full = full + full.T - np.diag(np.diag(full))
-                inverses.append(np.linalg.inv(full * scale + floors).ravel())
-            yield pd.DataFrame({"grp": frame["group"], "mean": frame["mean"], "inverse": inverses})
+            rows = [
+                _estimate(row.grp, row.start, row.mean, _square(row.scatter) * scale)
+                for row in frame.itertuples(index=False)
+            ]
+            yield pd.DataFrame(rows, columns=ESTIMATED)
 
     return run
 
 
-ESTIMATE = "grp long, mean array<double>, inverse array<double>"
+ESTIMATED = ["grp", "start", "mean", "scatter", "inverse", "least"]
+ESTIMATE = (
+    "grp long, start int, mean array<double>, scatter array<double>, inverse array<double>, "
+    "least double"
+)
+
+
+def inner_scale(inside: float) -> float:
+    """What sets the covariance of the inner part of a normal sample right."""
+    radius = chi_square_quantile(1 - inside, len(FLOORS))
+    return inside / (1 - chi_square_tail(radius, len(FLOORS) + 2))
 
 
 def mcd_estimates(
     rows: DataFrame, scratch: Scratch, inside: float = INSIDE, steps: int = STEPS
 ) -> DataFrame:
-    """``(grp, mean, inverse)`` for each group of written ``rows(group, *FLOORS)``."""
+    """``(grp, n, mean, scatter)`` for each group of written ``rows(group, *FLOORS)``.
+
+    Rows are joined to their group's estimate and then aggregated by a key that is not the
+    join's: where that join shuffles, a hot group's partition can be split.
+    """
     names, p = list(FLOORS), len(FLOORS)
-    # The covariance of the inner part of a normal sample, set right.
-    radius = chi_square_quantile(1 - inside, p)
-    scale = inside / (1 - chi_square_tail(radius, p + 2))
     middle = rows.groupBy("group").agg(
-        *[F.percentile_approx(c, 0.5, 1000).alias(f"mid_{c}") for c in names]
+        *[F.percentile_approx(c, 0.5, 1000).alias(f"mid_{c}") for c in names],
+        F.count(F.lit(1)).alias("n"),
     )
     middle, _ = scratch.keep(middle.withColumnRenamed("group", "grp"), "middle")
-    wide = rows.join(middle, F.col("group") == F.col("grp")).groupBy("group").agg(
-        *[F.first(f"mid_{c}").alias(f"mid_{c}") for c in names],
+    key = F.struct("group").alias("key")
+    wide = rows.join(middle, F.col("group") == F.col("grp")).groupBy(key).agg(
         *[
             F.percentile_approx(F.abs(F.col(c) - F.col(f"mid_{c}")), 0.5, 1000).alias(f"dev_{c}")
             for c in names
         ],
     )
-    triangle = [(i, j) for i in range(p) for j in range(i + 1)]
-    start = wide.select(
-        "group",
+    wide = middle.join(wide, F.col("grp") == F.col("key.group")).select(
+        "grp",
         F.array(*[f"mid_{c}" for c in names]).alias("mean"),
         F.array(
-            *[
-                F.pow(F.col(f"dev_{names[i]}") * 1.4826, 2) if i == j else F.lit(0.0)
-                for i, j in triangle
-            ]
-        ).alias("scatter"),
+            *[F.greatest(F.col(f"dev_{c}") * 1.4826, F.lit(FLOORS[c])) for c in names]
+        ).alias("deviation"),
+    )
+    wide, _ = scratch.keep(wide, "spread")
+    off = [(F.col(c) - F.col("mean")[i]) / F.col("deviation")[i] for i, c in enumerate(names)]
+    apart = rows.join(wide, F.col("group") == F.col("grp")).select(
+        "group", *[x.alias(f"z{i}") for i, x in enumerate(off)]
     )
-    estimate, _ = scratch.keep(start.mapInPandas(_invert(1.0), ESTIMATE), "estimate-0")
+    z = [F.col(f"z{i}") for i in range(p)]
+    length = sum((x * x for x in z), F.lit(0.0))
+    apart = apart.withColumn("length", length).select(
+        "group",
+        "length",
+        *z,
+        *[F.tanh(x).alias(f"t{i}") for i, x in enumerate(z)],
+    )
+    unit = {
+        (i, j): F.when(F.col("length") > 0, z[i] * z[j] / F.col("length")).otherwise(0.0)
+        for i, j in TRIANGLE
+    }
+    begun = apart.groupBy(key).agg(
+        F.array(*[F.avg(unit[at]) for at in TRIANGLE]).alias("directions"),
+        F.array(*[F.avg(F.col(f"t{i}") * F.col(f"t{j}")) for i, j in TRIANGLE]).alias("squashed"),
+        F.array(*[F.avg(f"t{i}") for i in range(p)]).alias("centre"),
+    )
+    begun = begun.join(wide, F.col("key.group") == F.col("grp")).drop("key")
+    estimate, _ = scratch.keep(begun.mapInPandas(_begin, ESTIMATE), "estimate-0")
     for step in range(1, steps + 1):
-        placed = rows.join(estimate, F.col("group") == F.col("grp")).withColumn(
-            "distance", _distance([F.col(c) for c in names], "mean", "inverse")
+        last = estimate.select("grp", "start", "mean", "inverse")
+        key = F.struct("group", "start").alias("key")
+        distance = _distance([F.col(c) for c in names], "mean", "inverse")
+        placed = rows.join(last, F.col("group") == F.col("grp"))
+        near = placed.groupBy(key).agg(
+            F.percentile_approx(distance, inside, 1000).alias("radius")
         )
-        near = placed.groupBy("group").agg(
-            F.percentile_approx("distance", inside, 1000).alias("radius")
-        )
-        near, _ = scratch.keep(near.withColumnRenamed("group", "near_group"), f"radius-{step}")
-        within = placed.join(near, F.col("group") == F.col("near_group")).filter(
-            F.col("distance") <= F.col("radius")
+        near, _ = scratch.keep(near, f"radius-{step}")
+        last = last.join(near, F.struct("grp", "start") == F.col("key")).drop("key")
+        within = rows.join(last, F.col("group") == F.col("grp")).filter(
+            distance <= F.col("radius")
         )
         # Moments around the last mean, which keeps them small.
         off = [F.col(c) - F.col("mean")[i] for i, c in enumerate(names)]
-        moments = within.groupBy("group").agg(
-            F.first("mean").alias("was"),
+        moments = within.groupBy(key).agg(
             *[F.avg(x).alias(f"a{i}") for i, x in enumerate(off)],
-            *[F.avg(off[i] * off[j]).alias(f"b{i}_{j}") for i, j in triangle],
+            *[F.avg(off[i] * off[j]).alias(f"b{i}_{j}") for i, j in TRIANGLE],
         )
-        scatter = moments.select(
-            "group",
-            F.array(*[F.col("was")[i] + F.col(f"a{i}") for i in range(p)]).alias("mean"),
+        scatter = last.join(moments, F.struct("grp", "start") == F.col("key")).select(
+            "grp",
+            "start",
+            F.array(*[F.col("mean")[i] + F.col(f"a{i}") for i in range(p)]).alias("mean"),
             F.array(
-                *[F.col(f"b{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}") for i, j in triangle]
+                *[F.col(f"b{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}") for i, j in TRIANGLE]
             ).alias("scatter"),
         )
         estimate, _ = scratch.keep(
-            scatter.mapInPandas(_invert(scale), ESTIMATE), f"estimate-{step}"
+            scatter.mapInPandas(_invert(inner_scale(inside)), ESTIMATE), f"estimate-{step}"
         )
-    return estimate
+    best = estimate.groupBy("grp").agg(
+        F.min_by(F.struct("mean", "scatter"), F.struct("least", "start")).alias("best")
+    )
+    return best.join(middle.select("grp", "n"), "grp").select("grp", "n", "best.*")
+
+
+def mixture(
+    weight: float, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scatter of ``weight`` parts of one and the rest of the other."""
+    apart = one[0] - other[0]
+    mean = other[0] + weight * apart
+    scatter = weight * one[1] + (1 - weight) * other[1]
+    return mean, scatter + weight * (1 - weight) * np.outer(apart, apart)
+
+
+def _mix(pull: float) -> Callable:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            means, inverses = [], []
+            for row in frame.itertuples(index=False):
+                own = row.own_mean, _square(row.own_scatter)
+                whole = row.whole_mean, _square(row.whole_scatter)
+                every = row.every_mean, _square(row.every_scatter)
+                whole = mixture(row.whole_n / (row.whole_n + pull), whole, every)
+                mean, scatter = mixture(row.own_n / (row.own_n + pull), own, whole)
+                means.append(mean)
+                inverses.append(np.linalg.inv(_floored(scatter)).ravel())
+            yield pd.DataFrame(
+                {
+                    "g_lang": frame["g_lang"],
+                    "g_source": frame["g_source"],
+                    "mean": means,
+                    "inverse": inverses,
+                }
+            )
+
+    return run
 
 
 def judge(
     docs: DataFrame,
     carry: Sequence[str] = ("doc_id",),
     inside: float = INSIDE,
-    least: int = LEAST,
+    pull: float = PULL,
     tail: float = TAIL,
 ) -> DataFrame:
     """Each row's ``carry`` columns, then COUNTS, ``base_failed``, ``distance`` and ``kept``.
@@ -315,23 +408,27 @@ def judge(
     sound = measured.filter(~failed).select(
         "lang", "source", *[s[c].alias(c) for c in FLOORS]
     )
-    groups, _ = scratch.keep(_groups(sound, least, scratch), "groups")
-    keyed = groups.select(
-        F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "group", "feeds"
-    )
-    rows = (
-        sound.join(
-            keyed,
-            F.col("lang").eqNullSafe(F.col("g_lang"))
-            & F.col("source").eqNullSafe(F.col("g_source")),
-        )
-        .select(F.explode("feeds").alias("group"), *FLOORS)
+    ways = {"own": ("lang", "source"), "whole": ("lang",), "every": ()}
+    rows = sound.select(
+        F.explode(F.array(*[_group(*w) for w in ways.values()])).alias("group"), *FLOORS
     )
     rows, _ = scratch.keep(rows, "vectors")
-    estimate = mcd_estimates(rows, scratch, inside)
-    verdicts = keyed.join(estimate, F.col("group") == F.col("grp"), "left")
+    estimate, _ = scratch.keep(mcd_estimates(rows, scratch, inside), "estimates")
+    mixed = sound.select("lang", "source").distinct()
+    for name, way in ways.items():
+        found = estimate.select(
+            *[F.col(c).alias(f"{name}_{c}") for c in ("grp", "n", "mean", "scatter")]
+        )
+        mixed = mixed.join(found, _group(*way) == F.col(f"{name}_grp")).drop(f"{name}_grp")
+    mixed = mixed.withColumnsRenamed({c: f"g_{c}" for c in ("lang", "source")})
+    kinds = {f.name: f.dataType.simpleString() for f in sound.schema}
     verdicts, _ = scratch.keep(
-        verdicts.select("g_lang", "g_source", "mean", "inverse"), "verdicts"
+        mixed.mapInPandas(
+            _mix(pull),
+            f"g_lang {kinds['lang']}, g_source {kinds['source']}, "
+            "mean array<double>, inverse array<double>",
+        ),
+        "verdicts",
     )
     verdicts = verdicts.select(
         *[F.col(c).alias(f"_rules_{c}") for c in ("g_lang", "g_source", "mean", "inverse")]

@@ -1,8 +1,12 @@
 """Line dedup, mixing and quality rules on odd rows, against plain Python."""
 
+import itertools
+import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from ledgerloom.llm import line_dedup, mixing, quality_rules
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, n_deleted string, row int"
@@ -101,7 +105,75 @@ def test_base_statistics(spark):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
-def test_small_groups_are_judged_by_their_language_or_the_corpus(spark):
+def middle(values, part=0.5):
+    return np.sort(values)[max(0, math.ceil(part * len(values)) - 1)]
+
+
+def plain_mcd(x):
+    """The estimate of one group by plain numpy: three starts, the least determinant."""
+    floors = np.diag(np.array(list(quality_rules.FLOORS.values())) ** 2)
+    centre = np.array([middle(c) for c in x.T])
+    spread = np.array([middle(c) for c in np.abs(x - centre).T]) * 1.4826
+    spread = np.maximum(spread, np.sqrt(np.diag(floors)))
+    z = (x - centre) / spread
+    long = np.linalg.norm(z, axis=1, keepdims=True)
+    u = np.divide(z, long, out=np.zeros_like(z), where=long > 0)
+    found = []
+    for base in (None, u.T @ u / len(u), np.cov(np.tanh(z).T, bias=True)):
+        r = np.eye(len(spread))
+        if base is not None:
+            d = np.sqrt(np.diag(base))
+            for i, j in itertools.permutations(range(len(d)), 2):
+                r[i, j] = base[i, j] / (d[i] * d[j]) if d[i] * d[j] > 1e-12 else 0.0
+        mean, scatter = centre, r * np.outer(spread, spread)
+        for _ in range(quality_rules.STEPS):
+            inverse = np.linalg.inv(scatter + floors)
+            distance = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+            near = x[distance <= middle(distance, quality_rules.INSIDE) + 1e-12]
+            mean = near.mean(axis=0)
+            scatter = np.cov(near.T, bias=True) if len(near) > 1 else np.zeros_like(floors)
+            scatter = scatter * quality_rules.inner_scale(quality_rules.INSIDE)
+        found.append((round(np.linalg.slogdet(scatter + floors)[1], 9), len(found), mean, scatter))
+    return min(found, key=lambda f: f[:2])[2:]
+
+
+def test_verdict_against_plain_numpy(spark):
+    rng = np.random.default_rng(5)
+    shapes = [("en", "big", 260), ("en", "small", 30), ("fr", "big", 90), (None, "big", 12), ("big", None, 7)]
+    rows = []
+    for lang, source, n in shapes:
+        for _ in range(n):
+            words = [f"w{rng.integers(900)}" + "x" * int(rng.integers(4)) for _ in range(rng.integers(60, 200))]
+            for mark in rng.integers(0, len(words), size=rng.integers(0, 9)):
+                words[mark] = words[mark].title() + rng.choice([",", ".", "#", "\n"])
+            odd = ["#$%" * 9] * 60 if rng.random() < 0.06 else []
+            rows.append((len(rows), " ".join(words + odd), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    counts = quality_rules.statistics([r[1].encode() for r in rows], quality_rules.WordHasher())
+    x = quality_rules.vectors(counts)
+    floors = np.diag(np.array(list(quality_rules.FLOORS.values())) ** 2)
+    sound = np.array([not got[i]["base_failed"] for i in range(len(rows))])
+    limit = quality_rules.chi_square_quantile(quality_rules.TAIL, len(floors))
+    every, lang = plain_mcd(x[sound]), np.array([str(r[2]) for r in rows])
+    rejected = 0
+    for name, source, _ in shapes:
+        mine = np.array([r[2] == name and r[3] == source for r in rows])
+        whole = (lang == str(name)) & sound
+        n = whole.sum()
+        best = quality_rules.mixture(n / (n + quality_rules.PULL), plain_mcd(x[whole]), every)
+        n = (mine & sound).sum()
+        mean, scatter = quality_rules.mixture(n / (n + quality_rules.PULL), plain_mcd(x[mine & sound]), best)
+        inverse = np.linalg.inv(scatter + floors)
+        for i in np.flatnonzero(mine & sound):
+            distance = (x[i] - mean) @ inverse @ (x[i] - mean)
+            assert abs(got[i]["distance"] - distance) < 1e-6 * max(1, distance)
+            assert got[i]["kept"] == (distance <= limit)
+            rejected += not got[i]["kept"]
+    assert 5 < rejected < 60
+
+
+def test_small_groups_are_judged_with_their_language_and_the_corpus(spark):
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % 997}" for j in range(80 + i % 9)), "en", "big") for i in range(300)]
     rows += [(300 + i, rows[i][1], *g) for i, g in enumerate([("en", "rare"), ("fr", "rare"), (None, None)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
