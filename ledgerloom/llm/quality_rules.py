@@ -47,8 +47,8 @@ FLOORS = {
     "length": 0.30,
     "word_length": 0.10,
     "symbols": 0.45,
-    "dup_lines": 0.75,
-    "repeats": 0.65,
+    "dup_lines": 1.20,
+    "repeats": 1.00,
     "capitals": 0.25,
     "marks": 0.25,
 }
@@ -254,6 +254,50 @@ def inner_scale(inside: float) -> float:
     return inside / (1 - chi_square_tail(radius, len(FLOORS) + 2))
 
 
+def _placed(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Rows as offsets ``o0, o1, ...`` from the estimates of their group, with ``distance``.
+
+    Offsets are columns of their own: generated code stays short enough to be compiled.
+    """
+    more = [c for c in estimate.columns if c not in ("grp", "mean")]
+    off = [(F.col(c) - F.col("mean")[i]).alias(f"o{i}") for i, c in enumerate(FLOORS)]
+    joined = rows.join(estimate, F.col("group") == F.col("grp")).select("group", *more, *off)
+    names = [f"o{i}" for i in range(len(off))]
+    total = F.lit(0.0)
+    for i, x in enumerate(names):
+        part = F.lit(0.0)
+        for j in range(i + 1):
+            part = part + F.col(names[j]) * F.col("inverse")[i * len(off) + j] * (2 - (i == j))
+        total = total + F.col(x) * part
+    return joined.withColumn("distance", total).drop("inverse")
+
+
+def _sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Count, sums and sums of products of the offsets within the radius, by group and start.
+
+    The radius is judged here: as a filter it would be pushed into the join, all terms written out.
+    """
+    rows, columns = np.tril_indices(len(FLOORS))
+    for frame in frames:
+        near = np.asarray(frame.column("distance")) <= np.asarray(frame.column("radius"))
+        if not near.any():
+            continue
+        group, begun = np.asarray(frame.column("group")), np.asarray(frame.column("start"))
+        off = np.column_stack([np.asarray(frame.column(f"o{i}")) for i in range(len(FLOORS))])
+        order = np.flatnonzero(near)
+        order = order[np.lexsort((begun[order], group[order]))]
+        group, begun, off = group[order], begun[order], off[order]
+        fresh = (group[1:] != group[:-1]) | (begun[1:] != begun[:-1])
+        first = np.concatenate(([0], np.flatnonzero(fresh) + 1))
+        each = np.column_stack([np.ones(len(off)), off, off[:, rows] * off[:, columns]])
+        totals = np.add.reduceat(each, first)
+        arrays = [pa.array(group[first]), pa.array(begun[first], pa.int32())]
+        arrays += [pa.array(np.ascontiguousarray(c)) for c in totals.T]
+        names = ["group", "start", "inner", *[f"a{i}" for i in range(len(FLOORS))]]
+        names += [f"b{i}_{j}" for i, j in TRIANGLE]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def mcd_estimates(
     rows: DataFrame, scratch: Scratch, inside: float = INSIDE, steps: int = STEPS
 ) -> DataFrame:
@@ -309,28 +353,26 @@ def mcd_estimates(
     for step in range(1, steps + 1):
         last = estimate.select("grp", "start", "mean", "inverse")
         key = F.struct("group", "start").alias("key")
-        distance = _distance([F.col(c) for c in names], "mean", "inverse")
-        placed = rows.join(last, F.col("group") == F.col("grp"))
-        near = placed.groupBy(key).agg(
-            F.percentile_approx(distance, inside, 1000).alias("radius")
+        near = _placed(rows, last).groupBy(key).agg(
+            F.percentile_approx("distance", inside, 1000).alias("radius")
         )
         near, _ = scratch.keep(near, f"radius-{step}")
         last = last.join(near, F.struct("grp", "start") == F.col("key")).drop("key")
-        within = rows.join(last, F.col("group") == F.col("grp")).filter(
-            distance <= F.col("radius")
-        )
         # Moments around the last mean, which keeps them small.
-        off = [F.col(c) - F.col("mean")[i] for i, c in enumerate(names)]
-        moments = within.groupBy(key).agg(
-            *[F.avg(x).alias(f"a{i}") for i, x in enumerate(off)],
-            *[F.avg(off[i] * off[j]).alias(f"b{i}_{j}") for i, j in TRIANGLE],
+        sums = ["inner", *[f"a{i}" for i in range(p)], *[f"b{i}_{j}" for i, j in TRIANGLE]]
+        moments = (
+            _placed(rows, last)
+            .mapInArrow(_sums, "group long, start int, " + ", ".join(f"{c} double" for c in sums))
+            .groupBy(key)
+            .agg(*[F.sum(c).alias(c) for c in sums])
         )
+        first = [F.col(f"a{i}") / F.col("inner") for i in range(p)]
         scatter = last.join(moments, F.struct("grp", "start") == F.col("key")).select(
             "grp",
             "start",
-            F.array(*[F.col("mean")[i] + F.col(f"a{i}") for i in range(p)]).alias("mean"),
+            F.array(*[F.col("mean")[i] + x for i, x in enumerate(first)]).alias("mean"),
             F.array(
-                *[F.col(f"b{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}") for i, j in TRIANGLE]
+                *[F.col(f"b{i}_{j}") / F.col("inner") - first[i] * first[j] for i, j in TRIANGLE]
             ).alias("scatter"),
         )
         estimate, _ = scratch.keep(
