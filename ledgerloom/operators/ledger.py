@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.schemas import DOWN, FAILURE, SUCCESS, UP
+from ledgerloom.scratch import Scratch
 
 KEYS = ["node_id", "environment_id"]
-# Parts of a key's records when they meet a set of keys.
-SALTS = 16
 
 
 def records_for_env(history: DataFrame, environment_id: str) -> DataFrame:
@@ -46,14 +45,18 @@ def latest_record(history: DataFrame, keys: DataFrame | None = None) -> DataFram
 
     ``row_number() = 1`` is planned with a group limit before the shuffle: each task sends
     at most one row per key, so a key that holds much of the ledger does not pile up. Given
-    keys are matched before the sort; a salt of the record's id keeps that join from piling
-    up as well, and makes the cut come before the next shuffle.
+    keys are matched before the sort. They are written first, a row each, so that they are
+    broadcast only if they are few. Their hash is a part of the join's key: the sort then needs
+    a shuffle of its own, and adaptive execution may split a key that piles up in the join.
     """
     if keys is not None:
-        wanted = keys.select(*KEYS).distinct()
-        wanted = wanted.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        salted = history.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        history = salted.join(wanted, [*KEYS, "_salt"], "left_semi").select(*history.columns)
+        wanted, _ = Scratch(keys.sparkSession, "wanted").keep(keys.select(*KEYS).distinct(), "keys")
+        mixed = F.xxhash64(*KEYS)
+        history = (
+            history.withColumn("_hash", mixed)
+            .join(wanted.withColumn("_hash", mixed), [*KEYS, "_hash"], "left_semi")
+            .select(*history.columns)
+        )
     order = [F.col("executed_at").desc()]
     if "seq" in history.columns:
         order.append(F.col("seq").asc())

@@ -103,6 +103,24 @@ def test_latest_record_matches_keys_before_the_sort(spark):
     assert plan.index("Window [") < plan.index("Join LeftSemi")
 
 
+def test_given_keys_are_not_multiplied_and_a_hot_one_may_be_split(spark):
+    items = [f"{i:02d} a dev UP SUCCESS" for i in range(40)] + ["90 b qa UP FAILURE", "91 c qa UP SUCCESS"]
+    history = records(spark, *items).repartition(4)
+    keys = history.filter("node_id <> 'c'").select("node_id", "environment_id")
+    keys = keys.unionByName(keys.limit(1).selectExpr("node_id", "string(null) AS environment_id"))
+    broadcast = ledger.latest_record(history, keys)
+    assert "Generate" not in broadcast._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ledger.latest_record(history, keys)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert values(found, "id") == values(broadcast, "id") == ["39", "90"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    between = plan[plan.index("WindowGroupLimit"):plan.index("SortMergeJoin")]
+    assert between.count("Exchange hashpartitioning(node_id") == 1
+
+
 def test_append_scan_init_delete(spark, out):
     history = records(spark, "1 a dev UP SUCCESS", "2 b qa UP FAILURE")
     path = f"{out}/ledger"
