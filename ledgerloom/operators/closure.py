@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 from ledgerloom.scratch import Scratch
 from ledgerloom.sources.edge_store import EdgeStore
 
+#: Ids that are sure to be broadcast: as many longs take a megabyte.
+FEW = 1 << 17
+
 
 def _pairs(id_type: T.DataType) -> T.StructType:
     return T.StructType(
@@ -85,7 +88,12 @@ def reachability(edges: DataFrame) -> DataFrame:
 
     Every shortest path longer than ``span`` has exactly one node at distance ``span``, so
     joining the pairs at that distance with all known pairs finds each path of up to twice
-    the length once per middle node.
+    the length once per middle node. Once no pair is at that distance, none is further.
+
+    The known pairs are most of the data and are not shuffled whole where few ids are asked
+    of them: only those that start at a middle node go on, and a path found is compared only
+    with known ones to an end that they have. Both sets of ids are written, so that the
+    planner sees how small they are.
     """
     scratch = Scratch(edges.sparkSession, "reachability")
     schema = _pairs(edges.schema["node_id"].dataType)
@@ -93,25 +101,37 @@ def reachability(edges: DataFrame) -> DataFrame:
         F.col("node_id").alias("seed"), F.col("depends_on").alias("node_id")
     ).distinct()
     span, rounds = 1, ["span-1"]
-    found = scratch.write(first.withColumn("distance", F.lit(1)), rounds[0])["n"]
-    while found:
+    furthest = scratch.write(first.withColumn("distance", F.lit(1)), rounds[0])["n"]
+    while furthest:
         known = scratch.read(schema, *rounds)
         outer = (
             scratch.read(schema, rounds[-1])
             .filter(F.col("distance") == span)
             .select("seed", F.col("node_id").alias("middle"))
         )
-        inner = known.select(F.col("seed").alias("middle"), "node_id", "distance")
+        middles, _ = scratch.keep(outer.select("middle").distinct(), f"middles-{span}")
+        inner, _ = scratch.keep(
+            known.select(F.col("seed").alias("middle"), "node_id", "distance").join(
+                middles, "middle", "left_semi"
+            ),
+            f"inner-{span}",
+        )
+        ends, n_ends = scratch.keep(inner.select("node_id").distinct(), f"ends-{span}")
+        before = known.select("seed", "node_id")
+        # More ids would be shuffled, and the known pairs by them once more.
+        if n_ends <= FEW:
+            before = before.join(ends, "node_id", "left_semi")
         step = (
             outer.join(inner, "middle")
             .groupBy("seed", "node_id")
             .agg((F.min("distance") + span).cast("int").alias("distance"))
-            .join(known.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
+            .join(before, ["seed", "node_id"], "left_anti")
         )
         span *= 2
         name = f"span-{span}"
-        found = scratch.write(step, name)["n"]
-        if found:
+        counts = scratch.write(step, name, furthest=F.count_if(F.col("distance") == span))
+        furthest = counts["furthest"]
+        if counts["n"]:
             rounds.append(name)
     return scratch.read(schema, *rounds).select(
         F.col("seed").alias("node_id"), F.col("node_id").alias("ancestor"), "distance"

@@ -230,6 +230,23 @@ def test_random_dags_against_plain_python(spark, seed):
     assert rows(dropped, "node_id", "depends_on") == py_redundant(pairs)
 
 
+@pytest.mark.parametrize("few", [0, closure.FEW])
+def test_reachability_ends_once_no_pair_is_at_the_span(spark, monkeypatch, few):
+    written = []
+
+    class Noted(Scratch):
+        def write(self, df, name, by=None, **measures):
+            written.append(name)
+            return super().write(df, name, by, **measures)
+
+    monkeypatch.setattr(closure, "Scratch", Noted)
+    monkeypatch.setattr(closure, "FEW", few)
+    pairs = [("b", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("z", "d"), ("z", "d")]
+    found = closure.reachability(edges_df(spark, pairs)).collect()
+    assert {(r[0], r[1]): r[2] for r in found} == py_closure(pairs) and len(found) == 10
+    assert [name for name in written if name.startswith("span")] == ["span-1", "span-2", "span-4"]
+
+
 @pytest.mark.parametrize("seed", [3])
 def test_random_digraphs_against_plain_python(spark, seed):
     ids, pairs = _random_pairs(seed, acyclic=False)
