@@ -42,6 +42,8 @@ SIGMAS = 3.0
 WORTH = 50
 #: Bits of each component in the sketch that the estimate is made from.
 BITS = 4
+#: Bytes and texts signed at a time: a process has some thirty numbers a word meanwhile.
+SIGN_BYTES, SIGN_TEXTS = 1 << 20, 512
 
 
 def weighted(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +168,7 @@ def sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         texts = utf8(frame.column("text"))
         ids, keys = frame.column("doc_id"), frame.column("text_key")
-        for lo, hi in batches(texts, 1 << 22, 2048):
+        for lo, hi in batches(texts, SIGN_BYTES, SIGN_TEXTS):
             doc, value = shingles(Words(hasher, texts[lo:hi]), SHINGLE)
             doc, value, count = weighted(doc, value)
             n = hi - lo
@@ -243,8 +245,9 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
 
     Equal multisets fall into one class first, and one of each goes on, its head. Heads are
     numbered by doc_id, so that multisets of one doc_id stay apart. In a band's bucket all
-    members are compared with one pivot, the member that meets most others over all bands.
-    Links found make components. A bucket that still holds several gets a new pivot outside
+    members are compared with one pivot, the member that meets most others over all bands: each
+    head first with the one of its pivots that meets most, then with those that it is not in one
+    component with yet. Links found make components. A bucket that still holds several gets a new pivot outside
     its largest one, with which all of its other components are compared, and so on, as long as
     that links enough to be worth a round. What is left are pairs of different components in one
     bucket: members outside the bucket's largest component meet those of the other
@@ -282,13 +285,20 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
         shared.join(met, "head")
         .groupBy("bucket")
         .agg(F.max(F.struct("met", (-F.col("head")).alias("minus"))).alias("top"))
-        .select("bucket", (-F.col("top.minus")).alias("pivot"))
+        .select("bucket", (-F.col("top.minus")).alias("pivot"), F.col("top.met").alias("pivot_met"))
     )
     pivoted, _ = scratch.keep(shared.join(pivots, "bucket").drop("n"), "pivoted")
     first = pivoted.filter("head <> pivot").select(
         F.least("head", "pivot").alias("a"), F.greatest("head", "pivot").alias("b")
     )
     first, _ = scratch.keep(first.distinct(), "pairs-1")
+    # Each head's pivot that meets most: the one pair that links most copies.
+    best = F.max(F.struct("pivot_met", (-F.col("pivot")).alias("minus"))).alias("top")
+    nearest = pivoted.filter("head <> pivot").groupBy("head").agg(best)
+    nearest = nearest.select("head", (-F.col("top.minus")).alias("pivot")).select(
+        F.least("head", "pivot").alias("a"), F.greatest("head", "pivot").alias("b")
+    )
+    nearest, _ = scratch.keep(nearest.distinct(), "pairs-0")
     candidates = pivoted.select("head").distinct()
     places = own.groupBy("head", "doc_id").agg(F.min("text_key").alias("text_key"))
     texts, _ = scratch.keep(
@@ -297,11 +307,17 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
         .select("head", "text"),
         "texts",
     )
-    links_1, _ = scratch.keep(_verified(texts, first, similarity), "links-1")
-    labels = components(scratch, links_1, "first")
+    links_0, _ = scratch.keep(_verified(texts, nearest, similarity), "links-0")
+    labels = components(scratch, links_0, "nearest")
+    # Pairs that are of one component by now cannot join any others.
+    others = _apart(first.join(nearest, ["a", "b"], "left_anti"), labels).select("a", "b")
+    others, _ = scratch.keep(others, "pairs-others")
+    links_1, _ = scratch.keep(_verified(texts, others, similarity), "links-1")
+    labels = _merged(scratch, labels, links_1, "first")
+    compared = nearest.unionByName(others)
 
     sketches = own.select("head", "sketch").dropDuplicates(["head"])
-    links, compared, turn = links_1, first, 1
+    turn = 1
     while True:
         divided, n_divided = _divided(scratch, pivoted, labels, sketches, f"divided-{turn}")
         turn += 1
@@ -311,8 +327,7 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
         compared = compared.unionByName(pairs)
         if not n_fresh:
             break
-        links = links.unionByName(fresh)
-        labels = components(scratch, links, f"pivot-{turn}")
+        labels = _merged(scratch, labels, fresh, f"pivot-{turn}")
         if n_fresh * WORTH < n_divided:
             divided, _ = _divided(scratch, pivoted, labels, sketches, f"divided-{turn}")
             break
@@ -332,7 +347,7 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
     second, _ = scratch.keep(second, "pairs-2")
     links_2, n_more = scratch.keep(_verified(texts, second, similarity), "links-2")
     if n_more:
-        labels = components(scratch, links.unionByName(links_2), "second")
+        labels = _merged(scratch, labels, links_2, "second")
     top = heads.select(F.col("head").alias("component"), F.col("first_id").alias("class_id"))
     classes = (
         heads.join(labels.withColumnRenamed("node", "head"), "head", "left")
@@ -368,6 +383,26 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``a, b, of_a, of_b``: the pairs of different components, and these."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    return (
+        pairs.join(of_a, "a", "left")
+        .join(of_b, "b", "left")
+        .select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+        .filter("of_a <> of_b")
+    )
+
+
+def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The labels after more links: those between the same components are one edge, and a node
+    has one edge to its component, however many links it has."""
+    between = _apart(links, labels).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    own = labels.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(scratch, own.unionByName(between), name)
+
+
 def _divided(
     scratch: Scratch, pivoted: DataFrame, labels: DataFrame, sketches: DataFrame, name: str
 ) -> tuple[DataFrame, int]:

@@ -119,6 +119,23 @@ def test_classes_equal_brute_force(spark):
     assert ids.count(None) == 2
 
 
+def test_components_get_an_edge_for_each_copy_and_not_for_each_link(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    texts = []
+    for k in range(120):
+        words = list(base)
+        for _ in range(k % 7):
+            words[rng.randrange(300)] = f"v{rng.randrange(900)}"
+        texts.append(" ".join([*words, f"end{k}"]))
+    seen, real = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda s, e, n: seen.append(e.count()) or real(s, e, n))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_force(dict(enumerate(texts)))
+    assert max(seen) < 1.5 * len(texts)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(docs).count() == 0
