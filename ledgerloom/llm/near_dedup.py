@@ -251,7 +251,8 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
     its largest one, with which all of its other components are compared, and so on, as long as
     that links enough to be worth a round. What is left are pairs of different components in one
     bucket: members outside the bucket's largest component meet those of the other
-    components, and pairs whose sketches leave a similarity that high possible are compared.
+    components, each pair in the first bucket that it shares, and pairs whose sketches leave a
+    similarity that high possible are compared.
     So a group of n copies costs about n comparisons a round, and yet no pair of a bucket stays
     undecided.
     """
@@ -331,19 +332,10 @@ def _judged(docs: DataFrame, similarity: float) -> DataFrame:
         if n_fresh * WORTH < n_divided:
             divided, _ = _divided(scratch, pivoted, labels, sketches, f"divided-{turn}")
             break
-    minor = divided.filter("component <> largest").select(
-        "bucket",
-        F.col("head").alias("x"),
-        F.col("component").alias("cx"),
-        F.col("sketch").alias("sx"),
-    )
-    second = (
-        minor.join(divided, "bucket")
-        .filter((F.col("component") != F.col("cx")) & may_reach(similarity, "sketch", "sx"))
-        .select(F.least("head", "x").alias("a"), F.greatest("head", "x").alias("b"))
-        .distinct()
-        .join(compared, ["a", "b"], "left_anti")
-    )
+    # At most BANDS buckets a head.
+    lists = divided.groupBy("head").agg(F.collect_list("bucket").alias("buckets"))
+    placed, _ = scratch.keep(divided.join(lists, "head"), "placed")
+    second = _unmet(placed, similarity).join(compared, ["a", "b"], "left_anti")
     second, _ = scratch.keep(second, "pairs-2")
     links_2, n_more = scratch.keep(_verified(texts, second, similarity), "links-2")
     if n_more:
@@ -452,6 +444,32 @@ def _next_pivots(divided: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def _unmet(placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different components of a bucket that may be similar enough, each once.
+
+    ``placed`` has ``buckets``, all of a head's in it. Copies share most of their buckets: a pair is made in the first
+    one that both have, by the member outside of the bucket's largest component, the smaller of two such.
+    """
+    minor = placed.filter("component <> largest").select(
+        "bucket",
+        F.col("head").alias("x"),
+        F.col("component").alias("cx"),
+        F.col("sketch").alias("sx"),
+        F.col("buckets").alias("bx"),
+    )
+    met_first = F.array_min(F.array_intersect("buckets", "bx")) == F.col("bucket")
+    return (
+        minor.join(placed, "bucket")
+        .filter(
+            (F.col("component") != F.col("cx"))
+            & ((F.col("component") == F.col("largest")) | (F.col("head") > F.col("x")))
+            & met_first
+            & may_reach(similarity, "sketch", "sx")
+        )
+        .select(F.least("head", "x").alias("a"), F.greatest("head", "x").alias("b"))
+    )
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     left = texts.select(F.col("head").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("head").alias("b"), F.col("text").alias("text_b"))

@@ -136,6 +136,44 @@ def test_components_get_an_edge_for_each_copy_and_not_for_each_link(spark, monke
     assert max(seen) < 1.5 * len(texts)
 
 
+def test_pairs_of_several_shared_buckets_are_made_once(spark):
+    rng = random.Random(4)
+    component = {h: (0 if h < 12 else h - h % 2) for h in range(20)}
+    buckets = {h: set(rng.sample(range(8), 5)) for h in component}
+    rows, wanted = [], set()
+    for b in range(8):
+        inside = [h for h in component if b in buckets[h]]
+        largest = max((sum(component[x] == component[h] for x in inside), component[h]) for h in inside)[1]
+        wanted |= {(x, y) for x in inside for y in inside if x < y and component[x] != component[y]}
+        rows += [(b, h, component[h], largest, [7] * 32, sorted(buckets[h])) for h in inside]
+    schema = "bucket long, head long, component long, largest long, sketch array<long>, buckets array<long>"
+    made = near_dedup._unmet(spark.createDataFrame(rows, schema), 0.8).collect()
+    assert sorted((r["a"], r["b"]) for r in made) == sorted(wanted)
+
+
+def test_near_copies_and_stragglers_meet_once(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(1 if k % 6 else 4):
+            words[rng.randrange(5, 195)] = f"v{rng.randrange(900)}"
+        texts.append(" ".join([*words, f"end{k}"]))
+    seen, real = [], near_dedup._unmet
+
+    def unmet(placed, similarity):
+        pairs = real(placed, similarity)
+        seen.append((pairs.count(), pairs.distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_unmet", unmet)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_force(dict(enumerate(texts)))
+    assert seen[0][0] == seen[0][1] > 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(docs).count() == 0
