@@ -31,6 +31,8 @@ def _side(which: int) -> Column:
 
 #: Rounds of trimming: what hangs deeper is left to the labels.
 PATIENCE = 16
+#: A round of trimming is followed by another if it peels off one in so many nodes.
+WORTH = 100
 
 
 def _trim(scratch: Scratch, arcs: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -39,7 +41,7 @@ def _trim(scratch: Scratch, arcs: DataFrame, label: str) -> tuple[DataFrame, int
     Both ends are peeled in the same round: one log holds how many edges of a node are open on
     either side, and a node goes once one side has none. What is left lies on cycles, on paths
     between them, or deep in a tail: trimming only saves work, so it stops after ``PATIENCE``
-    rounds. Returns the arcs, written, and their number.
+    rounds, or once a round peels off few. Returns the arcs, written, and their number.
     """
     arcs, n_arcs = scratch.keep(arcs, f"{label}-arcs")
     if not n_arcs:
@@ -51,10 +53,11 @@ def _trim(scratch: Scratch, arcs: DataFrame, label: str) -> tuple[DataFrame, int
     )
     schema, over = first.schema, "ins <= 0 OR outs <= 0"
     names = [f"{label}-0"]
-    fresh = scratch.write(first, names[0], gone=F.count_if(F.expr(over)))["gone"]
+    counts = scratch.write(first, names[0], gone=F.count_if(F.expr(over)))
+    fresh, n_nodes = counts["gone"], counts["n"]
     if not fresh:
         return arcs, n_arcs
-    while fresh and len(names) <= PATIENCE:
+    while fresh * WORTH >= n_nodes and len(names) <= PATIENCE:
         gone = scratch.read(schema, names[-1]).filter(over).select(F.col("node_id").alias("key"))
         none = F.lit(None).cast("long")
         # A node that goes closes one edge of what needs it and of what it needs.
@@ -141,8 +144,11 @@ def _labels(scratch: Scratch, arcs: DataFrame, label: str) -> DataFrame:
     name, turn = f"{label}-0", 0
     fresh, log = scratch.write(start, name)["n"], [name]
 
-    def settled() -> DataFrame:
-        return scratch.read(schema, *log).groupBy("node_id", "side").agg(F.min("label").alias("label"))
+    def settled(heads: DataFrame | None = None) -> DataFrame:
+        rows = scratch.read(schema, *log)
+        if heads is not None:
+            rows = rows.join(heads, ["node_id", "side"], "left_semi")
+        return rows.groupBy("node_id", "side").agg(F.min("label").alias("label"))
 
     while fresh:
         changed = scratch.read(schema, name)
@@ -151,7 +157,8 @@ def _labels(scratch: Scratch, arcs: DataFrame, label: str) -> DataFrame:
             .join(arcs, ["key", "side"])
             .select(F.col("other").alias("node_id"), "side", F.col("label").alias("_offer"))
         )
-        theirs = settled().select(
+        # Of those that are a changed label only, so that late rounds shuffle few labels of others.
+        theirs = settled(changed.select(F.col("label.node_id").alias("node_id"), "side")).select(
             F.col("node_id").alias("_of"), F.col("side").alias("_side"), F.col("label").alias("_offer")
         )
         across = changed.join(
